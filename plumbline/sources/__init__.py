@@ -1,0 +1 @@
+"""Readers, fingerprints, metadata files and sinks."""
