@@ -63,6 +63,10 @@ def numeric_describe(df: DataFrame, names: list[str] | None = None,
     """
     if names is None:
         names = [f.name for f in data_fields(df, row_id) if is_measurement(f.dataType)]
+    if not names:
+        return df.sparkSession.createDataFrame(
+            [], "column string, count bigint, mean double, std double, min double, q25 double, "
+            "q50 double, q75 double, max double")
     values = {n: number(n, field_of(df, n).dataType) for n in names}
     quartiles = quantiles(df, values, [0.25, 0.5, 0.75], **options)
     aggregated = df.agg(*[
@@ -144,7 +148,7 @@ def histograms(df: DataFrame, row_id: str | None = None) -> DataFrame:
             .when((x >= edge(guess + 1)) & (guess < HISTOGRAM_BINS - 1), guess + 1)
             .otherwise(guess)
         )
-        bins.append(placed.cast("int").alias(name))
+        bins.append(F.when(x.isNotNull(), placed).cast("int").alias(name))
         points = [low + i * step for i in range(HISTOGRAM_BINS)] + [high]
         edges += [(name, i, points[i] * scale, points[i + 1] * scale)
                   for i in range(HISTOGRAM_BINS)]
@@ -200,13 +204,10 @@ def correlations(df: DataFrame, row_id: str | None = None) -> DataFrame:
     ])))
 
 
-def preferred_order(target: str | None = None, important: list[str] = ()) -> Column:
-    """Sort key over a column profile: the target, then important columns, then schema."""
+def preferred_order(target: str | None = None, important: list[str] = ()) -> list[Column]:
+    """Sort keys over a column profile: the target, then important columns, then schema."""
     order = list(dict.fromkeys([*([target] if target else []), *important]))
-    rank = F.lit(len(order))
-    for i, name in reversed(list(enumerate(order))):
-        rank = F.when(F.col("column") == name, i).otherwise(rank)
-    return rank
+    return [*[F.desc(F.col("column") == name) for name in order], F.asc("ordinal")]
 
 
 def is_identifier() -> Column:
@@ -214,7 +215,7 @@ def is_identifier() -> Column:
 
 
 def _first(columns: DataFrame, limit: int, target, important) -> DataFrame:
-    return columns.orderBy(preferred_order(target, important), "ordinal").limit(limit)
+    return columns.orderBy(*preferred_order(target, important)).limit(limit)
 
 
 def numeric_plot_columns(profile: DataFrame, target=None, important=()) -> DataFrame:

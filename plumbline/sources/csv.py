@@ -72,7 +72,7 @@ def _sample(lines: DataFrame, encoding: str) -> str:
         text += bytes(row["b"]).decode(encoding, "replace") + "\n"
         if len(text) >= SAMPLE_CHARACTERS:
             break
-    return text.lstrip("﻿")[:max(SAMPLE_CHARACTERS, text.find("\n"))]
+    return text.lstrip("\ufeff")[:max(SAMPLE_CHARACTERS, text.find("\n"))]
 
 
 def detect_delimiter(sample: str) -> str:

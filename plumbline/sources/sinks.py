@@ -13,7 +13,7 @@ from plumbline.plans.context import UsageContext
 from plumbline.plans.evaluate import Evaluation
 from plumbline.plans.recipe import Recipe, plain_value
 
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 
 
 def _location(path: str) -> str:
