@@ -78,21 +78,40 @@ def field_of(df: DataFrame, name: str) -> T.StructField:
     raise ValueError(f"Column not found: {name}")
 
 
-def missing(name: str, dtype: T.DataType) -> Column:
-    c = col(name)
+def literal(text: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def missing_sql(name: str, dtype: T.DataType) -> str:
+    c = quote(name)
     if is_float(dtype):
-        return c.isNull() | F.isnan(c)
+        return f"({c} is null or isnan({c}))"
     if is_variant(dtype):
-        return c.isNull() | F.is_variant_null(c)
-    return c.isNull()
+        return f"({c} is null or is_variant_null({c}))"
+    return f"({c} is null)"
+
+
+def present_sql(name: str, dtype: T.DataType) -> str:
+    if is_float(dtype) or is_variant(dtype):
+        return f"(case when not {missing_sql(name, dtype)} then {quote(name)} end)"
+    return quote(name)
+
+
+def number_sql(name: str, dtype: T.DataType) -> str:
+    if isinstance(dtype, T.BooleanType):
+        return f"cast(cast({quote(name)} as int) as double)"
+    return f"cast({present_sql(name, dtype)} as double)"
+
+
+def missing(name: str, dtype: T.DataType) -> Column:
+    """The one test for a missing value."""
+    return F.expr(missing_sql(name, dtype))
 
 
 def present(name: str, dtype: T.DataType) -> Column:
     """The column with every missing value turned into NULL."""
-    c = col(name)
-    if is_float(dtype) or is_variant(dtype):
-        return F.when(~missing(name, dtype), c)
-    return c
+    return F.expr(present_sql(name, dtype))
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -107,18 +126,16 @@ def normalise(df: DataFrame) -> DataFrame:
 
 def number(name: str, dtype: T.DataType) -> Column:
     """A measurement or boolean as a double, NULL where missing."""
-    if isinstance(dtype, T.BooleanType):
-        return col(name).cast("int").cast("double")
-    return present(name, dtype).cast("double")
+    return F.expr(number_sql(name, dtype))
 
 
 def finite(value: Column) -> Column:
     """The double where it is finite, else NULL."""
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def infinite(value: Column) -> Column:
-    return F.abs(value) == F.lit(float("inf"))
+    return F.abs(value) == float("inf")
 
 
 def _has_map(dtype: T.DataType) -> bool:
@@ -152,57 +169,76 @@ def ordered_entries(value: Column, dtype: T.DataType) -> Column:
     return F.when(value.isNotNull(), rebuilt)
 
 
-def short(value: Column) -> Column:
+def short_sql(value: str) -> str:
     """A string, or '#' and its SHA-256 digest when it is longer than 64 bytes.
 
     The digest form has 65 bytes, so it can never equal a short string.
     """
-    return F.when(
-        F.octet_length(value) > LONG_VALUE_BYTES, F.concat(F.lit("#"), F.sha2(value, 256))
-    ).otherwise(value)
+    return (f"(case when octet_length({value}) > {LONG_VALUE_BYTES} "
+            f"then concat('#', sha2({value}, 256)) else {value} end)")
 
 
 def group_key(name: str, dtype: T.DataType) -> Column:
     """A groupable value that is equal exactly where the column's values are equal."""
+    c = quote(name)
     if is_text(dtype):
-        return short(col(name))
+        return F.expr(short_sql(c))
     if isinstance(dtype, T.BinaryType):
-        return short(F.lower(F.hex(col(name))))
+        return F.expr(short_sql(f"lower(hex({c}))"))
     if is_variant(dtype):
-        return short(F.to_json(present(name, dtype)))
+        return F.expr(short_sql(f"to_json({present_sql(name, dtype)})"))
     if is_nested(dtype):
         return ordered_entries(col(name), dtype)
     return present(name, dtype)
 
 
-def iso_text(value: Column, dtype: T.DataType) -> Column:
+def iso_sql(value: str) -> str:
     """Timestamps as ISO text, with microseconds only where there are any."""
-    seconds = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(value, ".SSSSSS")
-    return F.when(micros == ".000000", seconds).otherwise(F.concat(seconds, micros))
+    seconds = f"date_format({value}, \"yyyy-MM-dd'T'HH:mm:ss\")"
+    micros = f"date_format({value}, '.SSSSSS')"
+    return f"(case when {micros} = '.000000' then {seconds} else concat({seconds}, {micros}) end)"
 
 
 def as_text(name: str, dtype: T.DataType) -> Column:
     """Value as text: bytes as hex, dates and timestamps as ISO, nested values as JSON."""
-    c = col(name)
+    if is_nested(dtype):
+        body = F.to_json(F.struct(ordered_entries(col(name), dtype).alias("v")),
+                         {"ignoreNullFields": "false"})
+        # Without the {"v": ... } wrapper, which to_json needs around plain arrays.
+        return F.when(col(name).isNotNull(), F.substr(body, F.lit(6), F.length(body) - 6))
+    return F.expr(_flat_text(name, dtype))
+
+
+def short_text(name: str, dtype: T.DataType) -> Column:
+    """``as_text`` in its key form: long texts as their digest."""
+    if is_nested(dtype):
+        text = as_text(name, dtype)
+        digest = F.concat(F.lit("#"), F.sha2(text, 256))
+        return F.when(F.octet_length(text) > LONG_VALUE_BYTES, digest).otherwise(text)
+    text = _flat_text(name, dtype)
+    return F.expr(short_sql(text) if has_long_text(dtype) else text)
+
+
+def has_long_text(dtype: T.DataType) -> bool:
+    """Whether the text of a value can exceed the key size."""
+    return not isinstance(dtype, (
+        T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _flat_text(name: str, dtype: T.DataType) -> str:
+    c = quote(name)
     if is_text(dtype):
         return c
     if is_float(dtype):
         # Adding zero folds -0.0 into 0.0, which are one value.
-        return (present(name, dtype) + F.lit(0).cast(dtype)).cast("string")
+        return f"cast({present_sql(name, dtype)} + cast(0 as {dtype.simpleString()}) as string)"
     if isinstance(dtype, T.BinaryType):
-        return F.lower(F.hex(c))
+        return f"lower(hex({c}))"
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return iso_text(c, dtype)
+        return iso_sql(c)
     if is_variant(dtype):
-        return F.to_json(present(name, dtype))
-    if is_nested(dtype):
-        body = F.to_json(
-            F.struct(ordered_entries(c, dtype).alias("v")), {"ignoreNullFields": "false"}
-        )
-        # Strip the {"v": ... } wrapper that to_json needs around arrays of structs.
-        return F.when(c.isNotNull(), F.substr(body, F.lit(6), F.length(body) - 6))
-    return c.cast("string")
+        return f"to_json({present_sql(name, dtype)})"
+    return f"cast({c} as string)"
 
 
 def json_value(name: str, dtype: T.DataType) -> Column:

@@ -1,32 +1,30 @@
-"""Percentages and two-decimal rounding that agree with Python's ``round``."""
+"""Percentages and two-decimal rounding that agree with Python's ``round``.
 
-from __future__ import annotations
+Expressions are SQL text: one parse per expression costs far less on the driver than a
+JVM call per operator.
+"""
 
-from pyspark.sql import Column, functions as F
+from __future__ import annotations
 
-_SCALE = 2**62
+_STEPS = 2**62
 
 
-def round2(value: Column) -> Column:
-    """``round(value, 2)`` for values in [0, 2**31): exact binary value, half to even.
+def round2(value: str) -> str:
+    """``round(value, 2)`` for a double in [0, 2**31): exact binary value, half to even.
 
     Spark's ``round`` and ``bround`` look at the shortest decimal text of a double, so
     2.675 (stored as 2.67499...) becomes 2.68. Here the binary fraction is compared as
     an integer count of 2**-62 steps.
     """
-    whole = F.floor(value)
-    steps = ((value - whole) * F.lit(float(_SCALE))).cast("bigint")
-    scaled = steps.cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
-    unit = F.lit(_SCALE).cast("decimal(24,0)")
-    cents = F.floor(scaled / unit).cast("bigint")
-    rest = scaled - cents.cast("decimal(10,0)") * unit
-    half = F.lit(_SCALE // 2).cast("decimal(24,0)")
-    up = (rest > half) | ((rest == half) & ((cents % 2) == 1))
-    total = whole.cast("bigint") * 100 + cents + up.cast("int")
-    return total.cast("double") / F.lit(100.0)
-
-
-def percentage(part: Column, total: Column, empty: float | None = 100.0) -> Column:
+    value = f"cast({value} as double)"
+    scaled = f"cast(cast(({value} - floor({value})) * {float(_STEPS)}D as bigint) as decimal(20,0)) * 100"
+    cents = f"cast(floor(({scaled}) / {_STEPS}) as bigint)"
+    rest = f"(({scaled}) - cast({cents} as decimal(10,0)) * {_STEPS})"
+    up = f"cast({rest} > {_STEPS // 2} or ({rest} = {_STEPS // 2} and {cents} % 2 = 1) as int)"
+    return f"(cast(cast(floor({value}) as bigint) * 100 + {cents} + {up} as double) / 100D)"
+
+
+def percentage(part: str, total: str, empty: float | str = 100.0) -> str:
     """``part / total`` as a percentage with two decimals; ``empty`` where total is 0."""
-    share = part.cast("double") / F.nullif(total.cast("double"), F.lit(0.0)) * F.lit(100.0)
-    return F.when(total == 0, F.lit(empty)).otherwise(round2(share))
+    share = f"try_divide(cast({part} as double), cast({total} as double)) * 100D"
+    return f"case when {total} = 0 then cast({empty} as double) else {round2(share)} end"

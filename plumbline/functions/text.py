@@ -1,11 +1,12 @@
-"""Text functions that match Python's ``strip``, ``casefold`` and number parsing,
-built from JVM expressions only."""
+"""Text functions that match Python's ``strip``, ``casefold`` and number parsing, as SQL
+text over built-in functions."""
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
-from pyspark.sql import Column, functions as F
+from plumbline.functions.columns import literal
 
 # The characters Python's str.strip() removes.
 WHITESPACE = (
@@ -22,8 +23,8 @@ INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 DISPLAY_CHARACTERS = 120
 
 
-def strip(value: Column) -> Column:
-    return F.btrim(value, F.lit(WHITESPACE))
+def strip_sql(value: str) -> str:
+    return f"btrim({value}, {literal(WHITESPACE)})"
 
 
 @lru_cache(maxsize=1)
@@ -47,51 +48,48 @@ def _character_class(characters) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
 
 
-def fold(value: Column) -> Column:
+@lru_cache(maxsize=1)
+def _fold_template() -> str:
+    single, several = _casefold_rules()
+    sharp = "\u00df"
+    rest = {char: folded for char, folded in several.items() if char != sharp}
+    translated = (f"replace(translate({{s}}, {literal(''.join(single))}, {literal(''.join(single.values()))}), "
+                  f"'{sharp}', '{several[sharp]}')")
+    table = f"from_json({literal(json.dumps(rest))}, 'map<string,string>')"
+    replaced = (f"array_join(transform(transform(sequence(1, length({translated})), "
+                f"i -> substr({translated}, i, 1)), ch -> coalesce(try_element_at({table}, ch), ch)), '')")
+    return (r"(case when not {s} rlike r'[^\x00-\x7F]' then lower({s}) "
+            f"when not {{s}} rlike r'{_character_class(rest)}' then {translated} else {replaced} end)")
+
+
+def fold_sql(value: str) -> str:
     """``value.strip().casefold()``.
 
     ASCII strings take ``lower``; others one ``translate``, and only those holding a
-    character that folds to several (other than the common sharp s) a chain of
-    replacements. CASE is lazy, so each string pays for its own branch alone.
+    character that folds to several (other than the common sharp s) a look at every
+    character. CASE is lazy, so each string pays for its own branch alone.
     """
-    single, several = _casefold_rules()
-    stripped = strip(value)
-    sharp = "\u00df"
-    translated = F.replace(
-        F.translate(stripped, "".join(single), "".join(single.values())),
-        F.lit(sharp), F.lit(several[sharp]),
-    )
-    rest = {char: folded for char, folded in several.items() if char != sharp}
-    replaced = translated
-    for char, folded in rest.items():
-        replaced = F.replace(replaced, F.lit(char), F.lit(folded))
-    return (
-        F.when(~stripped.rlike(r"[^\x00-\x7F]"), F.lower(stripped))
-        .when(~stripped.rlike(_character_class(rest)), translated)
-        .otherwise(replaced)
-    )
+    return _fold_template().replace("{s}", strip_sql(value))
 
 
-def parse_number(value: Column, decimal: str = ".") -> Column:
+def number_sql(value: str, decimal: str = ".") -> str:
     """The number a text spells, or NULL. Type suffixes, ``nan`` and overflow are refused."""
     pattern = COMMA_NUMBER_PATTERN if decimal == "," else NUMBER_PATTERN
-    plain = F.replace(value, F.lit(","), F.lit(".")) if decimal == "," else value
-    parsed = strip(plain).try_cast("double")
-    spelled_infinity = F.lower(value).contains("inf")
-    return F.when(
-        value.rlike(pattern), F.when((F.abs(parsed) < float("inf")) | spelled_infinity, parsed)
-    )
+    plain = f"replace({value}, ',', '.')" if decimal == "," else value
+    parsed = f"try_cast({strip_sql(plain)} as double)"
+    return (f"(case when {value} rlike r'{pattern}' and (abs({parsed}) < double('inf') "
+            f"or contains(lower({value}), 'inf')) then {parsed} end)")
 
 
-def is_number(value: Column, decimal: str = ".") -> Column:
-    return parse_number(value, decimal).isNotNull()
+def is_number_sql(value: str, decimal: str = ".") -> str:
+    return f"({number_sql(value, decimal)} is not null)"
 
 
-def quoted(value: Column) -> Column:
+def quoted_sql(value: str) -> str:
     """Padded strings in quotes, so that "SP" and " SP " can be told apart."""
-    return F.when(value != strip(value), F.concat(F.lit("'"), value, F.lit("'"))).otherwise(value)
+    return f"(case when {value} <> {strip_sql(value)} then concat('\\'', {value}, '\\'') else {value} end)"
 
 
-def display(value: Column) -> Column:
+def display_sql(value: str) -> str:
     """The example form: quoted when padded, at most 120 characters."""
-    return F.substring(quoted(value), 1, DISPLAY_CHARACTERS)
+    return f"substring({quoted_sql(value)}, 1, {DISPLAY_CHARACTERS})"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from plumbline.functions.columns import (
     ROW_ID, as_text, col, data_fields, group_key, is_nested, normalise, ordered_entries,
 )
-from plumbline.functions.text import quoted
+from plumbline.functions.text import quoted_sql
 
 HOT_SHARE = 1_000
 """Groups holding at least 1/1000 of all rows are joined by broadcast: there can be at
@@ -132,9 +132,9 @@ def pair_values(df: DataFrame, pairs: DataFrame, row_id: str = ROW_ID) -> DataFr
     fields = data_fields(df, row_id)
     texts = df.select(
         col(row_id).alias("_order"),
-        *[F.coalesce(quoted(as_text(f.name, f.dataType)), F.lit("(missing)")).alias(f"v{i}")
-          for i, f in enumerate(fields)],
-    )
+        *[as_text(f.name, f.dataType).alias(f"v{i}") for i, f in enumerate(fields)],
+    ).select("_order", *[
+        F.expr(f"coalesce({quoted_sql(f'v{i}')}, '(missing)') as v{i}") for i in range(len(fields))])
     values = [f"v{i}" for i in range(len(fields))]
     kept = texts.select(F.col("_order").alias("kept_row"), F.struct(*values).alias("kept"))
     removed = texts.select(F.col("_order").alias("removed_row"), F.struct(*values).alias("removed"))

@@ -6,12 +6,14 @@ then arithmetic over a frame with one row per column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.functions.columns import (
-    col, data_fields, field_of, group_key, is_text, is_variant, kind, missing, short,
+    col, data_fields, field_of, group_key, is_text, is_variant, kind, literal, missing_sql, quote,
+    short_sql,
 )
-from plumbline.functions.text import fold, is_number
+from plumbline.functions.local import local_frame
+from plumbline.functions.text import fold_sql, is_number_sql
 
 # The share of number-like texts that marks a column as numbers stored as
 # text.
@@ -31,79 +33,61 @@ COLUMN_FACTS = T.StructType([
 ])
 
 
-def _value_kind(name: str) -> Column:
+def _value_kind(name: str) -> str:
     """The kind of one variant value: boolean, number, text or its own type name."""
-    schema = F.schema_of_variant(col(name))
-    word = F.regexp_extract(schema, r"^([A-Z_]+)", 1)
-    return (
-        F.when(word == "BOOLEAN", "boolean")
-        .when(word.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "number")
-        .when(word == "STRING", "text")
-        .otherwise(word)
-    )
+    word = f"regexp_extract(schema_of_variant({quote(name)}), '^([A-Z_]+)', 1)"
+    return (f"(case when {word} = 'BOOLEAN' then 'boolean' when {word} = 'STRING' then 'text' "
+            f"when {word} in ('BIGINT', 'DECIMAL', 'DOUBLE', 'FLOAT') then 'number' else {word} end)")
 
 
 def _scan(df: DataFrame, row_id: str | None) -> DataFrame:
+    """One row of counters for all columns, from one aggregation."""
     fields = data_fields(df, row_id)
-    complete = F.lit(True)
-    aggregates = [F.count(F.lit(1)).alias("rows")]
+    absent = {f.name: missing_sql(f.name, f.dataType) for f in fields}
+    complete = " and ".join(f"not {a}" for a in absent.values()) or "true"
+    aggregates = [F.expr("count(1) as rows"), F.expr(f"count_if({complete}) as complete_rows")]
     for i, f in enumerate(fields):
-        absent = missing(f.name, f.dataType)
-        complete = complete & ~absent
-        aggregates.append(F.count_if(absent).alias(f"missing{i}"))
+        aggregates.append(F.expr(f"count_if({absent[f.name]}) as missing{i}"))
         if is_text(f.dataType):
-            aggregates.append(F.count_if(is_number(col(f.name))).alias(f"numeric{i}"))
+            aggregates.append(F.expr(f"count_if({is_number_sql(quote(f.name))}) as numeric{i}"))
         if is_variant(f.dataType):
-            sort = F.when(~absent, _value_kind(f.name))
-            aggregates.append((F.min(sort) < F.max(sort)).alias(f"mixed{i}"))
-        key = group_key(f.name, f.dataType)
+            sort = f"case when not {absent[f.name]} then {_value_kind(f.name)} end"
+            aggregates.append(F.expr(f"min({sort}) < max({sort}) as mixed{i}"))
         # Smallest = largest is an exact test for at most one distinct value.
+        key = group_key(f.name, f.dataType)
         aggregates.append((F.min(key) < F.max(key)).alias(f"varies{i}"))
-    aggregates.append(F.count_if(complete).alias("complete_rows"))
     return df.agg(*aggregates)
 
 
-def _column_structs(fields: list[T.StructField], dataset_id: str) -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(dataset_id).alias("dataset_id"),
-            F.lit(i).alias("ordinal"),
-            F.lit(f.name).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("type"),
-            F.lit(kind(f.dataType)).alias("kind"),
-            F.col("rows"),
-            F.col(f"missing{i}").alias("missing"),
-            (F.col(f"numeric{i}") if is_text(f.dataType) else F.lit(0).cast("bigint"))
-            .alias("numeric_texts"),
-            (F.coalesce(f"mixed{i}", F.lit(False)) if is_variant(f.dataType) else F.lit(False))
-            .alias("mixed"),
-            (~F.coalesce(f"varies{i}", F.lit(False))).alias("constant"),
-        )
-        for i, f in enumerate(fields)
-    ])
+def _column_rows(fields: list[T.StructField], dataset_id: str) -> str:
+    """The counters of ``_scan`` as one row per column."""
+    if not fields:
+        return f"inline(cast(array() as array<{COLUMN_FACTS.simpleString()}>))"
+    rows = [
+        f"struct({literal(dataset_id)} as dataset_id, {i} as ordinal, {literal(f.name)} as column, "
+        f"{literal(f.dataType.simpleString())} as type, {literal(kind(f.dataType))} as kind, rows, "
+        f"missing{i} as missing, {f'numeric{i}' if is_text(f.dataType) else '0L'} as numeric_texts, "
+        f"{f'coalesce(mixed{i}, false)' if is_variant(f.dataType) else 'false'} as mixed, "
+        f"not coalesce(varies{i}, false) as constant)"
+        for i, f in enumerate(fields)]
+    return f"inline(array({', '.join(rows)}))"
 
 
 def column_facts(df: DataFrame, dataset_id: str = "dataset", row_id: str | None = None) -> DataFrame:
     """One row per column (see ``COLUMN_FACTS``), from one aggregation."""
-    return _scan(df, row_id).select(F.inline(_column_structs(data_fields(df, row_id), dataset_id)))
+    return _scan(df, row_id).selectExpr(_column_rows(data_fields(df, row_id), dataset_id))
 
 
 def table_facts(df: DataFrame, dataset_id: str = "dataset", row_id: str | None = None) -> DataFrame:
     """One row: dataset_id, rows, columns, missing_cells, complete_rows."""
     fields = data_fields(df, row_id)
-    complete = F.lit(True)
-    cells = F.lit(0)
-    for f in fields:
-        absent = missing(f.name, f.dataType)
-        complete = complete & ~absent
-        cells = cells + absent.cast("int")
-    return df.agg(
-        F.lit(dataset_id).alias("dataset_id"),
-        F.count(F.lit(1)).alias("rows"),
-        F.lit(len(fields)).alias("columns"),
-        F.coalesce(F.sum(cells), F.lit(0)).cast("bigint").alias("missing_cells"),
-        F.count_if(complete).alias("complete_rows"),
-    )
+    absent = [missing_sql(f.name, f.dataType) for f in fields]
+    cells = " + ".join(f"cast({a} as bigint)" for a in absent) or "0L"
+    complete = " and ".join(f"not {a}" for a in absent) or "true"
+    return df.select(F.expr(f"{cells} as cells"), F.expr(f"{complete} as complete")).agg(
+        F.expr(f"{literal(dataset_id)} as dataset_id"), F.expr("count(1) as rows"),
+        F.expr(f"{len(fields)} as columns"), F.expr("coalesce(sum(cells), 0L) as missing_cells"),
+        F.expr("count_if(complete) as complete_rows"))
 
 
 def scan_facts(df: DataFrame, dataset_id: str = "dataset",
@@ -115,17 +99,12 @@ def scan_facts(df: DataFrame, dataset_id: str = "dataset",
     fields = data_fields(df, row_id)
     scan = _scan(df, row_id)
     row = scan.first()
-    counters = df.sparkSession.createDataFrame([row], scan.schema)
-    missing_cells = F.lit(0).cast("bigint")
-    for i in range(len(fields)):
-        missing_cells = missing_cells + F.col(f"missing{i}")
+    counters = local_frame(df.sparkSession, [row], scan.schema)
+    cells = " + ".join(f"missing{i}" for i in range(len(fields))) or "0L"
     return (
-        counters.select(F.inline(_column_structs(fields, dataset_id))),
-        counters.select(
-            F.lit(dataset_id).alias("dataset_id"), "rows", F.lit(len(fields)).alias("columns"),
-            missing_cells.alias("missing_cells"), "complete_rows",
-        ),
-    )
+        counters.selectExpr(_column_rows(fields, dataset_id)),
+        counters.selectExpr(f"{literal(dataset_id)} as dataset_id", "rows", f"{len(fields)} as columns",
+                            f"{cells} as missing_cells", "complete_rows"))
 
 
 def text_variant_columns(df: DataFrame, names: list[str] | None = None,
@@ -138,16 +117,15 @@ def text_variant_columns(df: DataFrame, names: list[str] | None = None,
     if names is None:
         names = [f.name for f in data_fields(df, row_id) if is_text(f.dataType)]
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, variant_groups bigint")
-    pairs = df.select(*[
-        F.when(col(n).isNotNull(),
-               F.struct(short(fold(col(n))).alias("folded"), short(col(n)).alias("raw"))).alias(n)
-        for n in names
+        return local_frame(df.sparkSession, [], "column string, variant_groups bigint")
+    pairs = df.selectExpr(*[
+        f"case when {q} is not null then struct({short_sql(fold_sql(q))} as folded, "
+        f"{short_sql(q)} as raw) end as {q}" for q in map(quote, names)
     ]).unpivot([], [col(n) for n in names], "column", "value").where("value is not null")
     return (
-        pairs.groupBy("column", F.col("value.folded").alias("folded"))
-        .agg((F.min("value.raw") < F.max("value.raw")).alias("varies"))
-        .where("varies").groupBy("column").agg(F.count(F.lit(1)).alias("variant_groups"))
+        pairs.groupBy("column", F.expr("value.folded as folded"))
+        .agg(F.expr("min(value.raw) < max(value.raw) as varies"))
+        .where("varies").groupBy("column").agg(F.expr("count(1) as variant_groups"))
     )
 
 
@@ -155,12 +133,12 @@ def mixed_type_columns(df: DataFrame) -> DataFrame:
     """(column, kinds): variant columns whose values are of more than one kind."""
     names = [f.name for f in df.schema.fields if is_variant(f.dataType)]
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, kinds bigint")
-    kinds = df.select(*[
-        F.when(~missing(n, field_of(df, n).dataType), _value_kind(n)).alias(n) for n in names
-    ])
+        return local_frame(df.sparkSession, [], "column string, kinds bigint")
+    kinds = df.selectExpr(*[
+        f"case when not {missing_sql(n, field_of(df, n).dataType)} then {_value_kind(n)} end as {quote(n)}"
+        for n in names])
     return (
         kinds.unpivot([], [col(n) for n in names], "column", "sort").where("sort is not null")
         .groupBy("column", "sort").count()
-        .groupBy("column").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        .groupBy("column").agg(F.expr("count(1) as kinds")).where("kinds > 1")
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions.columns import (
-    as_text, col, data_fields, field_of, is_measurement, is_nested, missing, short,
+    as_text, col, data_fields, field_of, has_long_text, is_measurement, is_nested, is_variant,
+    missing, short_text,
 )
+from plumbline.functions.local import local_frame
 
 
 def melted(df: DataFrame, names: list[str], row_id: str | None = None) -> DataFrame:
@@ -15,7 +19,7 @@ def melted(df: DataFrame, names: list[str], row_id: str | None = None) -> DataFr
     fields = [field_of(df, name) for name in names]
     wide = df.select(
         *([col(row_id).alias("_order")] if row_id else []),
-        *[short(as_text(f.name, f.dataType)).alias(f.name) for f in fields],
+        *[short_text(f.name, f.dataType).alias(f.name) for f in fields],
     )
     ids = [F.col("_order")] if row_id else []
     return wide.unpivot(ids, [col(n) for n in names], "column", "key").where("key is not null")
@@ -44,7 +48,7 @@ def distinct_counts(df: DataFrame, names: list[str] | None = None,
         frequencies(df.drop(row_id) if row_id else df, names)
         .groupBy("column").agg(F.count(F.lit(1)).alias("n"))
     )
-    every = df.sparkSession.createDataFrame([(n,) for n in names], "column string")
+    every = local_frame(df.sparkSession, [(n,) for n in names], "column string")
     return every.join(F.broadcast(counted), "column", "left").select(
         "column", F.coalesce("n", F.lit(0)).cast("bigint").alias("distinct_count")
     )
@@ -56,7 +60,7 @@ def approximate_distinct_counts(df: DataFrame, names: list[str] | None = None,
     names = [f.name for f in data_fields(df)] if names is None else names
     fields = [field_of(df, name) for name in names]
     row = df.agg(*[
-        F.approx_count_distinct(short(as_text(f.name, f.dataType)), relative_error).alias(f"d{i}")
+        F.approx_count_distinct(short_text(f.name, f.dataType), relative_error).alias(f"d{i}")
         for i, f in enumerate(fields)
     ])
     return row.select(F.inline(F.array(*[
@@ -82,18 +86,18 @@ def top_values(df: DataFrame, names: list[str] | None = None, k: int = 5,
     if names is None:
         names = [f.name for f in data_fields(df, row_id) if not is_measurement(f.dataType)]
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, rank int, value string, n bigint")
+        return local_frame(df.sparkSession, [], "column string, rank int, value string, n bigint")
     winners = top_k(frequencies(df, names, row_id), k, "first_row" if row_id else "key")
-    long_names = [n for n in names if not _always_short(df, n)]
+    long_names = [n for n in names if has_long_text(field_of(df, n).dataType)]
     if not long_names:
         return winners.select("column", "rank", F.col("key").alias("value"), "n")
     # Proven bound: at most k digests per column reach the broadcast.
     digests = winners.where(F.col("key").startswith("#") & (F.length("key") == 65))
-    texts = None
-    for name in long_names:
-        text = as_text(name, field_of(df, name).dataType)
-        part = df.select(F.lit(name).alias("column"), short(text).alias("key"), text.alias("text"))
-        texts = part if texts is None else texts.unionByName(part)
+    parts = [
+        df.select(F.lit(n).alias("column"), short_text(n, field_of(df, n).dataType).alias("key"),
+                  as_text(n, field_of(df, n).dataType).alias("text"))
+        for n in long_names]
+    texts = reduce(DataFrame.unionByName, parts)
     found = (
         texts.join(F.broadcast(digests.select("column", "key")), ["column", "key"], "left_semi")
         .groupBy("column", "key").agg(F.first("text").alias("text"))
@@ -104,12 +108,6 @@ def top_values(df: DataFrame, names: list[str] | None = None, k: int = 5,
     )
 
 
-def _always_short(df: DataFrame, name: str) -> bool:
-    return isinstance(field_of(df, name).dataType, (
-        T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType,
-    ))
-
-
 def value_counts(df: DataFrame, name: str, row_id: str | None = None) -> DataFrame:
     """(key, n[, first_row]) of one column."""
     return frequencies(df, [name], row_id).drop("column")
@@ -122,7 +120,7 @@ def most_frequent(df: DataFrame, name: str):
     buffer. None when every value is missing.
     """
     field = field_of(df, name)
-    if is_nested(field.dataType):
+    if is_nested(field.dataType) or is_variant(field.dataType):
         raise ValueError("Nested values have no most frequent value to fill with.")
     row = (
         df.where(~missing(name, field.dataType)).groupBy(col(name).alias("value"))

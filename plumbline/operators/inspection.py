@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.columns import (
-    ROW_ID, as_text, col, data_fields, field_of, finite, missing, number, short,
+    ROW_ID, as_text, col, data_fields, field_of, finite, literal, missing, missing_sql, number,
+    short_sql, short_text,
 )
-from plumbline.functions.text import display, quoted
+from plumbline.functions.local import local_frame
+from plumbline.functions.text import display_sql, quoted_sql
 from plumbline.operators.frequencies import top_values
 from plumbline.operators.outliers import fences_from_quartiles, outside
 from plumbline.operators.quantiles import quantiles
@@ -30,11 +32,10 @@ def missing_by_column(df: DataFrame, row_id: str | None = None) -> DataFrame:
     fields = data_fields(df, row_id)
     counted = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)])
-    return counted.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"), F.col("rows"),
-                 F.col(f"m{i}").alias("missing"))
-        for i, f in enumerate(fields)])))
+        *[F.expr(f"count_if({missing_sql(f.name, f.dataType)}) as m{i}") for i, f in enumerate(fields)])
+    rows = [f"struct({i} as ordinal, {literal(f.name)} as column, rows, m{i} as missing)"
+            for i, f in enumerate(fields)]
+    return counted.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def most_missing(df: DataFrame, row_id: str | None = None) -> DataFrame:
@@ -45,22 +46,23 @@ def most_missing(df: DataFrame, row_id: str | None = None) -> DataFrame:
 def category_counts(df: DataFrame, column: str, row_id: str | None = None) -> DataFrame:
     """(rank, label, count) of the eight most frequent values; padded labels are quoted."""
     return top_values(df, [column], SHOWN_CATEGORIES, row_id).select(
-        "rank", quoted(F.col("value")).alias("label"), F.col("n").alias("count"))
+        "rank", F.expr(quoted_sql("value")).alias("label"), F.col("n").alias("count"))
 
 
 def category_share(df: DataFrame, column: str) -> DataFrame:
     """(label, count) of all values with missing as one of them; empty when that makes
     more than five entries. Whether a measurement is that discrete is decided on all
     rows."""
-    key = short(as_text(column, field_of(df, column).dataType))
+    dtype = field_of(df, column).dataType
+    key = short_text(column, dtype)
     groups = df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("count"))
     few = groups.agg(F.count(F.lit(1)) <= SHARE_CATEGORIES).scalar()
     shares = groups.where(few)
     # At most five rows remain; whole texts of long labels come from the top values.
     texts = top_values(df, [column], SHARE_CATEGORIES).select(
-        short(F.col("value")).alias("key"), "value")
+        F.expr(short_sql("value")).alias("key"), "value")
     return shares.join(F.broadcast(texts), "key", "left").select(
-        F.when(F.col("key").isNull(), MISSING_LABEL).otherwise(quoted(F.coalesce("value", "key")))
+        F.expr(f"case when key is null then '{MISSING_LABEL}' else {quoted_sql('coalesce(value, key)')} end")
         .alias("label"), "count")
 
 
@@ -77,9 +79,9 @@ def outlier_records(df: DataFrame, column: str, fence: dict, row_id: str = ROW_I
     dtype = field_of(df, column).dataType
     return (
         df.where(outside(number(column, dtype), fence))
-        .select(col(row_id).alias("_order"), display(as_text(column, dtype)).alias("value"))
+        .select(col(row_id).alias("_order"), as_text(column, dtype).alias("value"))
         .orderBy("_order").limit(SHOWN_RECORDS)
-        .select((F.col("_order") + 2).alias("source_row"), "value"))
+        .select((F.col("_order") + 2).alias("source_row"), F.expr(display_sql("value")).alias("value")))
 
 
 def positions(df: DataFrame, records: DataFrame, row_id: str = ROW_ID) -> DataFrame:
@@ -92,7 +94,7 @@ def positions(df: DataFrame, records: DataFrame, row_id: str = ROW_ID) -> DataFr
         return records.withColumn("row", F.lit(None).cast("bigint"))
     counts = df.agg(*[F.count_if(col(row_id) <= r["source_row"] - 2) for r in rows]).first()
     schema = records.schema.simpleString()[len("struct<"):-1] + ",row:bigint"
-    return df.sparkSession.createDataFrame([(*r, c) for r, c in zip(rows, counts)], schema)
+    return local_frame(df.sparkSession, [(*r, c) for r, c in zip(rows, counts)], schema)
 
 
 def box_statistics(df: DataFrame, columns: list[str], **options) -> DataFrame:
@@ -102,8 +104,8 @@ def box_statistics(df: DataFrame, columns: list[str], **options) -> DataFrame:
     fitted = quantiles(df, {n: finite(v) for n, v in values.items()}, [0.25, 0.5, 0.75], **options)
     columns = [n for n in columns if fitted[n]]
     if not columns:
-        return df.sparkSession.createDataFrame(
-            [], "column string, q1 double, median double, q3 double, whisker_low double, "
+        return local_frame(
+            df.sparkSession, [], "column string, q1 double, median double, q3 double, whisker_low double, "
             "whisker_high double, lower double, upper double, finite_count bigint, outliers bigint")
     fences = {n: fences_from_quartiles(fitted[n][0], fitted[n][2]) for n in columns}
     aggregates = []

@@ -6,6 +6,7 @@ import sys
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.functions.local import local_frame
 from plumbline.functions.columns import data_fields, finite, infinite, is_measurement, number
 from plumbline.operators.quantiles import quantiles
 
@@ -75,7 +76,7 @@ def outlier_counts(df: DataFrame, fences: dict[str, dict[str, float]]) -> DataFr
     columns = _numbers(df, list(fences))
     names = list(fences)
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, outliers bigint, present bigint")
+        return local_frame(df.sparkSession, [], "column string, outliers bigint, present bigint")
     counted = df.agg(*[
         aggregate
         for i, name in enumerate(names)

@@ -7,8 +7,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.columns import (
-    col, data_fields, field_of, finite, is_measurement, is_plot_numeric, number,
+    col, data_fields, field_of, finite, is_measurement, is_plot_numeric, literal, number, number_sql,
 )
+from plumbline.functions.local import local_frame
 from plumbline.functions.numbers import percentage
 from plumbline.operators.duplicates import duplicate_count
 from plumbline.operators.facts import NUMERIC_TEXT_SHARE, column_facts, table_facts
@@ -31,8 +32,7 @@ def dataset_profile(df: DataFrame, row_id: str | None = None) -> DataFrame:
     repeated = duplicate_count(df, row_id).select("duplicate_rows")
     return facts.select(
         "rows", "columns",
-        percentage(F.col("missing_cells"), F.col("rows") * F.col("columns"), 0.0)
-        .alias("missing_percentage"),
+        F.expr(percentage("missing_cells", "(rows * columns)", 0.0)).alias("missing_percentage"),
         repeated.scalar().alias("duplicate_rows"),
     )
 
@@ -42,17 +42,18 @@ def column_profile(df: DataFrame, row_id: str | None = None) -> DataFrame:
     facts = column_facts(df, row_id=row_id)
     return facts.join(F.broadcast(distinct_counts(df, row_id=row_id)), "column").select(
         "ordinal", "column", "type", "kind", "rows", "missing",
-        percentage(F.col("missing"), F.col("rows"), 0.0).alias("missing_percentage"),
+        F.expr(percentage("missing", "rows", 0.0)).alias("missing_percentage"),
         F.col("distinct_count").alias("unique_count"),
         numbers_as_text().alias("numbers_stored_as_text"),
     )
 
 
+# Over column facts: at least 90% of the present texts spell a number.
+NUMBERS_AS_TEXT = f"coalesce(try_divide(numeric_texts, rows - missing) >= {NUMERIC_TEXT_SHARE}D, false)"
+
+
 def numbers_as_text() -> Column:
-    """Over column facts: at least 90% of the present texts spell a number."""
-    present = F.col("rows") - F.col("missing")
-    share = F.try_divide(F.col("numeric_texts"), present)
-    return F.coalesce(share >= NUMERIC_TEXT_SHARE, F.lit(False))
+    return F.expr(NUMBERS_AS_TEXT)
 
 
 def numeric_describe(df: DataFrame, names: list[str] | None = None,
@@ -64,37 +65,29 @@ def numeric_describe(df: DataFrame, names: list[str] | None = None,
     if names is None:
         names = [f.name for f in data_fields(df, row_id) if is_measurement(f.dataType)]
     if not names:
-        return df.sparkSession.createDataFrame(
-            [], "column string, count bigint, mean double, std double, min double, q25 double, "
+        return local_frame(
+            df.sparkSession, [], "column string, count bigint, mean double, std double, min double, q25 double, "
             "q50 double, q75 double, max double")
-    values = {n: number(n, field_of(df, n).dataType) for n in names}
-    quartiles = quantiles(df, values, [0.25, 0.5, 0.75], **options)
+    values = {n: number_sql(n, field_of(df, n).dataType) for n in names}
+    quartiles = quantiles(df, {n: F.expr(v) for n, v in values.items()}, [0.25, 0.5, 0.75], **options)
     aggregated = df.agg(*[
-        aggregate.alias(f"{label}{i}")
+        F.expr(f"{function}({values[n]}) as {label}{i}")
         for i, n in enumerate(names)
-        for label, aggregate in (
-            ("count", F.count(values[n])), ("mean", F.avg(values[n])),
-            ("std", F.stddev_samp(values[n])), ("min", F.min(values[n])),
-            ("max", F.max(values[n])),
-        )
-    ])
+        for label, function in (("count", "count"), ("mean", "avg"), ("std", "stddev_samp"),
+                                ("min", "min"), ("max", "max"))])
 
-    def shown(value: Column) -> Column:
-        return F.when(~F.isnan(value), finite(value))
-
-    return aggregated.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(n).alias("column"), F.col(f"count{i}").alias("count"),
-            shown(F.col(f"mean{i}")).alias("mean"), shown(F.col(f"std{i}")).alias("std"),
-            shown(F.col(f"min{i}")).alias("min"),
-            *[
-                shown(F.lit(q).cast("double")).alias(label)
-                for label, q in zip(("q25", "q50", "q75"), quartiles[n] or [None] * 3)
-            ],
-            shown(F.col(f"max{i}")).alias("max"),
-        )
-        for i, n in enumerate(names)
-    ])))
+    def shown(value: str, label: str) -> str:
+        return f"case when abs({value}) < double('inf') then {value} end as {label}"
+
+    rows = []
+    for i, n in enumerate(names):
+        fitted = [f"double('{q!r}')" if q is not None else "cast(null as double)"
+                  for q in quartiles[n] or [None] * 3]
+        parts = [shown(f"mean{i}", "mean"), shown(f"std{i}", "std"), shown(f"min{i}", "min"),
+                 *[shown(q, label) for q, label in zip(fitted, ("q25", "q50", "q75"))],
+                 shown(f"max{i}", "max")]
+        rows.append(f"struct({literal(n)} as column, count{i} as count, {', '.join(parts)})")
+    return aggregated.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def plot_columns(df: DataFrame, row_id: str | None = None) -> list[T.StructField]:
@@ -129,8 +122,8 @@ def histograms(df: DataFrame, row_id: str | None = None) -> DataFrame:
     values = {f.name: finite(number(f.name, f.dataType)) for f in fields}
     spark = df.sparkSession
     if not values or not (ranges := _scaled_ranges(df, values)):
-        return spark.createDataFrame(
-            [], "column string, bin int, low double, high double, count bigint")
+        return local_frame(
+            spark, [], "column string, bin int, low double, high double, count bigint")
     bins, edges = [], []
     for name, (scale, low, high) in ranges.items():
         if low == high:
@@ -156,7 +149,7 @@ def histograms(df: DataFrame, row_id: str | None = None) -> DataFrame:
         df.select(*bins).unpivot([], [col(n) for n in ranges], "column", "bin")
         .where("bin is not null").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"))
     )
-    frame = spark.createDataFrame(edges, "column string, bin int, low double, high double")
+    frame = local_frame(spark, edges, "column string, bin int, low double, high double")
     return frame.join(F.broadcast(counted), ["column", "bin"], "left").select(
         "column", "bin", "low", "high", F.coalesce("count", F.lit(0)).alias("count"))
 
@@ -170,7 +163,7 @@ def correlations(df: DataFrame, row_id: str | None = None) -> DataFrame:
     for all pairs, over all rows.
     """
     values = {f.name: finite(number(f.name, f.dataType)) for f in plot_columns(df, row_id)}
-    empty = df.sparkSession.createDataFrame([], "a string, b string, r double, pairs bigint")
+    empty = local_frame(df.sparkSession, [], "a string, b string, r double, pairs bigint")
     if len(values) < 2:
         return empty
     ranges = _scaled_ranges(df, values)
@@ -183,25 +176,17 @@ def correlations(df: DataFrame, row_id: str | None = None) -> DataFrame:
     ])
     couples = list(combinations(range(len(varying)), 2))
     moments = scaled.agg(*[
-        aggregate.alias(f"{label}_{i}_{j}")
-        for i, j in couples
-        for label, aggregate in (
-            ("xy", F.regr_sxy(f"x{j}", f"x{i}")), ("xx", F.regr_sxx(f"x{j}", f"x{i}")),
-            ("yy", F.regr_syy(f"x{j}", f"x{i}")), ("n", F.regr_count(f"x{j}", f"x{i}")),
-        )
-    ])
-
-    def pearson(i: int, j: int) -> Column:
-        r = F.try_divide(F.col(f"xy_{i}_{j}"),
-                         F.sqrt(F.col(f"xx_{i}_{j}")) * F.sqrt(F.col(f"yy_{i}_{j}")))
-        return F.when(F.col(f"n_{i}_{j}") >= MIN_PAIRS,
-                      F.when(~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))))
-
-    return moments.select(F.inline(F.array(*[
-        F.struct(F.lit(varying[i]).alias("a"), F.lit(varying[j]).alias("b"),
-                 pearson(i, j).alias("r"), F.col(f"n_{i}_{j}").alias("pairs"))
+        F.expr(f"{function}(x{j}, x{i}) as {label}_{i}_{j}")
         for i, j in couples
-    ])))
+        for label, function in (("xy", "regr_sxy"), ("xx", "regr_sxx"), ("yy", "regr_syy"), ("n", "regr_count"))])
+    rows = []
+    for i, j in couples:
+        r = f"try_divide(xy_{i}_{j}, sqrt(xx_{i}_{j}) * sqrt(yy_{i}_{j}))"
+        rows.append(
+            f"struct({literal(varying[i])} as a, {literal(varying[j])} as b, "
+            f"case when n_{i}_{j} >= {MIN_PAIRS} and not isnan({r}) "
+            f"then greatest(-1D, least(1D, {r})) end as r, n_{i}_{j} as pairs)")
+    return moments.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def preferred_order(target: str | None = None, important: list[str] = ()) -> list[Column]:
@@ -245,7 +230,7 @@ def missing_ranking(facts: DataFrame, limit: int = 10) -> DataFrame:
     """Columns with missing values, highest share first, with how many there are."""
     ranked = facts.where("missing > 0").select(
         "column", "ordinal", "missing",
-        percentage(F.col("missing"), F.col("rows"), 0.0).alias("missing_percentage"))
+        F.expr(percentage("missing", "rows", 0.0)).alias("missing_percentage"))
     # One row per column of the table: the window sees metadata, not data.
     return (
         ranked.withColumn("affected_columns", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))

@@ -11,38 +11,40 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.columns import col, field_of, missing
+from plumbline.functions.columns import field_of, literal, missing_sql
 from plumbline.functions.numbers import percentage
 from plumbline.operators.frequencies import top_k, value_counts
-from plumbline.operators.profile import numbers_as_text
+from plumbline.operators.profile import NUMBERS_AS_TEXT
 from plumbline.plans import constants as K
 
-INDICATOR_COLUMNS = ["dataset_id", "dimension", "position", "indicator", "numerator",
-                     "denominator", "value", "weight", "applicable"]
-FINDING_COLUMNS = ["dataset_id", "dimension", "column", "code", "problem", "recommendation"]
 
+def _indicators(counters: DataFrame, dimension: str, *entries: tuple[str, str, str, float]) -> DataFrame:
+    """Indicator rows from one row of counters per dataset: (name, part, total, value if
+    the total is 0), the counters as SQL text."""
+    rows = [
+        f"struct({literal(dimension)} as dimension, {i} as position, {literal(name)} as indicator, "
+        f"cast({part} as bigint) as numerator, cast({total} as bigint) as denominator, "
+        f"{float(empty)}D as empty)"
+        for i, (name, part, total, empty) in enumerate(entries)]
+    return counters.selectExpr("dataset_id", f"inline(array({', '.join(rows)}))").selectExpr(
+        "dataset_id", "dimension", "position", "indicator", "numerator", "denominator",
+        f"{percentage('numerator', 'denominator', 'empty')} as value", "1D as weight",
+        "true as applicable")
 
-def indicator(dimension: str, position: int, name: str, part: Column, total: Column,
-              empty: float) -> Column:
-    part, total = part.cast("bigint"), total.cast("bigint")
-    return F.struct(
-        F.lit(dimension).alias("dimension"), F.lit(position).alias("position"),
-        F.lit(name).alias("indicator"), part.alias("numerator"), total.alias("denominator"),
-        percentage(part, total, empty).alias("value"), F.lit(1.0).alias("weight"),
-        F.lit(True).alias("applicable"),
-    )
 
+def finding(source: DataFrame, dimension: str, column: str, code: str, problem: str,
+            recommendation: str) -> DataFrame:
+    """Finding rows. In the texts, ``{expression}`` is filled in from the source row."""
+    def filled(text: str) -> str:
+        parts = []
+        for i, part in enumerate(text.replace("}", "{").split("{")):
+            parts.append(f"cast({part} as string)" if i % 2 else literal(part))
+        return f"concat({', '.join(parts)})"
 
-def _long(counters: DataFrame, *structs: Column) -> DataFrame:
-    return counters.select("dataset_id", F.inline(F.array(*structs)))
-
-
-def finding(source: DataFrame, dimension: str, column, code: str, problem: Column,
-            recommendation: Column) -> DataFrame:
-    return source.select(
-        "dataset_id", F.lit(dimension).alias("dimension"), column.alias("column"),
-        F.lit(code).alias("code"), problem.alias("problem"),
-        recommendation.alias("recommendation"))
+    return source.selectExpr(
+        "dataset_id", f"{literal(dimension)} as dimension", f"cast({column} as string) as column",
+        f"{literal(code)} as code", f"{filled(problem)} as problem",
+        f"{filled(recommendation)} as recommendation")
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -60,86 +62,63 @@ def check_important(df: DataFrame, important: list[str]) -> list[str]:
 
 
 def completeness(columns: DataFrame, tables: DataFrame, important: list[str] = ()) -> DataFrame:
-    filled = F.col("rows") - F.col("missing")
-    chosen = F.col("column").isin(*important) if important else F.lit(False)
+    chosen = f"column in ({', '.join(map(literal, important))})" if important else "false"
     per_column = columns.groupBy("dataset_id").agg(
-        F.sum("rows").alias("cells"), F.sum(filled).alias("filled"),
-        F.count_if((F.col("rows") > 0) & (F.try_divide("missing", "rows") < K.ACCEPTABLE_MISSING_SHARE))
-        .alias("acceptable"),
-        F.coalesce(F.sum(F.when(chosen, F.col("rows"))), F.lit(0)).alias("important_cells"),
-        F.coalesce(F.sum(F.when(chosen, filled)), F.lit(0)).alias("important_filled"),
-    )
-    counters = tables.join(per_column, "dataset_id", "left")
-    name = "Completeness"
-    return _long(
-        counters,
-        indicator(name, 0, K.FILLED_CELLS, F.coalesce("filled", F.lit(0)),
-                  F.coalesce("cells", F.lit(0)), 0.0),
-        indicator(name, 1, K.FILLED_COLUMNS, F.coalesce("acceptable", F.lit(0)), F.col("columns"), 100.0),
-        indicator(name, 2, K.COMPLETE_ROWS, F.col("complete_rows"), F.col("rows"), 0.0),
-        indicator(name, 3, K.FILLED_IMPORTANT, F.coalesce("important_filled", F.lit(0)),
-                  F.coalesce("important_cells", F.lit(0)), 100.0),
-    )
+        F.expr("sum(rows) as cells"), F.expr("sum(rows - missing) as filled"),
+        F.expr(f"count_if(try_divide(missing, rows) < {K.ACCEPTABLE_MISSING_SHARE}D) as acceptable"),
+        F.expr(f"sum(case when {chosen} then rows else 0 end) as important_cells"),
+        F.expr(f"sum(case when {chosen} then rows - missing else 0 end) as important_filled"))
+    return _indicators(
+        tables.join(per_column, "dataset_id", "left"), "Completeness",
+        (K.FILLED_CELLS, "coalesce(filled, 0)", "coalesce(cells, 0)", 0),
+        (K.FILLED_COLUMNS, "coalesce(acceptable, 0)", "columns", 100),
+        (K.COMPLETE_ROWS, "complete_rows", "rows", 0),
+        (K.FILLED_IMPORTANT, "coalesce(important_filled, 0)", "coalesce(important_cells, 0)", 100))
 
 
 def completeness_findings(columns: DataFrame) -> DataFrame:
-    share = percentage(F.col("missing"), F.col("rows"), 0.0)
-    return finding(
-        columns.where("missing > 0"), "Completeness", F.col("column"), "missing",
-        F.concat(F.lit("Column '"), "column", F.lit("' has "), share.cast("string"),
-                 F.lit("% missing values")),
-        F.concat(F.lit("Impute or remove the missing values of '"), "column", F.lit("'")))
+    share = percentage("missing", "rows", 0.0)
+    return finding(columns.where("missing > 0"), "Completeness", "column", "missing",
+                   f"Column '{{column}}' has {{{share}}}% missing values",
+                   "Impute or remove the missing values of '{column}'")
 
 
 # --- Consistency ------------------------------------------------------------------
 
-def _with_variants(columns: DataFrame, variants: DataFrame) -> DataFrame:
-    keys = ["dataset_id", "column"] if "dataset_id" in variants.columns else ["column"]
-    joined = columns.join(F.broadcast(variants), keys, "left")
-    return joined.withColumn("has_variants", F.coalesce(F.col("variant_groups") > 0, F.lit(False)))
+CATEGORICAL = "kind not in ('measurement', 'boolean')"
+INCONSISTENT = f"(mixed or {NUMBERS_AS_TEXT})"
+
+
+def _joined(columns: DataFrame, found: DataFrame) -> DataFrame:
+    keys = ["dataset_id", "column"] if "dataset_id" in found.columns else ["column"]
+    return columns.join(F.broadcast(found), keys, "left")
 
 
 def consistency(columns: DataFrame, duplicates: DataFrame, variants: DataFrame) -> DataFrame:
     """``duplicates``: dataset_id, rows, duplicate_rows. ``variants``: column(, dataset_id),
     variant_groups for the affected columns only."""
-    categorical = ~F.col("kind").isin("measurement", "boolean")
-    per_column = _with_variants(columns, variants).groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("columns"),
-        F.count_if(F.col("mixed") | numbers_as_text()).alias("inconsistent"),
-        F.count_if(categorical).alias("categorical"),
-        F.count_if(categorical & F.col("has_variants")).alias("varying"),
-    )
-    counters = duplicates.join(per_column, "dataset_id")
-    name = "Consistency"
-    return _long(
-        counters,
-        indicator(name, 0, K.UNIQUE_ROWS, F.col("rows") - F.col("duplicate_rows"), F.col("rows"), 0.0),
-        indicator(name, 1, K.CONSISTENT_TYPES, F.col("columns") - F.col("inconsistent"),
-                  F.col("columns"), 100.0),
-        indicator(name, 2, K.UNIFORM_TEXT, F.col("categorical") - F.col("varying"),
-                  F.col("categorical"), 100.0),
-    )
+    per_column = _joined(columns, variants).groupBy("dataset_id").agg(
+        F.expr("count(1) as columns"), F.expr(f"count_if({INCONSISTENT}) as inconsistent"),
+        F.expr(f"count_if({CATEGORICAL}) as categorical"),
+        F.expr(f"count_if({CATEGORICAL} and variant_groups > 0) as varying"))
+    return _indicators(
+        duplicates.join(per_column, "dataset_id"), "Consistency",
+        (K.UNIQUE_ROWS, "rows - duplicate_rows", "rows", 0),
+        (K.CONSISTENT_TYPES, "columns - inconsistent", "columns", 100),
+        (K.UNIFORM_TEXT, "categorical - varying", "categorical", 100))
 
 
 def consistency_findings(columns: DataFrame, duplicates: DataFrame, variants: DataFrame) -> DataFrame:
-    name = "Consistency"
-    reasons = F.array_join(F.array_compact(F.array(
-        F.when(F.col("mixed"), F.lit("mixed types")),
-        F.when(numbers_as_text(), F.lit("numbers stored as text")))), " and ")
-    with_variants = _with_variants(columns, variants)
+    name, joined = "Consistency", _joined(columns, variants)
+    reasons = (f"concat_ws(' and ', case when mixed then 'mixed types' end, "
+               f"case when {NUMBERS_AS_TEXT} then 'numbers stored as text' end)")
     return union([
-        finding(duplicates.where("duplicate_rows > 0"), name, F.lit(None).cast("string"), "duplicates",
-                F.concat(F.lit("Dataset has "), F.col("duplicate_rows").cast("string"),
-                         F.lit(" duplicate row(s)")),
-                F.lit("Review the repeated rows and remove them")),
-        finding(with_variants.where(F.col("mixed") | numbers_as_text()), name, F.col("column"),
-                "inconsistent_type",
-                F.concat(F.lit("Column '"), "column", F.lit("' contains "), reasons),
-                F.concat(F.lit("Give every value of '"), "column", F.lit("' one type"))),
-        finding(with_variants.where("has_variants"), name, F.col("column"), "text_variants",
-                F.concat(F.lit("Column '"), "column", F.lit("' has case or whitespace variants")),
-                F.concat(F.lit("Standardize the text of '"), "column", F.lit("'"))),
-    ])
+        finding(duplicates.where("duplicate_rows > 0"), name, "null", "duplicates",
+                "Dataset has {duplicate_rows} duplicate row(s)", "Review the repeated rows and remove them"),
+        finding(joined.where(INCONSISTENT), name, "column", "inconsistent_type",
+                f"Column '{{column}}' contains {{{reasons}}}", "Give every value of '{column}' one type"),
+        finding(joined.where("variant_groups > 0"), name, "column", "text_variants",
+                "Column '{column}' has case or whitespace variants", "Standardize the text of '{column}'")])
 
 
 # --- Class balance ----------------------------------------------------------------
@@ -158,49 +137,42 @@ def class_facts(df: DataFrame, target: str, dataset_id: str = "dataset") -> Data
     # A class is rare by its share of all rows, missing labels included.
     counts = value_counts(df, target).withColumn("rows", row_count(df))
     return counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("labelled"),
-        F.count(F.lit(1)).alias("classes"), F.min("n").alias("smallest"),
-        F.max("n").alias("largest"), F.count_if(_rare()).alias("rare_classes"),
+        F.expr("coalesce(sum(n), 0L) as labelled"), F.expr("count(1) as classes"),
+        F.expr("min(n) as smallest"), F.expr("max(n) as largest"),
+        F.expr(f"count_if({RARE}) as rare_classes"),
     ).select(F.lit(dataset_id).alias("dataset_id"), row_count(df).alias("rows"), "*")
 
 
+RARE = f"({percentage('n', 'rows', 0.0)} < {K.RARE_CLASS_PERCENTAGE})"
+
+
 def row_count(df: DataFrame) -> Column:
     """The number of rows as a scalar subquery; it reads no column."""
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-def _rare() -> Column:
-    return percentage(F.col("n"), F.col("rows"), 0.0) < K.RARE_CLASS_PERCENTAGE
-
-
 def class_balance(facts: DataFrame) -> DataFrame:
-    two = F.col("classes") >= 2
-    return _long(facts, indicator(
-        "Class Balance", 0, K.CLASS_RATIO, F.when(two, F.col("smallest")).otherwise(0),
-        F.when(two, F.col("largest")).otherwise(0), 0.0))
+    return _indicators(facts, "Class Balance", (
+        K.CLASS_RATIO, "case when classes >= 2 then smallest else 0 end",
+        "case when classes >= 2 then largest else 0 end", 0))
 
 
 def rare_classes(df: DataFrame, target: str) -> DataFrame:
     """(label, count, percentage) of every class below 5% of all rows, missing targets
     included in the total."""
-    return (
-        value_counts(df, target).withColumn("rows", row_count(df)).where(_rare())
-        .select(F.col("key").alias("label"), F.col("n").alias("count"),
-                percentage(F.col("n"), F.col("rows"), 0.0).alias("percentage"))
-    )
+    return value_counts(df, target).withColumn("rows", row_count(df)).where(RARE).selectExpr(
+        "key as label", "n as count", f"{percentage('n', 'rows', 0.0)} as percentage")
 
 
 def class_balance_findings(facts: DataFrame, target: str) -> DataFrame:
-    name, column = "Class Balance", F.lit(target)
+    name, column = "Class Balance", literal(target)
     return union([
         finding(facts.where("classes < 2"), name, column, "single_class",
-                F.lit(f"Target column '{target}' has fewer than two classes"),
-                F.lit("Collect examples of at least two classes")),
+                f"Target column '{{{column}}}' has fewer than two classes",
+                "Collect examples of at least two classes"),
         finding(facts.where("rare_classes > 0"), name, column, "rare_class",
-                F.concat(F.col("rare_classes").cast("string"),
-                         F.lit(" class(es) with fewer than 5% of rows")),
-                F.lit("Collect more examples of rare classes or balance them")),
-    ])
+                "{rare_classes} class(es) with fewer than 5% of rows",
+                "Collect more examples of rare classes or balance them")])
 
 
 def class_distribution(df: DataFrame, target: str, shown: int = K.SHOWN_CLASSES) -> DataFrame:
@@ -210,48 +182,37 @@ def class_distribution(df: DataFrame, target: str, shown: int = K.SHOWN_CLASSES)
     top = top_k(counted, shown).select(
         F.lit("class").alias("slot"), F.col("rank"), F.col("key").alias("label"),
         F.col("n").alias("count"))
-    labelled = df.agg(F.count_if(~missing(target, field_of(df, target).dataType))).scalar()
-    rest = top.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("shown")).select(F.inline(F.array(
-        F.struct(F.lit("other").alias("slot"), F.lit(shown + 1).alias("rank"),
-                 F.lit(None).cast("string").alias("label"),
-                 (labelled - F.col("shown")).alias("count")),
-        F.struct(F.lit("missing").alias("slot"), F.lit(shown + 2).alias("rank"),
-                 F.lit(None).cast("string").alias("label"),
-                 (row_count(df) - labelled).alias("count")))))
-    return top.unionByName(rest).select(
+    present = f"count_if(not {missing_sql(target, field_of(df, target).dataType)})"
+    rest = top.agg(F.expr("coalesce(sum(count), 0L) as shown")).select(
+        "shown", df.agg(F.expr(present)).scalar().alias("labelled"), row_count(df).alias("rows")
+    ).selectExpr(
+        "labelled",
+        f"inline(array(struct('other' as slot, {shown + 1} as rank, labelled - shown as count), "
+        f"struct('missing' as slot, {shown + 2} as rank, rows - labelled as count)))")
+    top = top.select("*", df.agg(F.expr(present)).scalar().alias("labelled"))
+    return top.unionByName(rest.selectExpr("*", "cast(null as string) as label")).selectExpr(
         "slot", "rank", "label", "count",
-        F.when(F.col("slot") != "missing", percentage(F.col("count"), labelled, 0.0))
-        .alias("percentage"))
+        f"case when slot <> 'missing' then {percentage('count', 'labelled', 0.0)} end as percentage")
 
 
 # --- Data quality -----------------------------------------------------------------
 
 def data_quality(columns: DataFrame, outliers: DataFrame) -> DataFrame:
     """``outliers``: column(, dataset_id), outliers, present of every measurement."""
-    keys = ["dataset_id", "column"] if "dataset_id" in outliers.columns else ["column"]
-    counters = columns.join(F.broadcast(outliers), keys, "left").groupBy("dataset_id").agg(
-        F.coalesce(F.sum("present"), F.lit(0)).alias("values"),
-        F.coalesce(F.sum("outliers"), F.lit(0)).alias("outliers"),
-        F.count(F.lit(1)).alias("columns"), F.count_if("constant").alias("constant"),
-    )
-    name = "Data Quality"
-    return _long(
-        counters,
-        indicator(name, 0, K.WITHOUT_OUTLIERS, F.col("values") - F.col("outliers"), F.col("values"), 100.0),
-        indicator(name, 1, K.VARYING_COLUMNS, F.col("columns") - F.col("constant"), F.col("columns"), 100.0),
-    )
+    counters = _joined(columns, outliers).groupBy("dataset_id").agg(
+        F.expr("coalesce(sum(present), 0L) as values"), F.expr("coalesce(sum(outliers), 0L) as outliers"),
+        F.expr("count(1) as columns"), F.expr("count_if(constant) as constants"))
+    return _indicators(
+        counters, "Data Quality",
+        (K.WITHOUT_OUTLIERS, "values - outliers", "values", 100),
+        (K.VARYING_COLUMNS, "columns - constants", "columns", 100))
 
 
 def data_quality_findings(columns: DataFrame, outliers: DataFrame) -> DataFrame:
-    keys = ["dataset_id", "column"] if "dataset_id" in outliers.columns else ["column"]
-    joined = columns.join(F.broadcast(outliers), keys, "left")
-    name = "Data Quality"
+    name, joined = "Data Quality", _joined(columns, outliers)
     return union([
-        finding(joined.where("outliers > 0"), name, F.col("column"), "outliers",
-                F.concat(F.lit("Column '"), "column", F.lit("' has "), F.col("outliers").cast("string"),
-                         F.lit(" outlier(s) under the IQR rule")),
-                F.concat(F.lit("Review the outliers of '"), "column", F.lit("' and treat them"))),
-        finding(joined.where("constant"), name, F.col("column"), "constant",
-                F.concat(F.lit("Column '"), "column", F.lit("' is constant")),
-                F.concat(F.lit("Remove '"), "column", F.lit("' unless it is needed"))),
-    ])
+        finding(joined.where("outliers > 0"), name, "column", "outliers",
+                "Column '{column}' has {outliers} outlier(s) under the IQR rule",
+                "Review the outliers of '{column}' and treat them"),
+        finding(joined.where("constant"), name, "column", "constant",
+                "Column '{column}' is constant", "Remove '{column}' unless it is needed")])

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.columns import data_fields
+from plumbline.functions.local import local_frame
 from plumbline.operators.duplicates import duplicate_count
 from plumbline.operators.facts import scan_facts, text_variant_columns
 from plumbline.operators.outliers import fit_fences, outlier_counts
@@ -19,7 +20,6 @@ from plumbline.plans.scoring import (
     check_overrides, dimension_scores, scorecard, task_weights, weighted_dimensions,
 )
 
-METADATA_SCHEMA = "dataset_id string, body variant, source string, sha256 string, warnings array<string>"
 CONTEXT_SCHEMA = "dataset_id string, target_column string, claims map<string,boolean>"
 
 
@@ -42,11 +42,13 @@ class Evaluation:
 def _local(frame: DataFrame) -> DataFrame:
     """Run a frame with a few rows per table column and keep its rows as a local
     relation, so that what reads it does not scan the table again."""
-    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)
+    return local_frame(frame.sparkSession, frame.collect(), frame.schema)
 
 
 def no_metadata(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], METADATA_SCHEMA)
+    return spark.range(0).selectExpr(
+        "cast(null as string) dataset_id", "cast(null as variant) body", "cast(null as string) source",
+        "cast(null as string) sha256", "cast(null as array<string>) warnings")
 
 
 def metadata_items(df: DataFrame, context: UsageContext, metadata: DataFrame | None = None,
@@ -54,10 +56,10 @@ def metadata_items(df: DataFrame, context: UsageContext, metadata: DataFrame | N
     """Documentation and provenance items of one table. ``metadata``: rows of the
     metadata source; those of other datasets are ignored."""
     spark = df.sparkSession
-    columns = spark.createDataFrame(
-        [(dataset_id, f.name) for f in data_fields(df, row_id)], "dataset_id string, column string")
-    contexts = spark.createDataFrame(
-        [(dataset_id, context.target_column, {**context.documentation, **context.provenance})],
+    columns = local_frame(
+        spark, [(dataset_id, f.name) for f in data_fields(df, row_id)], "dataset_id string, column string")
+    contexts = local_frame(
+        spark, [(dataset_id, context.target_column, {**context.documentation, **context.provenance})],
         CONTEXT_SCHEMA)
     rows = no_metadata(spark) if metadata is None else metadata.where(F.col("dataset_id") == dataset_id)
     return audit(rows, columns, contexts)
@@ -106,8 +108,8 @@ def evaluate(df: DataFrame, context: UsageContext, metadata: DataFrame | None =
     indicator_frame = _local(D.union(indicators))
     scores = dimension_scores(indicator_frame)
     if not balanced:
-        scores = scores.unionByName(df.sparkSession.createDataFrame(
-            [(dataset_id, "Class Balance", False, None)],
+        scores = scores.unionByName(local_frame(
+            df.sparkSession, [(dataset_id, "Class Balance", False, None)],
             "dataset_id string, dimension string, applicable boolean, score double"))
     return _scored(indicator_frame, _local(D.union(findings)), items, _local(scores),
                    context.task_type, weights)
@@ -157,5 +159,5 @@ def score_many(datasets: Mapping[str, DataFrame | Callable[[], DataFrame]],
             rows.append((*card, None))
         except Exception as error:  # one bad dataset must not stop the batch
             rows.append((dataset_id, None, None, None, str(error).split("\n")[0]))
-    return spark.createDataFrame(
-        rows, "dataset_id string, score double, classification string, weight_source string, error string")
+    return local_frame(
+        spark, rows, "dataset_id string, score double, classification string, weight_source string, error string")

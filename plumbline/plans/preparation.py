@@ -11,12 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from math import isfinite
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import text
 from plumbline.functions.columns import (
     ROW_ID, as_text, col, data_fields, field_of, finite, infinite, is_measurement, is_nested,
-    is_text, is_variant, missing, number, present,
+    is_text, is_variant, missing, number, present, quote,
 )
 from plumbline.operators.duplicates import drop_duplicates, duplicate_count, duplicate_pairs
 from plumbline.operators.frequencies import most_frequent
@@ -132,9 +132,9 @@ def new_value(df: DataFrame, operation: Operation) -> Column:
     if action == "fill_mode":
         return F.coalesce(present(name, dtype), F.lit(p["value"]).cast(dtype))
     if action == "trim":
-        return text.strip(col(name))
+        return F.expr(text.strip_sql(quote(name)))
     if action == "casefold":
-        return text.fold(col(name))
+        return F.expr(text.fold_sql(quote(name)))
     value = _without_infinity(number(name, dtype))
     if action == "fill_median":
         return F.coalesce(value, F.lit(float(p["value"])))
@@ -195,35 +195,39 @@ def audit(df: DataFrame, operation: Operation, row_id: str = ROW_ID) -> DataFram
                          F.col("n").alias("changed_cells"), zero.alias("removed_rows"))
 
 
-def _shown(name: str, dtype: T.DataType) -> Column:
-    return F.coalesce(text.display(as_text(name, dtype)), F.lit("(missing)"))
+def _displayed(rows: DataFrame, *names: str) -> DataFrame:
+    """Value texts in their example form."""
+    return rows.withColumns({
+        n: F.expr(f"coalesce({text.display_sql(n)}, '(missing)')") for n in names})
 
 
 def examples(df: DataFrame, operation: Operation, row_id: str = ROW_ID) -> DataFrame:
     """The first eight affected rows: source_row, before, after, matched_source_row."""
     if df.isStreaming:
         raise ValueError("Examples need a table, not a stream.")
-    order, none = col(row_id).alias("_order"), F.lit(None).cast("bigint")
-    if operation.action == "duplicates":
+    order, action, name = col(row_id).alias("_order"), operation.action, operation.column
+    gone, none = F.lit("Row removed").alias("after"), F.lit(None).cast("bigint")
+    if action == "duplicates":
         pairs = duplicate_pairs(df, row_id).orderBy("removed_row").limit(SHOWN_EXAMPLES)
-        shown = F.concat_ws("; ", *[
-            F.concat(F.lit(f.name + "="), _shown(f.name, f.dataType))
-            for f in data_fields(df, row_id)[:SHOWN_COLUMNS]])
-        rows = df.select(col(row_id).alias("removed_row"), text.display(shown).alias("before"))
+        fields = data_fields(df, row_id)[:SHOWN_COLUMNS]
         # At most eight pairs are broadcast.
-        return rows.join(F.broadcast(pairs), "removed_row").select(
-            (F.col("removed_row") + 2).alias("source_row"), "before",
-            F.lit("Row removed").alias("after"), (F.col("kept_row") + 2).alias("matched_source_row"))
-    dtype = field_of(df, operation.column).dataType
-    before = _shown(operation.column, dtype).alias("before")
-    if operation.action in ROW_ACTIONS:
-        affected = df.where(removed(df, operation)).select(order, before, F.lit("Row removed").alias("after"))
+        rows = df.join(F.broadcast(pairs), col(row_id) == F.col("removed_row")).select(
+            "removed_row", "kept_row",
+            *[as_text(f.name, f.dataType).alias(f"v{i}") for i, f in enumerate(fields)])
+        shown = F.concat_ws("; ", *[
+            F.concat(F.lit(f.name + "="), f"v{i}") for i, f in enumerate(fields)])
+        rows = _displayed(rows, *[f"v{i}" for i in range(len(fields))]).withColumn("before", shown)
+        return _displayed(rows, "before").select(
+            (F.col("removed_row") + 2).alias("source_row"), "before", gone,
+            (F.col("kept_row") + 2).alias("matched_source_row"))
+    before = as_text(name, field_of(df, name).dataType).alias("before")
+    if action in ROW_ACTIONS:
+        affected = df.where(removed(df, operation)).select(order, before, gone)
     else:
-        prepared = apply(df, operation, row_id)
-        after_type = field_of(prepared, operation.column).dataType
-        changed = df.select(order, before, col(operation.column),
-                            new_value(df, operation).alias("_after"),
+        after_type = field_of(apply(df, operation, row_id), name).dataType
+        changed = df.select(order, before, new_value(df, operation).alias("_after"),
                             _changed(df, operation).alias("_changed")).where("_changed")
-        affected = changed.select("_order", "before", _shown("_after", after_type).alias("after"))
-    return affected.orderBy("_order").limit(SHOWN_EXAMPLES).select(
+        affected = changed.select("_order", "before", as_text("_after", after_type).alias("after"))
+    first = affected.orderBy("_order").limit(SHOWN_EXAMPLES)
+    return _displayed(first, "before", "after").select(
         (F.col("_order") + 2).alias("source_row"), "before", "after", none.alias("matched_source_row"))

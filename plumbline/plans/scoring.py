@@ -9,19 +9,18 @@ from __future__ import annotations
 from math import isfinite
 from numbers import Real
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from plumbline.functions.local import local_frame
 from plumbline.functions.numbers import round2
 from plumbline.plans import constants as K
 
 
-def _weighted_mean(entries: Column) -> Column:
+def _weighted_mean(entries: str) -> str:
     """Weighted mean of (position, value, weight) structs, added in position order so
     that the last digit does not depend on partitioning."""
-    ordered = F.sort_array(entries)
-    total = F.aggregate(ordered, F.lit(0.0), lambda acc, e: acc + e["value"] * e["weight"])
-    weight = F.aggregate(ordered, F.lit(0.0), lambda acc, e: acc + e["weight"])
-    return F.try_divide(total, weight)
+    return (f"try_divide(aggregate(sort_array({entries}), 0D, (sum, e) -> sum + e.value * e.weight), "
+            f"aggregate(sort_array({entries}), 0D, (sum, e) -> sum + e.weight))")
 
 
 def dimension_scores(indicators: DataFrame) -> DataFrame:
@@ -29,18 +28,19 @@ def dimension_scores(indicators: DataFrame) -> DataFrame:
 
     Values outside [0, 100] and weights that are not positive are refused.
     """
-    valid = F.col("value").between(0, 100) & (F.col("weight") > 0)
-    checked = indicators.withColumn(
-        "value",
-        F.when(~F.col("applicable") | valid, F.col("value")).otherwise(F.raise_error(F.lit(
-            "Indicator values must lie in 0-100 and indicator weights must be positive"))))
+    checked = (
+        "case when not applicable or (value between 0 and 100 and weight > 0) then value else raise_error("
+        "'Indicator values must lie in 0-100 and indicator weights must be positive') end as value")
     # A dimension has at most six indicators, which bounds the collected array.
-    return checked.groupBy("dataset_id", "dimension").agg(
-        F.bool_and("applicable").alias("applicable"),
-        F.collect_list(F.struct("position", "value", "weight")).alias("entries"),
-    ).select(
-        "dataset_id", "dimension", "applicable",
-        F.when(F.col("applicable"), round2(_weighted_mean(F.col("entries")))).alias("score"))
+    return indicators.selectExpr(
+        "dataset_id", "dimension", "applicable", "position", checked, "weight"
+    ).groupBy("dataset_id", "dimension").agg(
+        F.expr("bool_and(applicable) as applicable"),
+        F.expr("collect_list(struct(position, value, weight)) as entries"),
+    ).selectExpr(
+        "dataset_id", "dimension", "applicable", f"{_weighted_mean('entries')} as mean"
+    ).selectExpr(
+        "dataset_id", "dimension", "applicable", f"case when applicable then {round2('mean')} end as score")
 
 
 def check_overrides(task_type: str, overrides: dict[str, float] | None) -> dict[str, float]:
@@ -61,16 +61,16 @@ def task_weights(spark, task_type: str, overrides: dict[str, float] | None = Non
     """(dimension, order, weight, default_weight) of one task, overrides applied."""
     overrides = check_overrides(task_type, overrides)
     defaults = K.DIMENSION_WEIGHTS[task_type]
-    return spark.createDataFrame(
-        [(name, K.DIMENSIONS.index(name), overrides.get(name, weight), weight)
+    return local_frame(
+            spark, [(name, K.DIMENSIONS.index(name), overrides.get(name, weight), weight)
          for name, weight in defaults.items()],
         "dimension string, order int, weight double, default_weight double")
 
 
 def default_weights(spark) -> DataFrame:
     """(task_type, dimension, weight) for all tasks."""
-    return spark.createDataFrame(
-        [(task, name, weight) for task, weights in K.DIMENSION_WEIGHTS.items()
+    return local_frame(
+            spark, [(task, name, weight) for task, weights in K.DIMENSION_WEIGHTS.items()
          for name, weight in weights.items()],
         "task_type string, dimension string, weight double")
 
@@ -81,38 +81,33 @@ def weighted_dimensions(scores: DataFrame, weights: DataFrame) -> DataFrame:
     Only applicable dimensions carry a weight. A weight of 0 removes the influence of a
     dimension, which stays applicable with a share of 0.
     """
-    joined = scores.join(F.broadcast(weights), "dimension", "left")
-    weight = F.when(
-        F.col("applicable"),
-        F.coalesce("weight", F.raise_error(F.concat(
-            F.lit("No weight for dimension "), F.col("dimension"))).cast("double")))
+    weighted = scores.join(F.broadcast(weights), "dimension", "left").selectExpr(
+        "dataset_id", "dimension", "applicable", "score", "order", "default_weight",
+        "case when applicable then coalesce(weight, "
+        "raise_error(concat('No weight for dimension ', dimension))) end as weight")
     # At most six rows per dataset.
-    per_dataset = Window.partitionBy("dataset_id")
-    return joined.withColumn("weight", weight).withColumn(
-        "weight_percentage",
-        F.when(F.col("applicable"), round2(F.try_divide(
-            F.col("weight"), F.sum("weight").over(per_dataset)) * F.lit(100.0))))
+    shares = weighted.selectExpr(
+        "*", "try_divide(weight, sum(weight) over (partition by dataset_id)) * 100D as share")
+    return shares.selectExpr(
+        "dataset_id", "dimension", "applicable", "score", "order", "weight", "default_weight",
+        f"case when applicable then {round2('share')} end as weight_percentage")
 
 
-def band(score: Column) -> Column:
-    result = F.lit(K.SCORE_BANDS[0][1])
-    for minimum, label in K.SCORE_BANDS:
-        result = F.when(score >= minimum, label).otherwise(result)
-    return result
+def band(score: str) -> str:
+    """The readiness band of a score, as SQL text."""
+    cases = " ".join(f"when {score} >= {minimum} then '{label}'" for minimum, label in reversed(K.SCORE_BANDS))
+    return f"case {cases} else '{K.SCORE_BANDS[0][1]}' end"
 
 
 def scorecard(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """(dataset_id, score, classification, weight_source) over applicable dimensions."""
-    weighted = weighted_dimensions(scores, weights)
-    totals = weighted.where("applicable").groupBy("dataset_id").agg(
-        F.collect_list(F.struct(
-            F.col("order").alias("position"), F.col("score").alias("value"), "weight")).alias("entries"),
-        F.sum("weight").alias("total_weight"),
-        F.bool_or(F.col("weight") != F.col("default_weight")).alias("changed"),
-    )
-    mean = F.when(F.col("total_weight") > 0, _weighted_mean(F.col("entries"))).otherwise(
-        F.raise_error(F.lit("No applicable dimension has a positive weight")).cast("double"))
-    return totals.select(
-        "dataset_id", round2(mean).alias("score"),
-        F.when(F.col("changed"), K.CUSTOM_SOURCE).otherwise(K.DEFAULT_SOURCE).alias("weight_source"),
-    ).select("dataset_id", "score", band(F.col("score")).alias("classification"), "weight_source")
+    totals = weighted_dimensions(scores, weights).where("applicable").groupBy("dataset_id").agg(
+        F.expr("collect_list(struct(order as position, score as value, weight)) as entries"),
+        F.expr("sum(weight) as total_weight"), F.expr("bool_or(weight <> default_weight) as changed"))
+    return totals.selectExpr(
+        "dataset_id", "changed",
+        f"case when total_weight > 0 then {_weighted_mean('entries')} else raise_error("
+        "'No applicable dimension has a positive weight') end as mean"
+    ).selectExpr("dataset_id", "changed", f"{round2('mean')} as score").selectExpr(
+        "dataset_id", "score", f"{band('score')} as classification",
+        f"case when changed then '{K.CUSTOM_SOURCE}' else '{K.DEFAULT_SOURCE}' end as weight_source")

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.functions.columns import ROW_ID, col
-from plumbline.functions.text import INTEGER_PATTERN, is_number, parse_number, strip
+from plumbline.functions.columns import ROW_ID, literal, quote
+from plumbline.functions.text import INTEGER_PATTERN, is_number_sql, number_sql, strip_sql
 from plumbline.sources.files import LoadError, with_row_position
 
 # Delimiters in order of preference, and how much text decides.
@@ -94,28 +94,30 @@ def header_names(sample: str, delimiter: str) -> list[str]:
 
 def _typed(texts: DataFrame, names: list[str], decimal: str, row_id: str | None) -> DataFrame:
     """Missing texts to NULL, then the narrowest type that fits every present value."""
-    values = {n: F.when(~col(n).isin(*MISSING_TEXTS), col(n)) for n in names}
-    whole = {n: v.rlike(INTEGER_PATTERN) & strip(v).try_cast("bigint").isNotNull()
-             for n, v in values.items()}
-    counts = texts.agg(
+    absent = ", ".join(map(literal, MISSING_TEXTS))
+    booleans = ", ".join(map(literal, TRUE_TEXTS + FALSE_TEXTS))
+    values = {n: f"(case when {quote(n)} not in ({absent}) then {quote(n)} end)" for n in names}
+    clean = texts.selectExpr(*[f"{v} as {quote(n)}" for n, v in values.items()], EXTRA,
+                             *([quote(row_id)] if row_id else []))
+    counts = clean.agg(
         F.count(EXTRA).alias("extra"),
-        *[a for i, n in enumerate(names) for a in (
-            F.count(values[n]).alias(f"present{i}"),
-            F.count_if(whole[n]).alias(f"whole{i}"),
-            F.count_if(is_number(values[n], decimal)).alias(f"number{i}"),
-            F.count_if(values[n].isin(*TRUE_TEXTS, *FALSE_TEXTS)).alias(f"boolean{i}"))]).first()
+        *[F.expr(a) for i, q in enumerate(map(quote, names)) for a in (
+            f"count({q}) as present{i}",
+            f"count_if({q} rlike r'{INTEGER_PATTERN}' and try_cast({strip_sql(q)} as bigint) is not null) as whole{i}",
+            f"count_if({is_number_sql(q, decimal)}) as number{i}",
+            f"count_if({q} in ({booleans})) as boolean{i}")]).first()
     if counts["extra"]:
         raise LoadError(f"{counts['extra']} row(s) have more fields than the header.")
     columns = []
-    for i, n in enumerate(names):
-        value, present = values[n], counts[f"present{i}"]
+    for i, q in enumerate(map(quote, names)):
+        present = counts[f"present{i}"]
         if present and counts[f"whole{i}"] == present:
-            typed = strip(value).cast("bigint")
+            typed = f"cast({strip_sql(q)} as bigint)"
         elif counts[f"number{i}"] == present:
-            typed = parse_number(value, decimal)
+            typed = number_sql(q, decimal)
         elif counts[f"boolean{i}"] == present:
-            typed = value.isin(*TRUE_TEXTS)
+            typed = f"{q} in ({', '.join(map(literal, TRUE_TEXTS))})"
         else:
-            typed = value
-        columns.append(typed.alias(n))
-    return texts.select(*columns, *([col(row_id)] if row_id else []))
+            typed = q
+        columns.append(f"{typed} as {q}")
+    return clean.selectExpr(*columns, *([quote(row_id)] if row_id else []))
