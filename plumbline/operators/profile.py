@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from plumbline.functions.columns import (
     col, data_fields, field_of, finite, is_measurement, is_plot_numeric, literal, number, number_sql,
@@ -96,17 +96,21 @@ def plot_columns(df: DataFrame, row_id: str | None = None) -> list[T.StructField
     return fields[:MAX_NUMERIC_COLUMNS]
 
 
-def _scaled_ranges(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[float, float, float]]:
-    """(scale, low, high) per column with finite values; low and high after scaling."""
-    row = df.agg(*[
-        aggregate for value in values.values() for aggregate in (F.min(value), F.max(value))
+def _ranges(df: DataFrame, values: dict[str, Column]) -> dict[str, Row]:
+    """low, high, mean, present and scale per column with values, from one aggregation.
+    The mean is of value / scale-sized parts, so it cannot overflow."""
+    row = df.agg(F.count(F.lit(1)), *[
+        aggregate for value in values.values()
+        for aggregate in (F.min(value), F.max(value), F.avg(value / 2**20), F.count(value))
     ]).first()
     ranges = {}
     for i, name in enumerate(values):
-        low, high = row[2 * i], row[2 * i + 1]
-        if low is not None:
+        low, high, mean, present = row[4 * i + 1:4 * i + 5]
+        if present:
             scale = max(abs(low), abs(high), 1.0)
-            ranges[name] = (scale, low / scale, high / scale)
+            mean = mean * 2**20 if abs(mean) < 1e280 else 0.0
+            ranges[name] = Row(low=low / scale, high=high / scale, scale=scale,
+                               center=mean / scale, complete=present == row[0])
     return ranges
 
 
@@ -121,11 +125,12 @@ def histograms(df: DataFrame, row_id: str | None = None) -> DataFrame:
     fields = [f for f in plot_columns(df, row_id) if not isinstance(f.dataType, T.BooleanType)]
     values = {f.name: finite(number(f.name, f.dataType)) for f in fields}
     spark = df.sparkSession
-    if not values or not (ranges := _scaled_ranges(df, values)):
+    if not values or not (ranges := _ranges(df, values)):
         return local_frame(
             spark, [], "column string, bin int, low double, high double, count bigint")
     bins, edges = [], []
-    for name, (scale, low, high) in ranges.items():
+    for name, found in ranges.items():
+        scale, low, high = found.scale, found.low, found.high
         if low == high:
             low, high = max(-1.0, low - 0.5), min(1.0, high + 0.5)
         step = (high - low) / HISTOGRAM_BINS
@@ -158,35 +163,49 @@ def correlations(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """(a, b, r, pairs) for every pair of varying numeric or boolean columns.
 
     Pearson's r over the rows where both are finite; NULL below 3 pairs or when either
-    side is constant on them. Columns are scaled by their largest magnitude first, which
-    leaves r unchanged and keeps squares finite. One pass for ranges and one aggregation
-    for all pairs, over all rows.
+    side is constant on them. One pass finds ranges and means, one aggregation does all
+    pairs over all rows. Columns are scaled by their largest magnitude and centred, so
+    plain sums of products stay finite and lose no digits; plain sums compile to tight
+    code where covariance buffers for hundreds of pairs do not. A pair of complete
+    columns needs one sum of its own; others are summed over their common rows.
     """
     values = {f.name: finite(number(f.name, f.dataType)) for f in plot_columns(df, row_id)}
     empty = local_frame(df.sparkSession, [], "a string, b string, r double, pairs bigint")
     if len(values) < 2:
         return empty
-    ranges = _scaled_ranges(df, values)
-    varying = [n for n, (_, low, high) in ranges.items() if low < high]
+    ranges = _ranges(df, values)
+    varying = [n for n, found in ranges.items() if found.low < found.high]
     if len(varying) < 2:
         return empty
-    position = {n: i for i, n in enumerate(varying)}
     scaled = df.select(*[
-        (values[n] / ranges[n][0]).alias(f"x{position[n]}") for n in varying
-    ])
+        (values[n] / ranges[n].scale - ranges[n].center).alias(f"x{i}") for i, n in enumerate(varying)])
+    complete = [ranges[n].complete for n in varying]
+    aggregates = ["count(1) as rows"]
+    for i in range(len(varying)):
+        if complete[i]:
+            aggregates += [f"sum(x{i}) as s{i}", f"sum(x{i} * x{i}) as q{i}"]
     couples = list(combinations(range(len(varying)), 2))
-    moments = scaled.agg(*[
-        F.expr(f"{function}(x{j}, x{i}) as {label}_{i}_{j}")
-        for i, j in couples
-        for label, function in (("xy", "regr_sxy"), ("xx", "regr_sxx"), ("yy", "regr_syy"), ("n", "regr_count"))])
     rows = []
     for i, j in couples:
-        r = f"try_divide(xy_{i}_{j}, sqrt(xx_{i}_{j}) * sqrt(yy_{i}_{j}))"
+        p = f"{i}_{j}"
+        aggregates.append(f"sum(x{i} * x{j}) as xy{p}")
+        n, sums, squares, constant = "rows", (f"s{i}", f"s{j}"), (f"q{i}", f"q{j}"), "false"
+        if not (complete[i] and complete[j]):
+            n, sums, squares = f"n{p}", (f"sx{p}", f"sy{p}"), (f"qx{p}", f"qy{p}")
+            constant = f"(lx{p} = hx{p} or ly{p} = hy{p})"
+            aggregates.append(f"count(x{i} * x{j}) as n{p}")
+            for side, k, other in (("x", i, j), ("y", j, i)):
+                both = f"case when x{other} is not null then x{k} end"
+                aggregates += [
+                    f"sum({both}) as s{side}{p}", f"sum(({both}) * x{k}) as q{side}{p}",
+                    f"min({both}) as l{side}{p}", f"max({both}) as h{side}{p}"]
+        n0 = f"nullif({n}, 0)"
+        spread = [f"({q} - {s} * {s} / {n0})" for q, s in zip(squares, sums)]
+        r = f"try_divide(xy{p} - {sums[0]} * {sums[1]} / {n0}, sqrt({spread[0]}) * sqrt({spread[1]}))"
         rows.append(
-            f"struct({literal(varying[i])} as a, {literal(varying[j])} as b, "
-            f"case when n_{i}_{j} >= {MIN_PAIRS} and not isnan({r}) "
-            f"then greatest(-1D, least(1D, {r})) end as r, n_{i}_{j} as pairs)")
-    return moments.selectExpr(f"inline(array({', '.join(rows)}))")
+            f"struct({literal(varying[i])} as a, {literal(varying[j])} as b, case when {n} >= {MIN_PAIRS} "
+            f"and not {constant} and not isnan({r}) then greatest(-1D, least(1D, {r})) end as r, {n} as pairs)")
+    return scaled.agg(*map(F.expr, aggregates)).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def preferred_order(target: str | None = None, important: list[str] = ()) -> list[Column]:
