@@ -63,13 +63,13 @@ def _fold_template() -> str:
 
 
 def fold_sql(value: str) -> str:
-    """``value.strip().casefold()``.
+    """``casefold()`` of a text; strip it first for the comparison form.
 
     ASCII strings take ``lower``; others one ``translate``, and only those holding a
     character that folds to several (other than the common sharp s) a look at every
     character. CASE is lazy, so each string pays for its own branch alone.
     """
-    return _fold_template().replace("{s}", strip_sql(value))
+    return _fold_template().replace("{s}", value)
 
 
 def number_sql(value: str, decimal: str = ".") -> str:

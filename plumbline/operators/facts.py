@@ -13,7 +13,7 @@ from plumbline.functions.columns import (
     short_sql,
 )
 from plumbline.functions.local import local_frame
-from plumbline.functions.text import fold_sql, is_number_sql
+from plumbline.functions.text import fold_sql, is_number_sql, strip_sql
 
 # The share of number-like texts that marks a column as numbers stored as
 # text.
@@ -111,21 +111,25 @@ def text_variant_columns(df: DataFrame, names: list[str] | None = None,
                          row_id: str | None = None) -> DataFrame:
     """(column, variant_groups): columns where spellings differ only in case or padding.
 
-    Each cell carries its folded key and raw key (digests when long). Smallest and
-    largest raw key per folded key decide, so nothing is collected per group.
+    Each cell carries its folded key and raw key (digests when long). Distinct pairs
+    combine on the map side first, then count per folded key: hash aggregation both
+    times, where a smallest and largest text would have to sort.
     """
     if names is None:
         names = [f.name for f in data_fields(df, row_id) if is_text(f.dataType)]
     if not names:
         return local_frame(df.sparkSession, [], "column string, variant_groups bigint")
-    pairs = df.selectExpr(*[
-        f"case when {q} is not null then struct({short_sql(fold_sql(q))} as folded, "
-        f"{short_sql(q)} as raw) end as {q}" for q in map(quote, names)
-    ]).unpivot([], [col(n) for n in names], "column", "value").where("value is not null")
+    # One step per select: each is read several times by the next and computed once.
+    cells = (
+        df.select(*[col(n) for n in names]).unpivot([], [col(n) for n in names], "column", "raw")
+        .where("raw is not null")
+        .selectExpr("column", "raw", f"{strip_sql('raw')} as stripped")
+        .selectExpr("column", "raw", f"{fold_sql('stripped')} as folded")
+        .selectExpr("column", f"{short_sql('raw')} as raw", f"{short_sql('folded')} as folded")
+    )
     return (
-        pairs.groupBy("column", F.expr("value.folded as folded"))
-        .agg(F.expr("min(value.raw) < max(value.raw) as varies"))
-        .where("varies").groupBy("column").agg(F.expr("count(1) as variant_groups"))
+        cells.distinct().groupBy("column", "folded").agg(F.expr("count(1) as spellings"))
+        .where("spellings > 1").groupBy("column").agg(F.expr("count(1) as variant_groups"))
     )
 
 

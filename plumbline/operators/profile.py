@@ -128,35 +128,32 @@ def histograms(df: DataFrame, row_id: str | None = None) -> DataFrame:
     if not values or not (ranges := _ranges(df, values)):
         return local_frame(
             spark, [], "column string, bin int, low double, high double, count bigint")
-    bins, edges = [], []
+    shape, edges = [], []
     for name, found in ranges.items():
-        scale, low, high = found.scale, found.low, found.high
+        low, high = found.low, found.high
         if low == high:
             low, high = max(-1.0, low - 0.5), min(1.0, high + 0.5)
         step = (high - low) / HISTOGRAM_BINS
-        x = values[name] / scale
-
-        def edge(i, low=low, step=step):
-            return F.lit(low) + i * F.lit(step)
-
-        guess = F.least(F.floor((x - low) * (HISTOGRAM_BINS / (high - low))),
-                        F.lit(HISTOGRAM_BINS - 1))
-        placed = (
-            F.when(x < edge(guess), guess - 1)
-            .when((x >= edge(guess + 1)) & (guess < HISTOGRAM_BINS - 1), guess + 1)
-            .otherwise(guess)
-        )
-        bins.append(F.when(x.isNotNull(), placed).cast("int").alias(name))
+        shape.append((name, found.scale, low, step, HISTOGRAM_BINS / (high - low)))
         points = [low + i * step for i in range(HISTOGRAM_BINS)] + [high]
-        edges += [(name, i, points[i] * scale, points[i + 1] * scale)
+        edges += [(name, i, points[i] * found.scale, points[i + 1] * found.scale)
                   for i in range(HISTOGRAM_BINS)]
+    # At most 24 rows, one per column.
+    shapes = local_frame(spark, shape, "column string, scale double, low double, step double, density double")
+    last = HISTOGRAM_BINS - 1
     counted = (
-        df.select(*bins).unpivot([], [col(n) for n in ranges], "column", "bin")
-        .where("bin is not null").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"))
+        df.select(*[values[n].alias(n) for n in ranges])
+        .unpivot([], [col(n) for n in ranges], "column", "value").where("value is not null")
+        .join(F.broadcast(shapes), "column")
+        .selectExpr("column", "low", "step", "density", "value / scale as x")
+        .selectExpr("column", "low", "step", "x", f"least(floor((x - low) * density), {last}) as guess")
+        .selectExpr("column", f"""cast(case when x < low + guess * step then guess - 1
+            when guess < {last} and x >= low + (guess + 1) * step then guess + 1 else guess end as int) as bin""")
+        .groupBy("column", "bin").agg(F.expr("count(1) as count"))
     )
     frame = local_frame(spark, edges, "column string, bin int, low double, high double")
-    return frame.join(F.broadcast(counted), ["column", "bin"], "left").select(
-        "column", "bin", "low", "high", F.coalesce("count", F.lit(0)).alias("count"))
+    return frame.join(F.broadcast(counted), ["column", "bin"], "left").selectExpr(
+        "column", "bin", "low", "high", "coalesce(count, 0L) as count")
 
 
 def correlations(df: DataFrame, row_id: str | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact quantiles with linear interpolation at any size.
 
 Spark's ``percentile`` keeps every distinct value of a column in one aggregation
-buffer. That is right for columns of a few million values and impossible for 10^12.
+buffer. That is fine for small columns and impossible for 10^12 values.
 Beyond a checked size this module narrows instead: an approximate pass proposes an
 interval around each wanted rank, a counting pass proves which side the rank is on, and
 the interval shrinks by orders of magnitude each time. Every pass is one aggregation
@@ -15,8 +15,9 @@ from math import floor
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-DIRECT_CELLS = 4_000_000
-"""Finite cells up to which one ``percentile`` aggregation does the job."""
+DIRECT_CELLS = 250_000
+"""Finite cells up to which one ``percentile`` aggregation does the job; beyond it the
+narrowing passes are also the faster way."""
 
 COLLECT_ROWS = 20_000
 """An interval holding at most this many values is sorted inside one aggregation."""
@@ -109,14 +110,20 @@ class _Search:
 def _narrow(values: DataFrame, searches: list[_Search], collect_rows: int) -> None:
     while wide := [s for s in searches if s.answer is None and s.inside > collect_rows]:
         margin = 2.0 / ACCURACY
-        proposals = values.agg(*[
+        # Searches still in the same interval share one sketch.
+        shared = {}
+        for s in wide:
+            shared.setdefault((s.column, s.low, s.high), []).append(s)
+        sketches = values.agg(*[
             F.percentile_approx(
-                s.within(),
-                [max(0.0, s.rank / s.inside - margin), min(1.0, s.rank / s.inside + margin)],
-                ACCURACY,
-            )
-            for s in wide
+                group[0].within(),
+                [q for s in group for q in (max(0.0, s.rank / s.inside - margin),
+                                            min(1.0, s.rank / s.inside + margin))],
+                ACCURACY)
+            for group in shared.values()
         ]).first()
+        wide = [s for group in shared.values() for s in group]
+        proposals = [(sketch[k], sketch[k + 1]) for sketch in sketches for k in range(0, len(sketch), 2)]
         counters = []
         for s, (a, b) in zip(wide, proposals):
             v = s.within()

@@ -134,7 +134,7 @@ def new_value(df: DataFrame, operation: Operation) -> Column:
     if action == "trim":
         return F.expr(text.strip_sql(quote(name)))
     if action == "casefold":
-        return F.expr(text.fold_sql(quote(name)))
+        return F.expr(text.fold_sql(text.strip_sql(quote(name))))
     value = _without_infinity(number(name, dtype))
     if action == "fill_median":
         return F.coalesce(value, F.lit(float(p["value"])))

@@ -9,6 +9,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 
 from plumbline.functions.columns import ROW_ID
+from plumbline.functions.lineage import cut_lineage
 from plumbline.plans.preparation import Operation, apply, audit, fit
 
 
@@ -37,29 +38,36 @@ class Recipe:
     @classmethod
     def fit(cls, df: DataFrame, operations: list[Operation], target: str | None = None,
             row_id: str = ROW_ID, skip_unchanged: bool = False) -> Recipe:
-        recipe = cls(target=target, row_id=row_id)
-        for operation in operations:
+        """Fit operations one after another. Each fit reads the table as prepared so far;
+        after a removal of duplicates, the only step that shuffles the table, that state
+        is written once instead of being computed again for every later fit."""
+        recipe, current = cls(target=target, row_id=row_id), df
+        for position, operation in enumerate(operations, 1):
             try:
-                recipe = recipe.add(df, operation)
+                step = recipe._fitted(current, operation)
             except NoChange:
                 if not skip_unchanged:
                     raise
+                continue
+            recipe = replace(recipe, steps=recipe.steps + (step,))
+            current = apply(current, step.operation, row_id, target)
+            if operation.action == "duplicates" and position < len(operations):
+                current = cut_lineage(current)
         return recipe
 
     def add(self, df: DataFrame, operation: Operation) -> Recipe:
-        """Fit one more operation on the original table as prepared so far.
+        """Fit one more operation on the original table as prepared so far."""
+        return replace(self, steps=self.steps + (self._fitted(self.apply(df), operation),))
 
-        An operation that changes nothing or would remove every row is refused.
-        """
-        current = self.apply(df)
+    def _fitted(self, current: DataFrame, operation: Operation) -> Step:
+        """An operation that changes nothing or would remove every row is refused."""
         fitted = fit(current, operation, self.target, self.row_id)
         counts = audit(current, fitted, self.row_id).first()
         if not counts["affected_rows"]:
             raise NoChange("This operation changes nothing.")
         if counts["removed_rows"] == counts["rows"]:
             raise ValueError("This operation would remove every row.")
-        step = Step(fitted, counts["affected_rows"], counts["changed_cells"], counts["removed_rows"])
-        return replace(self, steps=self.steps + (step,))
+        return Step(fitted, counts["affected_rows"], counts["changed_cells"], counts["removed_rows"])
 
     def apply(self, df: DataFrame) -> DataFrame:
         """The prepared table. Parameters are reused as fitted, on any data; a stream is
