@@ -11,7 +11,8 @@ def local_frame(spark: SparkSession, rows: list, schema: T.StructType | str) ->
     """A frame of a few rows that are already on the driver.
 
     Going through Arrow makes it a local relation in the plan: no tasks to deserialise
-    it, a known size, and constant folding of what is computed from it.
+    it, a known size, and constant folding of what is computed from it. One partition
+    lets grouping and joining such frames do without a shuffle.
     """
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
@@ -22,4 +23,4 @@ def local_frame(spark: SparkSession, rows: list, schema: T.StructType | str) ->
             if isinstance(value, dict) and isinstance(schema[name].dataType, T.MapType):
                 row[name] = list(value.items())
     table = pa.Table.from_pylist(plain, to_arrow_schema(schema))
-    return spark.createDataFrame(table, schema)
+    return spark.createDataFrame(table, schema).coalesce(1)

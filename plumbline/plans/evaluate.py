@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.columns import data_fields
@@ -45,6 +47,13 @@ def _local(frame: DataFrame) -> DataFrame:
     return local_frame(frame.sparkSession, frame.collect(), frame.schema)
 
 
+def _together(*tasks: Callable) -> list:
+    """Run independent Spark jobs at the same time, so that the short ones fill the gaps
+    of the long ones."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+
+
 def no_metadata(spark: SparkSession) -> DataFrame:
     return spark.range(0).selectExpr(
         "cast(null as string) dataset_id", "cast(null as variant) body", "cast(null as string) source",
@@ -79,19 +88,22 @@ def evaluate(df: DataFrame, context: UsageContext, metadata: DataFrame | None =
 
     Jobs over the data: one aggregation for all counters, one or two to fit quartiles,
     one to count outliers, one grouping of whole rows, one of folded texts, and for
-    classification one of the target. What comes back has one row per table column or
+    classification one of the target; they run concurrently. What comes back has one row per table column or
     class, and every score is a query over that.
     """
     check_overrides(context.task_type, weights)
     important = D.check_important(df, context.important_columns)
     balanced = D.balance_applies(df, context)
 
-    columns, tables = scan_facts(df, dataset_id, row_id)
-    duplicates = _local(duplicate_count(df, row_id).select(
-        F.lit(dataset_id).alias("dataset_id"), "rows", "duplicate_rows"))
-    variants = _local(text_variant_columns(df, row_id=row_id))
-    outliers = _local(outlier_counts(df, fit_fences(df, row_id=row_id)))
-    items = _local(metadata_items(df, context, metadata, dataset_id, row_id))
+    (columns, tables), duplicates, variants, outliers, items, classes = _together(
+        lambda: scan_facts(df, dataset_id, row_id),
+        lambda: _local(duplicate_count(df, row_id).select(
+            F.lit(dataset_id).alias("dataset_id"), "rows", "duplicate_rows")),
+        lambda: _local(text_variant_columns(df, row_id=row_id)),
+        lambda: _local(outlier_counts(df, fit_fences(df, row_id=row_id))),
+        lambda: _local(metadata_items(df, context, metadata, dataset_id, row_id)),
+        lambda: _local(D.class_facts(df, context.target_column, dataset_id)) if balanced else None,
+    )
 
     indicators = [
         D.completeness(columns, tables, important), D.consistency(columns, duplicates, variants),
@@ -102,7 +114,6 @@ def evaluate(df: DataFrame, context: UsageContext, metadata: DataFrame | None =
         audit_findings(items), D.data_quality_findings(columns, outliers),
     ]
     if balanced:
-        classes = _local(D.class_facts(df, context.target_column, dataset_id))
         indicators.append(D.class_balance(classes))
         findings.append(D.class_balance_findings(classes, context.target_column))
     indicator_frame = _local(D.union(indicators))
@@ -111,8 +122,7 @@ def evaluate(df: DataFrame, context: UsageContext, metadata: DataFrame | None =
         scores = scores.unionByName(local_frame(
             df.sparkSession, [(dataset_id, "Class Balance", False, None)],
             "dataset_id string, dimension string, applicable boolean, score double"))
-    return _scored(indicator_frame, _local(D.union(findings)), items, _local(scores),
-                   context.task_type, weights)
+    return _scored(indicator_frame, D.union(findings), items, scores, context.task_type, weights)
 
 
 def ordered_dimensions(dimensions: DataFrame) -> DataFrame:
