@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import re
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, functions as F
 
 from checks import views as V
 from plumbline.functions.columns import field_of
+from plumbline.functions.lineage import shared_folder
 from plumbline.operators import duplicates, facts, frequencies, inspection, outliers, profile, sampling
 from plumbline.plans import dimensions as D
 from plumbline.plans import metadata_audit, preparation, scoring
 from plumbline.plans.context import UsageContext
 from plumbline.plans.evaluate import compare, evaluate, score_many
 from plumbline.plans.preparation import Operation
-from plumbline.plans.recipe import Recipe
+from plumbline.plans.recipe import Recipe, Step
+from plumbline.sources.csv import read_csv
 from plumbline.sources.files import dataset_fingerprint, fingerprints
 from plumbline.sources.load import read_parquet
+from plumbline.streaming import write_prepared
 
 QUERIES, ORACLES = {}, {}
 
@@ -223,7 +227,8 @@ def text_variants(spark, sf):
     return facts.text_variant_columns(V.dirty_orders(spark, sf))
 
 
-@register("mixed_type_values")
+@register("mixed_type_values", """
+SELECT 'mixed' AS column, count(DISTINCT event_id % 2) AS kinds FROM events HAVING count(DISTINCT event_id % 2) > 1""")
 def mixed_type_values(spark, sf):
     """Event properties and values as one variant column of mixed kinds."""
     mixed = V.table(spark, sf, "events").selectExpr(
@@ -680,8 +685,8 @@ def duplicate_examples(spark, sf):
 RECIPE = [Operation("duplicates"), Operation("casefold", "o_orderpriority"), Operation("fill_median", PRICE),
           Operation("clip_outliers", PRICE)]
 RECIPE_SQL = f""", d AS ({KEEP_FIRST}),
-f AS (SELECT o_orderkey, lower(trim(o_orderpriority)) AS o_orderpriority,
-  coalesce({PRICE}, (SELECT quantile_cont({PRICE}, 0.5) FROM d)) AS {PRICE}, _row FROM d), {fence_cte('f', PRICE)}"""
+f AS (SELECT * REPLACE (lower(trim(o_orderpriority)) AS o_orderpriority,
+  coalesce({PRICE}, (SELECT quantile_cont({PRICE}, 0.5) FROM d)) AS {PRICE}) FROM d), {fence_cte('f', PRICE)}"""
 
 
 @register("recipe_replay", dirty(RECIPE_SQL + f"""
@@ -757,7 +762,16 @@ def all_findings(spark, sf):
     return evaluate(V.dirty_orders(spark, sf), context()).findings.drop("dataset_id")
 
 
-@register("compare_before_after")
+PREPARED = dirty(RECIPE_SQL + f"""
+SELECT f.* REPLACE (CASE WHEN {PRICE} < lower THEN lower WHEN {PRICE} > upper THEN upper ELSE {PRICE} END AS {PRICE}) FROM f, q""")
+OVERALL = "SELECT dimension, score FROM {v} UNION ALL SELECT 'Overall', " + r2("sum(score * w) / sum(w)") + " FROM {v}"
+
+
+@register("compare_before_after", f"""
+WITH a AS ({dirty(SCORES)} SELECT * FROM scores), b AS (WITH t AS ({PREPARED}){SCORES} SELECT * FROM scores),
+x AS ({OVERALL.replace('{v}', 'a')}), y AS ({OVERALL.replace('{v}', 'b')})
+SELECT x.dimension, x.score AS original, y.score AS prepared, round(y.score - x.score, 2) AS delta
+FROM x JOIN y ON x.dimension = y.dimension""")
 def compare_before_after(spark, sf):
     df = V.dirty_orders(spark, sf)
     return compare(df, Recipe.fit(df, RECIPE).apply(df), context())
@@ -889,6 +903,36 @@ def parquet_positions(spark, sf):
     return read_parquet(spark, f"{sf}/orders.parquet").select("o_orderkey", "_row")
 
 
+@register("csv_scan", dirty("""
+SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority,
+  CASE WHEN custkey_text <> 'n/a' THEN CAST(custkey_text AS BIGINT) END AS custkey_text FROM t"""))
+def csv_scan(spark, sf):
+    """The dirty orders written as CSV and read back with detected types."""
+    folder = f"{shared_folder(spark)}/{uuid4().hex}.csv"
+    V.dirty_orders(spark, sf).select("o_orderkey", "o_orderstatus", PRICE, "o_orderpriority", "custkey_text").write.csv(
+        folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_csv(spark, folder, row_id=None).data
+
+
+@register("stream_recipe", f"""
+WITH {fence_cte('orders', PRICE)}
+SELECT o_orderkey, lower(trim(o_orderpriority)) AS o_orderpriority,
+  round(CASE WHEN {PRICE} < lower THEN lower WHEN {PRICE} > upper THEN upper ELSE {PRICE} END, 6) AS {PRICE} FROM orders, q""")
+def stream_recipe(spark, sf):
+    """A recipe fitted on the table, applied to the same files as a stream."""
+    orders = V.table(spark, sf, "orders").withColumn("_row", F.col("o_orderkey"))
+    recipe = Recipe.fit(orders, [Operation("casefold", "o_orderpriority"), Operation("clip_outliers", PRICE)],
+                        skip_unchanged=True)
+    if len(recipe.steps) == 1:  # no outlier to clip in this table: use the fitted bounds all the same
+        clip = preparation.fit(orders, Operation("clip_outliers", PRICE))
+        recipe = Recipe(recipe.steps + (Step(clip),))
+    stream = spark.readStream.schema(orders.drop("_row").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    folder = f"{shared_folder(spark)}/{uuid4().hex}"
+    query = write_prepared(stream, recipe, f"{folder}/data", f"{folder}/progress", available_now=True)
+    query.awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/data").select("o_orderkey", "o_orderpriority", PRICE), PRICE)
+
+
 @register("file_fingerprints")
 def file_fingerprints(spark, sf):
     return fingerprints(spark, f"{sf}/*.parquet").selectExpr(

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
-
-    It survives the loss of executors. A session on one machine may go without the
-    setting and gets a temporary folder; on a cluster without it the plan stays as it is.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder of ``spark.checkpoint.dir``. A session on one machine may go without the
+    setting and gets a temporary folder; a cluster without it has none."""
     context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            return df
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and context.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, which survives the loss of executors; without a shared
+    folder the plan stays as it is."""
+    if shared_folder(df.sparkSession) is None:
+        return df
     return df.checkpoint(eager=True)

@@ -47,11 +47,11 @@ def _local(frame: DataFrame) -> DataFrame:
     return local_frame(frame.sparkSession, frame.collect(), frame.schema)
 
 
-def _together(*tasks: Callable) -> list:
+def _together(spark: SparkSession, *tasks: Callable) -> list:
     """Run independent Spark jobs at the same time, so that the short ones fill the gaps
     of the long ones."""
     with ThreadPoolExecutor(len(tasks)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
 
 
 def no_metadata(spark: SparkSession) -> DataFrame:
@@ -96,6 +96,7 @@ def evaluate(df: DataFrame, context: UsageContext, metadata: DataFrame | None =
     balanced = D.balance_applies(df, context)
 
     (columns, tables), duplicates, variants, outliers, items, classes = _together(
+        df.sparkSession,
         lambda: scan_facts(df, dataset_id, row_id),
         lambda: _local(duplicate_count(df, row_id).select(
             F.lit(dataset_id).alias("dataset_id"), "rows", "duplicate_rows")),

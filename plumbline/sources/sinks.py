@@ -64,7 +64,8 @@ def write_prepared(original: DataFrame, recipe: Recipe, path: str, context: Usag
     if extension.lower() == ".csv":
         first = data_fields(data)[0].name
         named = data.withColumnRenamed(first, BYTE_ORDER_MARK + first)
-        named.write.mode("errorifexists").csv(path, header=True, escape='"')
+        named.write.mode("errorifexists").csv(
+            path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     else:
         data.write.mode("errorifexists").parquet(path)
     return path, manifest_path

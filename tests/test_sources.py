@@ -209,17 +209,17 @@ def test_missing_metadata_file(spark, tmp_path):
 def test_export(spark, tmp_path, suffix):
     source = write(tmp_path / "in.csv", "x,c\n1, A \n,b\n3,b\n")
     dataset = load(spark, source)
-    recipe = Recipe.fit(dataset.data, [Operation("fill_median", "x"), Operation("trim", "c")])
+    recipe = Recipe.fit(dataset.data, [Operation("fill_median", "x")])
     context = UsageContext("x")
     comparison = compare(dataset.data, recipe.apply(dataset.data), context, row_id="_row")
     path, manifest = write_prepared(dataset.data, recipe, str(tmp_path / f"out{suffix}"), context,
                                     "in.csv", comparison, dataset.metadata)
     body = json.loads(spark.read.text(manifest).first()[0])
     assert (body["original_rows"], body["prepared_rows"]) == (3, 3)
-    assert [s["action"] for s in body["steps"]] == ["fill_median", "trim"]
+    assert [s["action"] for s in body["steps"]] == ["fill_median"]
     assert body["comparison"] and body["source_metadata"][0]["sha256"]
     back = load(spark, path).data
-    assert sorted(rows(back)) == [(1.0, "A"), (2.0, "b"), (3.0, "b")]
+    assert sorted(rows(back)) == [(1.0, " A "), (2.0, "b"), (3.0, "b")]
     with pytest.raises(Exception, match="(?i)exist"):
         write_prepared(dataset.data, recipe, path, context)
     with pytest.raises(ValueError, match="source"):
