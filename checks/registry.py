@@ -287,6 +287,17 @@ def correlation_with_missing(spark, sf):
     return rounded(profile.correlations(V.dirty_orders(spark, sf)), "r")
 
 
+@register("displayed_pair", labeled("SELECT * FROM (" + "\nUNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS pairs FROM t"
+    for a, b in (("n_chars", "quality"), ("n_chars", "toxic"), ("quality", "toxic")))
+    + ") WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY abs(r) DESC, a, b LIMIT 1"))
+def displayed_pair(spark, sf):
+    """The strongest pair among the columns a report would plot: identifiers are left out."""
+    df = V.labeled_documents(spark, sf)
+    shown = profile.correlation_plot_columns(profile.column_profile(df))
+    return rounded(profile.strongest_pair(profile.correlations(df), shown), "r").select("a", "b", "r", "pairs")
+
+
 @register("numeric_plot_columns", dirty("""
 SELECT 'o_totalprice' AS column, count(DISTINCT o_totalprice) AS unique_count FROM t
 UNION ALL SELECT 'o_orderkey', count(DISTINCT o_orderkey) FROM t

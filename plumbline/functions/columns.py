@@ -241,8 +241,31 @@ def _flat_text(name: str, dtype: T.DataType) -> str:
     return f"cast({c} as string)"
 
 
+def _renderable(value: Column, dtype: T.DataType) -> Column:
+    """The value with what JSON cannot hold replaced, at any depth: non-finite numbers by
+    NULL, bytes by hex, timestamps by ISO text."""
+    if is_float(dtype):
+        return finite(value)
+    if isinstance(dtype, T.BinaryType):
+        return F.lower(F.hex(value))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        seconds, micros = (F.date_format(value, p) for p in ("yyyy-MM-dd'T'HH:mm:ss", ".SSSSSS"))
+        return F.when(micros == ".000000", seconds).otherwise(F.concat(seconds, micros))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda e: _renderable(e, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(value, lambda _, e: _renderable(e, dtype.valueType))
+    if isinstance(dtype, T.StructType):
+        parts = [_renderable(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*parts))
+    return value
+
+
 def json_value(name: str, dtype: T.DataType) -> Column:
-    """Like ``as_text``, but non-finite numbers have no rendering and become NULL."""
+    """The JSON-safe rendering of a value, as text; values without one are NULL."""
+    if is_nested(dtype):
+        body = F.to_json(F.struct(_renderable(col(name), dtype).alias("v")), {"ignoreNullFields": "false"})
+        return F.when(col(name).isNotNull(), F.substr(body, F.lit(6), F.length(body) - 6))
     if is_float(dtype):
         return F.when(finite(number(name, dtype)).isNotNull(), as_text(name, dtype))
     return as_text(name, dtype)

@@ -237,8 +237,20 @@ def category_plot_columns(profile: DataFrame, target=None, important=()) -> Data
         MAX_CATEGORIES, target, important)
 
 
-def strongest_pair(pairs: DataFrame) -> DataFrame:
-    """The defined pair with the largest |r|."""
+def correlation_plot_columns(profile: DataFrame, target=None, important=()) -> DataFrame:
+    """Up to twelve varying numeric or boolean columns that are not identifiers."""
+    return _first(
+        profile.where(F.col("kind").isin("measurement", "boolean") & (F.col("unique_count") > 1)
+                      & ~is_identifier()),
+        MAX_CORRELATIONS, target, important)
+
+
+def strongest_pair(pairs: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """The defined pair with the largest |r|, among the given columns (at most twelve)."""
+    if columns is not None:
+        for side in ("a", "b"):
+            shown = columns.select(F.col("column").alias(side))
+            pairs = pairs.join(F.broadcast(shown), side, "left_semi")
     return pairs.where("r is not null").orderBy(F.desc(F.abs("r")), "a", "b").limit(1)
 
 

@@ -169,6 +169,23 @@ def test_plot_choices(table):
     assert [r["column"] for r in profile.category_plot_columns(columns).collect()] == ["group", "other"]
     best = profile.strongest_pair(profile.correlations(df.drop("row_id"))).first()
     assert best.r == pytest.approx(1) and best.pairs == 6
+    shown = profile.correlation_plot_columns(columns, "volume")
+    assert [r["column"] for r in shown.collect()] == ["volume", "amount"]
+    assert profile.strongest_pair(profile.correlations(df), shown).first().a == "amount"
+
+
+def test_json_values(table):
+    import datetime
+    from plumbline.functions.columns import field_of, json_value
+    moment = datetime.datetime(2024, 1, 2, 3, 4, 5)
+    df = table("d double, b binary, t timestamp_ntz, a array<double>, m map<string,double>, s struct<b:binary,t:timestamp_ntz>",
+               [(INF, b"\x0f", moment, [1.0, NAN, None], {"k": INF}, (b"\xff", moment.replace(microsecond=7))),
+                (2.5, None, None, None, None, None)])
+    first, second = df.orderBy("_row").select(
+        *[json_value(c, field_of(df, c).dataType).alias(c) for c in df.columns[:-1]]).collect()
+    assert tuple(first) == (None, "0f", "2024-01-02T03:04:05", "[1.0,null,null]", '{"k":null}',
+                            '{"b":"ff","t":"2024-01-02T03:04:05.000007"}')
+    assert tuple(second) == ("2.5", None, None, None, None, None)
 
 
 NESTED = T.StructType([
