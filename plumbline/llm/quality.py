@@ -34,7 +34,7 @@ class LineRules:
     ``navigation_words``: separators (| » › · •) cut it into parts of at most so many words on
     average. ``bare_words``: from so many words on it has no punctuation mark at all.
     ``shout_words``: from so many words on it is in capitals only. ``phrases``: it contains
-    one of them, whatever the case, and at most ``phrase_words`` words.
+    one of them, whatever the case, and at most ``phrase_chars`` characters.
     A document is rejected if over ``lost_percent`` of its visible characters stand in
     failing lines or fewer than ``left_words`` words remain.
     """
@@ -44,7 +44,7 @@ class LineRules:
     bare_words: int = 20
     shout_words: int = 4
     phrases: tuple[str, ...] = BOILERPLATE
-    phrase_words: int = 30
+    phrase_chars: int = 300
     lost_percent: int = 30
     left_words: int = LEAST_WORDS
 
@@ -83,26 +83,26 @@ def repeated_words(words: Column) -> Column:
 
 
 def visible(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
-
-
-def symbol_count(text: Column, symbols: str = SYMBOLS) -> Column:
-    return F.length(text) - F.length(F.translate(text, symbols, ""))
+    return F.length(F.regexp_replace(text, SPACE, ""))
 
 
 def line_fails(line: Column, rules: LineRules) -> Column:
+    """The rules of one line. Each starts with a cheap test that ordinary lines end, and
+    words are counted only for lines that a rule may concern."""
+    marks, separators = r"[#*$%&<>{}~^=\\]", "[|»›·•]"
+
     def judged(n_words: Column) -> Column:
-        symbols = 100 * symbol_count(line, SYMBOLS.replace("|", "") + "{}~^=\\") > rules.symbol_percent * visible(line)
-        separators = symbol_count(line, "|»›·•")
-        navigation = (separators > 0) & (n_words - separators <= rules.navigation_words * (separators + 1))
+        symbols = line.rlike(marks) & (100 * F.regexp_count(line, F.lit(marks)) > rules.symbol_percent * visible(line))
+        cut = let(F.regexp_count(line, F.lit(separators)), lambda n: (n > 0) & (n_words - n <= rules.navigation_words * (n + 1)))
         bare = (n_words >= rules.bare_words) & ~line.rlike(r"[.!?:;,…。]")
-        shout = (n_words >= rules.shout_words) & (line == F.upper(line)) & (line != F.lower(line))
-        phrase = F.lit(False)
-        if rules.phrases:
-            phrase = (n_words <= rules.phrase_words) & F.lower(line).rlike("|".join(rules.phrases))
-        return symbols | navigation | bare | shout | phrase
+        shout = (n_words >= rules.shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}")
+        return symbols | (line.rlike(separators) & cut) | bare | shout
 
-    return let(F.regexp_count(line, F.lit(WORD)), lambda n: F.when(n == 0, F.lit(False)).otherwise(judged(n)))
+    odd = line.rlike(r"[#*$%&<>{}~^=\\|»›·•]") | ~line.rlike(r"[.!?:;,…。]") | ~line.rlike(r"\p{Ll}")
+    fails = odd & let(F.regexp_count(line, F.lit(WORD)), lambda n: (n > 0) & judged(n))
+    if rules.phrases:
+        fails = fails | ((F.length(line) <= rules.phrase_chars) & F.lower(line).rlike("|".join(rules.phrases)))
+    return fails
 
 
 def judged(docs: DataFrame, rules: LineRules = LineRules(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,15 +123,16 @@ def judged(docs: DataFrame, rules: LineRules = LineRules(), *, id_col: str = "do
     rows = rows.select(
         "doc_id", "input", F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
-        symbol_count(F.col("text")).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.size(F.filter("lines", lambda x: x.fails)).cast("long").alias("n_failed_lines"), passing.alias("cleaned"))
+        F.size(F.filter("lines", lambda x: x.fails)).cast("long").alias("n_failed_lines"),
+        F.when(F.exists("lines", lambda x: x.fails), passing).otherwise(F.col("text")).alias("cleaned"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     lost = F.col("word_chars") - F.length(F.regexp_replace("cleaned", SPACE, ""))
     left = F.regexp_count("cleaned", F.lit(WORD))
     enough = (100 * lost <= rules.lost_percent * F.col("word_chars")) & (left >= rules.left_words)
-    return rows.withColumn("kept", ~F.col("base_failed") & enough)
+    return rows.withColumn("kept", ~F.col("base_failed") & ((F.col("n_failed_lines") == 0) | enough))
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules(), *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
