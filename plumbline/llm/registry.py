@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import oracles, quality
+from plumbline.llm import lines, oracles, quality
 
 QUERIES = {
     "op2_line_first_cleaning": quality.op2_line_first_cleaning,
+    "op3_line_dedup": lines.op3_line_dedup,
 }
 
 ORACLES: dict[str, str] = {name: sql for name, sql in oracles.SQL.items() if name in QUERIES}
