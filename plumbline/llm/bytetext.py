@@ -6,7 +6,7 @@ stay small however long a text is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,9 +73,10 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, *, inside: np.ndarray, fold: np.ndarray | None = None
-                ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hash and row of each maximal run of ``inside`` bytes, in order, stretch by stretch."""
+def word_places(data: np.ndarray, offsets: np.ndarray, *, inside: np.ndarray, fold: np.ndarray | None = None) -> Iterator[
+        tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]]:
+    """Starts, ends and rows of the maximal runs of ``inside`` bytes, in order, stretch by stretch,
+    and a function that hashes pieces of the stretch (by such starts and ends)."""
     at, n = 0, len(data)
     while at < n:
         end = min(n, at + STRETCH)
@@ -86,10 +87,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, *, inside: np.ndarray, fo
         low, high = np.searchsorted(offsets, [at, end])
         starts, ends = runs(inside[part], np.concatenate([[0], offsets[low:high] - at, [end - at]]))
         sums, back = prefix_sums(fold[part] if fold is not None else part), powers(len(part) + 1, _INVERSE)
-        yield mixed((sums[ends] - sums[starts]) * back[starts]), np.searchsorted(offsets, starts + at, "right") - 1
+
+        def hashed(s: np.ndarray, e: np.ndarray, sums=sums, back=back) -> np.ndarray:
+            return mixed((sums[e] - sums[s]) * back[s])
+
+        yield starts, ends, np.searchsorted(offsets, starts + at, "right") - 1, hashed
         at = end
 
 
+def all_word_hashes(data: np.ndarray, offsets: np.ndarray, *, inside: np.ndarray, fold: np.ndarray | None = None
+                    ) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word, in order."""
+    parts = [(hashed(s, e), rows) for s, e, rows, hashed in word_places(data, offsets, inside=inside, fold=fold)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every window of ``size`` words within a row. A row of fewer words, but at
     least one, has one window of all its words."""
@@ -108,13 +122,6 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, size: int)
     return hashes, owners
 
 
-def all_word_hashes(data: np.ndarray, offsets: np.ndarray, **how) -> tuple[np.ndarray, np.ndarray]:
-    parts = list(word_hashes(data, offsets, **how))
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-
 def slices(offsets: np.ndarray, limit: int = STRETCH) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``limit`` bytes; a longer text is a range of its own."""
     at, n = 0, len(offsets) - 1
