@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import lines, oracles, quality, secrets, toxicity
+from plumbline.llm import lines, oracles, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_nnpu_toxicity": toxicity.op1_nnpu_toxicity,
     "op2_line_first_cleaning": quality.op2_line_first_cleaning,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_markov_secrets": secrets.op4_markov_secrets,
+    "op5_weak_supervision_pii": pii.op5_weak_supervision_pii,
 }
 
 ORACLES: dict[str, str] = {name: sql for name, sql in oracles.SQL.items() if name in QUERIES}
