@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import lines, oracles, pii, quality, secrets, toxicity
+from plumbline.llm import lines, oracles, packing, pii, quality, secrets, shards, toxicity
 
 QUERIES = {
     "op1_nnpu_toxicity": toxicity.op1_nnpu_toxicity,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_markov_secrets": secrets.op4_markov_secrets,
     "op5_weak_supervision_pii": pii.op5_weak_supervision_pii,
+    "op8_perfect_hash_shards": shards.op8_perfect_hash_shards,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {name: sql for name, sql in oracles.SQL.items() if name in QUERIES}
