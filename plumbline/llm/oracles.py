@@ -16,4 +16,19 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id"""
 
-SQL: dict[str, str] = {"op3_line_dedup": _LINE_DEDUP}
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _shingle_sets(table: str, key: str) -> str:
+    return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' ')) END) AS shingle
+    FROM (SELECT {key}, {_WORDS} AS w FROM {table})"""
+
+
+_CONTAINMENT = f"""
+WITH d AS ({_shingle_sets('documents', 'doc_id')}), i AS ({_shingle_sets('benchmark', 'item_id')}),
+sizes AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
+SELECT doc_id, item_id, round(count(*) / min(n), 6) AS containment
+FROM d JOIN i USING (shingle) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * min(n)"""
+
+SQL: dict[str, str] = {"op3_line_dedup": _LINE_DEDUP, "op9_containment_search": _CONTAINMENT}

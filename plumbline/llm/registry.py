@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import lines, near, oracles, packing, pii, quality, secrets, shards, toxicity
+from plumbline.llm import contamination, lines, near, oracles, packing, pii, quality, secrets, shards, toxicity
 
 QUERIES = {
     "op1_nnpu_toxicity": toxicity.op1_nnpu_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_weak_supervision_pii": pii.op5_weak_supervision_pii,
     "op7_dart_minhash": near.op7_dart_minhash,
     "op8_perfect_hash_shards": shards.op8_perfect_hash_shards,
+    "op9_containment_search": contamination.op9_containment_search,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
