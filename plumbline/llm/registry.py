@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import contamination, lines, near, oracles, packing, pii, quality, secrets, shards, toxicity
+from plumbline.llm import contamination, lines, near, oracles, packing, pii, quality, secrets, shards, substrings, toxicity
 
 QUERIES = {
     "op1_nnpu_toxicity": toxicity.op1_nnpu_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_markov_secrets": secrets.op4_markov_secrets,
     "op5_weak_supervision_pii": pii.op5_weak_supervision_pii,
+    "op6_columnwise_substrings": substrings.op6_columnwise_substrings,
     "op7_dart_minhash": near.op7_dart_minhash,
     "op8_perfect_hash_shards": shards.op8_perfect_hash_shards,
     "op9_containment_search": contamination.op9_containment_search,

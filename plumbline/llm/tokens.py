@@ -8,6 +8,7 @@ pre-tokenizers and are encoded whole.
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain, islice
 
@@ -30,7 +31,8 @@ class _Numbers(dict):
 class Encoder:
     """Encodes with a tokenizer file; the memory of pieces starts anew beyond ``most`` pieces."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
