@@ -2,9 +2,10 @@
 
 Copies collapse on a digest of their words before anything is joined. Signatures of the
 distinct texts are cut into bands; texts that share a band meet in a bucket. No bucket is
-gathered and none emits all its pairs: small buckets test all their pairs, large ones test
-their members against one centre, first the smallest id, then the member with the most
-links. What is still apart in a large bucket is compared by signature, block by block.
+gathered and none emits all its pairs: small buckets test all their pairs; members of large
+ones are tested against the smallest centre of their buckets, then, where they are still
+apart, against the member with the most links of each bucket. What is apart even then is
+compared by signature, block by block.
 Every link is verified on the exact shingle sets, then classes are connected components.
 """
 
@@ -205,10 +206,11 @@ def near_classes(rows: DataFrame, how: Near = Near()) -> DataFrame:
         wide = wide.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return wide.select("a", "b", "text_a", "text_b").mapInArrow(_verify(how), "a bigint, b bigint").distinct()
 
-    # Rounds one and two: all pairs of small buckets; centres of large ones.
+    # First all pairs of small buckets, and members of large ones against their least centre;
+    # whom that leaves apart meets the best-linked member of each of its buckets.
     small = buckets.where(f"n <= {how.small}").groupBy("band", "hash").agg(F.collect_set("v").alias("vs"))  # at most `small` values
     inner = small.select(F.explode("vs").alias("a"), "vs").select("a", F.explode("vs").alias("b")).where("a < b")
-    stars = buckets.where(f"n > {how.small}").select(F.col("v").alias("a"), F.col("centre").alias("b"))
+    stars = buckets.where(f"n > {how.small}").groupBy("v").agg(F.min("centre").alias("b")).select(F.col("v").alias("a"), "b")
     own = sketched.select("id", "d1", "d2").join(copies.select("d1", "d2", "v"), ["d1", "d2"]).where("id != v").select(
         F.col("id").alias("a"), F.col("v").alias("b")).join(copies.select(F.col("v").alias("a")).distinct(), "a", "left_semi")  # one id, several texts
     links = written(verified(inner.unionByName(stars)).unionByName(own), "links")
