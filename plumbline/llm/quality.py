@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm.columns import SPACE, WORD, documents, let
+from plumbline.llm.columns import SPACE, WORD, documents, let, renewed
 
 #: Fixed values of the base counts.
 SYMBOLS = "#*$%&|<>"
@@ -138,11 +138,15 @@ def judged(docs: DataFrame, rules: LineRules = LineRules(), *, id_col: str = "do
 def clean(docs: DataFrame, rules: LineRules = LineRules(), *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The kept rows with the columns of ``docs``; the text has lost its failing lines and
     ``length_col``, if there is such a column, is its new length in code points."""
-    kept = judged(docs, rules, text_col=text_col).where("kept")
-    renewed = {text_col: F.col("cleaned")}
+    rows = judged(docs, rules, text_col=text_col)
+    # A plain filter would be pushed below the projection that it reads and repeat all its work
+    # inside other expressions; exploding the kept rows is evaluated once.
+    kept = F.filter(F.array(F.struct("input", "cleaned", "kept")), lambda x: x.kept)
+    rows = rows.select(F.explode_outer(kept).alias("row")).where("row is not null").select("row.*")
+    values = {text_col: F.col("cleaned")}
     if length_col in docs.columns:
-        renewed[length_col] = F.length("cleaned").cast(docs.schema[length_col].dataType)
-    return kept.select(*[(renewed[c] if c in renewed else F.col("input")[c]).alias(c) for c in docs.columns])
+        values[length_col] = F.length("cleaned")
+    return renewed(rows, docs, values)
 
 
 def op2_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,32 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+import corpus_pipeline
 from plumbline.llm import contamination, lines, near, oracles, packing, pii, quality, secrets, shards, substrings, toxicity
 
-QUERIES = {
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def _importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with this repository on the path of the Python workers, wherever the driver was
+    started."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        environment = spark.sparkContext.environment
+        paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+        if _ROOT not in paths:
+            environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _importable(query) for name, query in {
     "op1_nnpu_toxicity": toxicity.op1_nnpu_toxicity,
     "op2_line_first_cleaning": quality.op2_line_first_cleaning,
     "op3_line_dedup": lines.op3_line_dedup,
@@ -15,6 +38,9 @@ QUERIES = {
     "op8_perfect_hash_shards": shards.op8_perfect_hash_shards,
     "op9_containment_search": contamination.op9_containment_search,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
-}
+    "pipeline": corpus_pipeline.run,
+}.items()}
 
 ORACLES: dict[str, str] = {name: sql for name, sql in oracles.SQL.items() if name in QUERIES}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
