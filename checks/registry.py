@@ -430,6 +430,12 @@ def class_distribution(spark, sf):
     return D.class_distribution(V.labeled_documents(spark, sf), "quality").withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@register("class_distribution_long", labeled(distribution_sql("t", "text")))
+def class_distribution_long(spark, sf):
+    """A target whose labels are whole documents."""
+    return D.class_distribution(V.labeled_documents(spark, sf), "text").withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @register("class_distribution_many", "WITH z AS (SELECT 1)" + distribution_sql("customer", "c_nationkey"))
 def class_distribution_many(spark, sf):
     return D.class_distribution(V.table(spark, sf, "customer"), "c_nationkey").withColumn("rank", F.col("rank").cast("bigint"))
@@ -443,6 +449,14 @@ def rare_classes(spark, sf):
     return D.rare_classes(V.table(spark, sf, "customer"), "c_nationkey")
 
 
+@register("rare_classes_long", f"""
+SELECT label, n AS count, {pct('n', 'rows')} AS percentage FROM (
+  SELECT text AS label, count(*) AS n, (SELECT count(*) FROM documents) AS rows FROM documents GROUP BY 1)
+WHERE {pct('n', 'rows')} < 5""")
+def rare_classes_long(spark, sf):
+    return D.rare_classes(V.table(spark, sf, "documents"), "text")
+
+
 # --- outliers ---------------------------------------------------------------------
 
 FENCED = {"events": "value", "documents": "n_chars", "orders": "o_totalprice", "lineitem": "l_extendedprice"}

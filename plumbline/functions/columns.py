@@ -199,6 +199,12 @@ def iso_sql(value: str) -> str:
     return f"(case when {micros} = '.000000' then {seconds} else concat({seconds}, {micros}) end)"
 
 
+def instant_sql(value: str) -> str:
+    """``iso_sql`` with the offset, except in UTC: two instants never share a text."""
+    offset = f"date_format({value}, 'XXX')"
+    return f"concat({iso_sql(value)}, case when {offset} = 'Z' then '' else {offset} end)"
+
+
 def as_text(name: str, dtype: T.DataType) -> Column:
     """Value as text: bytes as hex, dates and timestamps as ISO, nested values as JSON."""
     if is_nested(dtype):
@@ -234,7 +240,9 @@ def _flat_text(name: str, dtype: T.DataType) -> str:
         return f"cast({present_sql(name, dtype)} + cast(0 as {dtype.simpleString()}) as string)"
     if isinstance(dtype, T.BinaryType):
         return f"lower(hex({c}))"
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dtype, T.TimestampType):
+        return instant_sql(c)
+    if isinstance(dtype, T.TimestampNTZType):
         return iso_sql(c)
     if is_variant(dtype):
         return f"to_json({present_sql(name, dtype)})"

@@ -109,10 +109,25 @@ def top_values(df: DataFrame, names: list[str] | None = None, k: int = 5,
 
 
 def value_counts(df: DataFrame, name: str, row_id: str | None = None) -> DataFrame:
-    """(key, n[, first_row]) of one column."""
+    """(key, n[, first_row]) of one column; long texts as their digest (see ``with_texts``)."""
     return frequencies(df, [name], row_id).drop("column")
 
 
+def with_texts(counted: DataFrame, df: DataFrame, name: str, key: str = "key") -> DataFrame:
+    """``counted`` with whole texts in place of digests in the column ``key``.
+
+    A second scan, joined with the digests that are left; one text per digest comes back.
+    """
+    dtype = field_of(df, name).dataType
+    if not has_long_text(dtype):
+        return counted
+    digests = counted.where(col(key).startswith("#") & (F.length(col(key)) == 65)).select(col(key).alias("_digest")).distinct()
+    texts = df.select(short_text(name, dtype).alias("_digest"), as_text(name, dtype).alias("_text"))
+    texts = texts.join(digests, "_digest", "left_semi").groupBy("_digest").agg(F.first("_text").alias("_text"))
+    joined = counted.join(texts, col(key) == F.col("_digest"), "left")
+    return joined.withColumn(key, F.coalesce("_text", col(key))).drop("_digest", "_text")
+
+
 def most_frequent(df: DataFrame, name: str):
     """The most frequent present value in the column's own type; the smallest on ties.
 

@@ -30,6 +30,8 @@ MISSING_LABEL = "Missing values"
 def missing_by_column(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """(ordinal, column, rows, missing) of every column, from one aggregation."""
     fields = data_fields(df, row_id)
+    if not fields:
+        return local_frame(df.sparkSession, [], "ordinal int, column string, rows bigint, missing bigint")
     counted = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.expr(f"count_if({missing_sql(f.name, f.dataType)}) as m{i}") for i, f in enumerate(fields)])

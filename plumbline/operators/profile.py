@@ -17,7 +17,6 @@ from plumbline.operators.frequencies import distinct_counts
 from plumbline.operators.quantiles import quantiles
 
 # Bounds of the visual summaries.
-MAX_NUMERIC_COLUMNS = 24
 HISTOGRAM_BINS = 24
 MIN_PAIRS = 3
 MAX_HISTOGRAMS = 6
@@ -90,10 +89,10 @@ def numeric_describe(df: DataFrame, names: list[str] | None = None,
     return aggregated.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def plot_columns(df: DataFrame, row_id: str | None = None) -> list[T.StructField]:
-    """The first 24 numeric or boolean columns in schema order."""
+def plot_columns(df: DataFrame, row_id: str | None = None, names: list[str] | None = None) -> list[T.StructField]:
+    """The numeric or boolean columns in schema order: all, or those among ``names``."""
     fields = [f for f in data_fields(df, row_id) if is_plot_numeric(f.dataType)]
-    return fields[:MAX_NUMERIC_COLUMNS]
+    return fields if names is None else [f for f in fields if f.name in names]
 
 
 def _ranges(df: DataFrame, values: dict[str, Column]) -> dict[str, Row]:
@@ -114,15 +113,15 @@ def _ranges(df: DataFrame, values: dict[str, Column]) -> dict[str, Row]:
     return ranges
 
 
-def histograms(df: DataFrame, row_id: str | None = None) -> DataFrame:
+def histograms(df: DataFrame, row_id: str | None = None, names: list[str] | None = None) -> DataFrame:
     """(column, bin, low, high, count): 24 equal bins over each column's finite values.
 
     All rows count, not a sample. Two passes: ranges, then counts per (column, bin),
-    which combine on the map side to at most 24 x 24 groups. A value on an edge goes to
+    which combine on the map side to at most 24 groups a column. A value on an edge goes to
     the bin that starts there, decided against the edges themselves; the last bin is
     closed on both sides.
     """
-    fields = [f for f in plot_columns(df, row_id) if not isinstance(f.dataType, T.BooleanType)]
+    fields = [f for f in plot_columns(df, row_id, names) if not isinstance(f.dataType, T.BooleanType)]
     values = {f.name: finite(number(f.name, f.dataType)) for f in fields}
     spark = df.sparkSession
     if not values or not (ranges := _ranges(df, values)):
@@ -138,7 +137,7 @@ def histograms(df: DataFrame, row_id: str | None = None) -> DataFrame:
         points = [low + i * step for i in range(HISTOGRAM_BINS)] + [high]
         edges += [(name, i, points[i] * found.scale, points[i + 1] * found.scale)
                   for i in range(HISTOGRAM_BINS)]
-    # At most 24 rows, one per column.
+    # One row per column.
     shapes = local_frame(spark, shape, "column string, scale double, low double, step double, density double")
     last = HISTOGRAM_BINS - 1
     counted = (
@@ -156,7 +155,7 @@ def histograms(df: DataFrame, row_id: str | None = None) -> DataFrame:
         "column", "bin", "low", "high", "coalesce(count, 0L) as count")
 
 
-def correlations(df: DataFrame, row_id: str | None = None) -> DataFrame:
+def correlations(df: DataFrame, row_id: str | None = None, names: list[str] | None = None) -> DataFrame:
     """(a, b, r, pairs) for every pair of varying numeric or boolean columns.
 
     Pearson's r over the rows where both are finite; NULL below 3 pairs or when either
@@ -166,7 +165,7 @@ def correlations(df: DataFrame, row_id: str | None = None) -> DataFrame:
     code where covariance buffers for hundreds of pairs do not. A pair of complete
     columns needs one sum of its own; others are summed over their common rows.
     """
-    values = {f.name: finite(number(f.name, f.dataType)) for f in plot_columns(df, row_id)}
+    values = {f.name: finite(number(f.name, f.dataType)) for f in plot_columns(df, row_id, names)}
     empty = local_frame(df.sparkSession, [], "a string, b string, r double, pairs bigint")
     if len(values) < 2:
         return empty

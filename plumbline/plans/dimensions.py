@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import field_of, literal, missing_sql
 from plumbline.functions.numbers import percentage
-from plumbline.operators.frequencies import top_k, value_counts
+from plumbline.operators.frequencies import top_k, value_counts, with_texts
 from plumbline.operators.profile import NUMBERS_AS_TEXT
 from plumbline.plans import constants as K
 
@@ -160,7 +160,8 @@ def class_balance(facts: DataFrame) -> DataFrame:
 def rare_classes(df: DataFrame, target: str) -> DataFrame:
     """(label, count, percentage) of every class below 5% of all rows, missing targets
     included in the total."""
-    return value_counts(df, target).withColumn("rows", row_count(df)).where(RARE).selectExpr(
+    rare = value_counts(df, target).withColumn("rows", row_count(df)).where(RARE)
+    return with_texts(rare, df, target).selectExpr(
         "key as label", "n as count", f"{percentage('n', 'rows', 0.0)} as percentage")
 
 
@@ -179,7 +180,9 @@ def class_distribution(df: DataFrame, target: str, shown: int = K.SHOWN_CLASSES)
     """(slot, label, count, percentage): the most frequent classes, the remaining ones
     combined, and the missing labels. Percentages are of the labelled rows."""
     counted = value_counts(df, target).withColumn("column", F.lit(target))
-    top = top_k(counted, shown).select(
+    # Ties are decided by the labels themselves, so whoever may be shown gets its text first.
+    least = counted.orderBy(F.desc("n")).limit(shown).agg(F.min("n").alias("n")).scalar()
+    top = top_k(with_texts(counted.where(F.col("n") >= least), df, target), shown).select(
         F.lit("class").alias("slot"), F.col("rank"), F.col("key").alias("label"),
         F.col("n").alias("count"))
     present = f"count_if(not {missing_sql(target, field_of(df, target).dataType)})"

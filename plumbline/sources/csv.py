@@ -53,6 +53,7 @@ def read_csv(spark: SparkSession, path: str, row_id: str | None = ROW_ID) -> Csv
     sample = _sample(lines, encoding)
     delimiter = detect_delimiter(sample)
     names = header_names(sample, delimiter)
+    _check_headers(lines, names, delimiter, encoding)
 
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA]])
     texts = spark.read.csv(
@@ -63,6 +64,18 @@ def read_csv(spark: SparkSession, path: str, row_id: str | None = ROW_ID) -> Csv
                     encoding, delimiter)
 
 
+def _check_headers(lines: DataFrame, names: list[str], delimiter: str, encoding: str) -> None:
+    """Every file of a folder must have the header of the first one, in the same order."""
+    placed = lines.select(
+        F.input_file_name().alias("file"), F.col("value").cast("binary").alias("head"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    heads = placed.groupBy("file").agg(F.min_by("head", "place").alias("head"))
+    for row in heads.groupBy("head").agg(F.min("file").alias("file")).limit(100).toLocalIterator():
+        head = bytes(row["head"]).decode(encoding, "replace").lstrip("\ufeff")
+        if (found := header_names(head + "\n", delimiter)) != names:
+            raise LoadError(f"{row['file']} has the header {found}, other files have {names}")
+
+
 def _sample(lines: DataFrame, encoding: str) -> str:
     """The first characters of the first file, decoded; a line is at least one character."""
     first = sorted(lines.inputFiles())[0]
