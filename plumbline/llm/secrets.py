@@ -34,6 +34,7 @@ _TOKEN = _CODE < _A - 1
 _HEX = np.isin(np.arange(256), [ord(c) for c in "0123456789abcdef"])
 
 RANDOM, ORDINARY = 1, 0
+_BACKOFF = 20
 
 
 @dataclass(frozen=True)
@@ -42,8 +43,8 @@ class Thresholds:
     is at least ``total`` in all and ``per_char`` for each of its pairs."""
 
     least_chars: int = 16
-    total: float = 12.0
-    per_char: float = 0.6
+    total: float = 25.0
+    per_char: float = 2.5
 
 
 def generated(n: int = 4000, seed: int = 7) -> list[str]:
@@ -88,6 +89,15 @@ def _rows(batch: pa.RecordBatch, least: int) -> Iterator[tuple[int, str | None,
         yield row, column[row].as_py() or "", raw, hexes, tokens
 
 
+def identifiers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a text strung together as in programs: snake_case and CamelCase."""
+    snake, camel = raw.copy(), raw.copy()
+    snake[snake == 32] = ord("_")
+    begins = np.flatnonzero((raw[1:] >= 97) & (raw[1:] <= 122) & (raw[:-1] == 32)) + 1
+    camel[begins] -= 32
+    return snake, camel[camel != 32]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, _A * _A), np.int64)
 
@@ -106,7 +116,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     add(RANDOM, np.frombuffer(value.encode(), np.uint8))
                     chars[start:end] = " " * (end - start)
                 raw = np.frombuffer("".join(chars).encode(), np.uint8)
-            add(ORDINARY, raw)
+            for form in (raw, *identifiers(raw)):
+                add(ORDINARY, form)
     label, pair = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays(
         [pa.array(label.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(counts[label, pair])], names=["label", "pair", "n"])
@@ -116,18 +127,22 @@ def train(docs: DataFrame) -> np.ndarray:
     """The log-likelihood ratio of each pair of characters, random over ordinary.
 
     Labelled samples: values of the fixed shapes in all texts and generated strings are
-    random; everything else in all texts is ordinary. Counts are summed by Spark; what
-    reaches the driver is bounded by the square of the alphabet. Add-one smoothing makes
-    both models defined on an empty table.
+    random; everything else in all texts, as it stands and strung together to identifiers, is
+    ordinary. Counts are summed by Spark; what
+    reaches the driver is bounded by the square of the alphabet. Both models fall back on how
+    frequent single characters are, by the weight of ``_BACKOFF`` pairs, and are defined on
+    an empty table too.
     """
     counted = texts(docs).select("text").mapInArrow(_count, "label int, pair int, n bigint").groupBy("label", "pair").agg(F.sum("n").alias("n"))
-    counts = np.ones((2, _A * _A))
+    counts = np.zeros((2, _A * _A))
     for row in counted.collect():
         counts[row.label, row.pair] += row.n
     for value in generated():
         codes = _CODE[np.frombuffer(value.encode(), np.uint8)].astype(np.int32)
         counts[RANDOM] += np.bincount(codes[:-1] * _A + codes[1:], minlength=_A * _A)
     tables = counts.reshape(2, _A, _A)[:, :, :_A - 1]  # inside a token: the next symbol is no boundary
+    single = tables.sum(axis=1, keepdims=True) + 1
+    tables = tables + _BACKOFF * single / single.sum(axis=2, keepdims=True)
     logs = np.log(tables / tables.sum(axis=2, keepdims=True))
     return logs[RANDOM] - logs[ORDINARY]
 

@@ -1,0 +1,17 @@
+"""Registered queries of the subpackage against their SQL; the others must return rows."""
+
+import os
+
+import pytest
+
+from checks.run import compare, connect
+from plumbline.llm.registry import ORACLES
+
+SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    import __spark_entry__
+
+    assert compare(spark, connect(SF), SF, __spark_entry__.queries()[name], ORACLES[name]) == ""
