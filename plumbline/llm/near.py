@@ -5,7 +5,7 @@ distinct texts are cut into bands; texts that share a band meet in a bucket. No
 gathered and none emits all its pairs: small buckets test all their pairs; members of large
 ones are tested against the smallest centre of their buckets, then, where they are still
 apart, against the member with the most links of each bucket. What is apart even then is
-compared by signature, block by block.
+compared by signature and verified, block by block.
 Every link is verified on the exact shingle sets, then classes are connected components.
 """
 
@@ -131,23 +131,28 @@ def _sketch(how: Near):
     return run
 
 
+def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text."""
+    data, offsets = text_bytes(column)
+    words, owners = all_word_hashes(data, offsets, inside=~SPACES)
+    hashes, of = shingle_hashes(words, owners, len(column), size)
+    order = np.argsort(of, kind="stable")
+    return (np.unique(x) for x in np.split(hashes[order], np.cumsum(np.bincount(of, minlength=len(column)))[:-1]))
+
+
+def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= least * (len(a) + len(b) - common) - 1e-9
+
+
 def _verify(how: Near):
     """Keeps the pairs of texts whose shingle sets are similar enough."""
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        data, offsets = text_bytes(column)
-        words, owners = all_word_hashes(data, offsets, inside=~SPACES)
-        hashes, of = shingle_hashes(words, owners, len(column), how.shingle)
-        order = np.argsort(of, kind="stable")
-        yield from (np.unique(x) for x in np.split(hashes[order], np.cumsum(np.bincount(of, minlength=len(column)))[:-1]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, lengths = text_bytes(batch.column("text_a"))
             for low, high in slices(lengths, 1 << 20):
-                part, links = batch.slice(low, high - low), []
-                for a, b in zip(sets(part.column("text_a")), sets(part.column("text_b"))):
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    links.append(common >= how.similarity * (len(a) + len(b) - common) - 1e-9)
+                part = batch.slice(low, high - low)
+                links = [_similar(a, b, how.similarity) for a, b in zip(*(_sets(part.column(c), how.shingle) for c in ("text_a", "text_b")))]
                 yield part.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
     return run
@@ -224,7 +229,7 @@ def near_classes(rows: DataFrame, how: Near = Near()) -> DataFrame:
             centres = apart.groupBy("band", "hash").agg(F.max_by(F.struct("v", "label"), F.struct("links", -F.col("v"))).alias("c"))
             again = apart.join(centres, ["band", "hash"]).where("label != c.label").select(F.col("v").alias("a"), F.col("c.v").alias("b"))
             labels = _merged(labels, written(verified(again), "links"))
-            labels = _exhausted(large, labels, copies, verified, how)
+            labels = _exhausted(large, labels, copies, texts, how)
 
     roots = copies.join(labels, "v", "left").select("d1", "d2", F.coalesce("label", "v").alias("class_id"))
     return sketched.select("id", "d1", "d2").join(roots, ["d1", "d2"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
@@ -237,35 +242,45 @@ def _apart(large: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(several.select("band", "hash"), ["band", "hash"])
 
 
-def _exhausted(large: DataFrame, labels: DataFrame, copies: DataFrame, verified, how: Near) -> DataFrame:
-    """Whatever is still apart: members outside the commonest label of their bucket are laid in
-    blocks, every member meets every block of its bucket, and only pairs with similar
-    signatures and different labels come out, to be verified."""
+def _exhausted(large: DataFrame, labels: DataFrame, copies: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
+    """Whatever is still apart: the members of a bucket, and again those outside its commonest
+    label, are laid in blocks with their texts, and every block of the first kind meets every
+    one of the second. Pairs with similar signatures and different labels are verified on
+    the spot; only links come out."""
     apart = _apart(large, labels)
     by_label = apart.groupBy("band", "hash", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = by_label.groupBy("band", "hash").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.max("n").alias("top"))
+    most = by_label.groupBy("band", "hash").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
     signed = apart.join(most, ["band", "hash"]).join(copies.select("v", "signature"), "v")
-    signed = written(signed, "apart")
+    signed = written(signed.join(texts.select(F.col("id").alias("v"), "text"), "v"), "apart")
     if signed.isEmpty():
         return labels
-    blocks = signed.where("label != most").withColumn(
-        "block", F.pmod(F.xxhash64("v"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top")) / how.block)))).groupBy("band", "hash", "block").agg(
-        F.collect_list(F.struct("v", "label", "signature")).alias("others"))
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        sizes = rows.groupBy("band", "hash").agg(F.greatest(
+            F.ceil(F.count(F.lit(1)) / how.block), F.ceil(F.sum(F.octet_length("text")) / 4e6), F.lit(1)).alias("blocks"))
+        dealt = rows.join(sizes, ["band", "hash"]).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
+        return dealt.groupBy("band", "hash", "block").agg(F.collect_list(F.struct("v", "label", "signature", "text")).alias(name)).drop("block")
+
     least = how.similarity - how.slack
 
+    def signatures(rows: list[dict]) -> np.ndarray:
+        return np.frombuffer(b"".join(r["signature"] for r in rows), "<u2").reshape(len(rows), -1)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                others = row["others"]
-                table = np.frombuffer(b"".join(o["signature"] for o in others), "<u2").reshape(len(others), -1)
-                near = (table == np.frombuffer(row["signature"], "<u2")).mean(axis=1) >= least
-                found = [others[i]["v"] for i in np.flatnonzero(near) if others[i]["label"] != row["label"]]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([row["v"]] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
-
-    pairs = signed.select("band", "hash", "v", "label", "signature").join(blocks.drop("block"), ["band", "hash"]).select(
-        "v", "label", "signature", "others").mapInArrow(compare, "a bigint, b bigint")
-    return _merged(labels, written(verified(pairs), "links"))
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                left, right, pairs = row["members"], row["others"], []
+                table, labelled = signatures(right), np.array([r["label"] for r in right])
+                for i, signature in enumerate(signatures(left)):
+                    near = ((table == signature).mean(axis=1) >= least) & (labelled != left[i]["label"])
+                    pairs += [(i, j) for j in np.flatnonzero(near)]
+                if pairs:
+                    (mine, theirs) = (list(_sets(pa.array([r["text"] for r in side]), how.shingle)) for side in (left, right))
+                    links = [(left[i]["v"], right[j]["v"]) for i, j in pairs if _similar(mine[i], theirs[j], how.similarity)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    pairs = blocks(signed, "members").join(blocks(signed.where("label != most"), "others"), ["band", "hash"]).select("members", "others")
+    return _merged(labels, written(pairs.mapInArrow(compare, "a bigint, b bigint").distinct(), "links"))
 
 
 def keep_one(docs: DataFrame, how: Near = Near(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

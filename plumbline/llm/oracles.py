@@ -1,5 +1,7 @@
 """SQL for DuckDB, where SQL can express an operator."""
 
+from plumbline.llm.quality import BOILERPLATE
+
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 _LINE_DEDUP = f"""
@@ -31,4 +33,40 @@ sizes AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
 SELECT doc_id, item_id, round(count(*) / min(n), 6) AS containment
 FROM d JOIN i USING (shingle) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * min(n)"""
 
-SQL: dict[str, str] = {"op3_line_dedup": _LINE_DEDUP, "op9_containment_search": _CONTAINMENT}
+_VISIBLE = "length(regexp_replace({0}, '[\\x20\\x09-\\x0D]', '', 'g'))"
+_N_WORDS = "len(regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+'))"
+
+_QUALITY = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, s FROM windows GROUP BY doc_id, s HAVING count(*) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM windows JOIN twice USING (doc_id, s)) GROUP BY doc_id),
+lines AS (
+  SELECT *, {_N_WORDS.format('line')} AS n, len(regexp_extract_all(line, '[|»›·•]')) AS seps
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM t)),
+judged AS (
+  SELECT *, n > 0 AND (
+      100 * len(regexp_extract_all(line, '[#*$%&<>{{}}~^=\\\\]')) > 10 * {_VISIBLE.format('line')}
+      OR (seps > 0 AND n - seps <= 3 * (seps + 1))
+      OR (n >= 20 AND NOT regexp_matches(line, '[.!?:;,…。]'))
+      OR (n >= 4 AND NOT regexp_matches(line, '\\p{{Ll}}') AND regexp_matches(line, '\\p{{Lu}}')))
+    OR (length(line) <= 300 AND regexp_matches(lower(line), '{"|".join(BOILERPLATE)}')) AS fails
+  FROM lines),
+per_doc AS (
+  SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, count(*) FILTER (fails) AS n_failed_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT fails), '') AS cleaned
+  FROM judged GROUP BY doc_id),
+base AS (
+  SELECT doc_id, len(w) AS n_words, {_VISIBLE.format('text')} AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, n_failed_lines, cleaned
+  FROM t JOIN per_doc USING (doc_id) LEFT JOIN repeated r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND (n_failed_lines = 0
+    OR (100 * (word_chars - {_VISIBLE.format('cleaned')}) <= 30 * word_chars AND {_N_WORDS.format('cleaned')} >= 20)) AS kept
+FROM base"""
+
+SQL: dict[str, str] = {"op2_line_first_cleaning": _QUALITY, "op3_line_dedup": _LINE_DEDUP, "op9_containment_search": _CONTAINMENT}
