@@ -31,7 +31,7 @@ class _Numbers(dict):
 class Encoder:
     """Encodes with a tokenizer file; the memory of pieces starts anew beyond ``most`` pieces."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 750_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
