@@ -125,8 +125,8 @@ def _sketch(how: Near):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * how.bands, how.bands, dtype=np.int32)), pa.array(bands.view(np.int64).reshape(-1)))
                 short = (signature >> np.uint64(48)).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(digests[0]), pa.array(digests[1]), pa.array(counts.astype(np.int64)), lists,
-                     pa.array([row.tobytes() for row in short], pa.binary())], names=["id", "d1", "d2", "n_words", "bands", "signature"])
+                    [part.column("id"), part.column("tag"), pa.array(digests[0]), pa.array(digests[1]), pa.array(counts.astype(np.int64)), lists,
+                     pa.array([row.tobytes() for row in short], pa.binary())], names=["id", "tag", "d1", "d2", "n_words", "bands", "signature"])
 
     return run
 
@@ -187,38 +187,32 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(new), "labels")
 
 
-def near_classes(rows: DataFrame, how: Near = Near()) -> DataFrame:
-    """``id, tag, class_id`` of keyed rows (see ``keyed``): the smallest id connected to the row by
-    links of similarity ``how.similarity`` or more between sets of ``how.shingle`` words.
-
-    Texts with the same words are copies, texts without words are copies of each other, a
-    text of fewer words has one shingle of all of them. Rows that share an id are one
-    document. An empty table gives no rows.
-    """
-    sketched = written(rows.select("id", "text").mapInArrow(
-        _sketch(how), "id bigint, d1 bigint, d2 bigint, n_words bigint, bands array<bigint>, signature binary"), "sketches")
+def _text_classes(rows: DataFrame, how: Near) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches (a row per row), the texts (``d1, d2, label``) and the classes (``label, first``: the
+    smallest ``id, tag`` of their rows) of keyed rows. Vertices are texts, numbered; ids link nothing."""
+    sketched = written(rows.select("id", "tag", "text").mapInArrow(
+        _sketch(how), "id bigint, tag bigint, d1 bigint, d2 bigint, n_words bigint, bands array<bigint>, signature binary"), "sketches")
     copies = written(sketched.groupBy("d1", "d2").agg(
-        F.min("id").alias("v"), F.max("n_words").alias("n_words"), F.min_by("bands", "id").alias("bands"),
-        F.min_by("signature", "id").alias("signature")), "distinct")
+        F.min(F.struct("id", "tag")).alias("first"), F.max("n_words").alias("n_words"), F.min_by("bands", "id").alias("bands"),
+        F.min_by("signature", "id").alias("signature")).sortWithinPartitions("d1", "d2").withColumn("v", F.monotonically_increasing_id()), "distinct")
     members = copies.where("n_words > 0").select("v", F.posexplode("bands").alias("band", "hash"))
     sized = members.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("centre")).where("n > 1")
     buckets = written(members.join(sized, ["band", "hash"]), "buckets")
-    texts = rows.select("id", "text")
+    needed = copies.join(buckets.select("v").distinct(), "v", "left_semi").select("first.id", "first.tag", "v")
+    texts = written(rows.select("id", "tag", "text").dropDuplicates(["id", "tag"]).join(needed, ["id", "tag"]).select("v", "text"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
-        wide = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        wide = wide.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return wide.select("a", "b", "text_a", "text_b").mapInArrow(_verify(how), "a bigint, b bigint").distinct()
+        wide = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
+        wide = wide.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
+        return wide.select("a", "b", "text_a", "text_b").mapInArrow(_verify(how), "a bigint, b bigint")
 
     # First all pairs of small buckets, and members of large ones against their least centre;
     # whom that leaves apart meets the best-linked member of each of its buckets.
     small = buckets.where(f"n <= {how.small}").groupBy("band", "hash").agg(F.collect_set("v").alias("vs"))  # at most `small` values
     inner = small.select(F.explode("vs").alias("a"), "vs").select("a", F.explode("vs").alias("b")).where("a < b")
     stars = buckets.where(f"n > {how.small}").groupBy("v").agg(F.min("centre").alias("b")).select(F.col("v").alias("a"), "b")
-    own = sketched.select("id", "d1", "d2").join(copies.select("d1", "d2", "v"), ["d1", "d2"]).where("id != v").select(
-        F.col("id").alias("a"), F.col("v").alias("b")).join(copies.select(F.col("v").alias("a")).distinct(), "a", "left_semi")  # one id, several texts
-    links = written(verified(inner.unionByName(stars)).unionByName(own), "links")
+    links = written(verified(inner.unionByName(stars)), "links")
     labels = components(links)
 
     large = written(buckets.where(f"n > {how.small}").select("band", "hash", "v"), "large")
@@ -231,8 +225,28 @@ def near_classes(rows: DataFrame, how: Near = Near()) -> DataFrame:
             labels = _merged(labels, written(verified(again), "links"))
             labels = _exhausted(large, labels, copies, texts, how)
 
-    roots = copies.join(labels, "v", "left").select("d1", "d2", F.coalesce("label", "v").alias("class_id"))
-    return sketched.select("id", "d1", "d2").join(roots, ["d1", "d2"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
+    roots = written(copies.join(labels, "v", "left").select("d1", "d2", "first", F.coalesce("label", "v").alias("label")), "roots")
+    return sketched, roots.drop("first"), roots.groupBy("label").agg(F.min("first").alias("first"))
+
+
+def row_classes(rows: DataFrame, how: Near = Near()) -> DataFrame:
+    """``id, tag, class_id``, a row per keyed row (see ``keyed``): the smallest id of the rows whose texts
+    are connected to its text by links of similarity ``how.similarity`` or more between sets of
+    ``how.shingle`` words.
+
+    Texts with the same words are copies, texts without words are copies of each other, a
+    text of fewer words has one shingle of all of them. Rows that share an id, or have none, are
+    judged by their texts alone; classes whose smallest id is the same (``NO_ID``, or an id of
+    several texts) show the same ``class_id``. An empty table gives no rows.
+    """
+    sketched, roots, classes = _text_classes(rows, how)
+    named = roots.join(classes, "label").select("d1", "d2", F.col("first.id").alias("class_id"))
+    return sketched.select("id", "tag", "d1", "d2").join(named, ["d1", "d2"]).select("id", "tag", "class_id")
+
+
+def near_classes(rows: DataFrame, how: Near = Near()) -> DataFrame:
+    """The distinct ``id, tag, class_id`` of ``row_classes``."""
+    return row_classes(rows, how).distinct()
 
 
 def _apart(large: DataFrame, labels: DataFrame) -> DataFrame:
@@ -251,7 +265,7 @@ def _exhausted(large: DataFrame, labels: DataFrame, copies: DataFrame, texts: Da
     by_label = apart.groupBy("band", "hash", "label").agg(F.count(F.lit(1)).alias("n"))
     most = by_label.groupBy("band", "hash").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
     signed = apart.join(most, ["band", "hash"]).join(copies.select("v", "signature"), "v")
-    signed = written(signed.join(texts.select(F.col("id").alias("v"), "text"), "v"), "apart")
+    signed = written(signed.join(texts, "v"), "apart")
     if signed.isEmpty():
         return labels
 
@@ -284,15 +298,13 @@ def _exhausted(large: DataFrame, labels: DataFrame, copies: DataFrame, texts: Da
 
 
 def keep_one(docs: DataFrame, how: Near = Near(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class with the columns of ``docs``: that of the smallest id (of rows that
-    share it, the one with the smallest text hash; of equal rows, one)."""
+    """One row of each class of texts with the columns of ``docs``: that of the smallest id (of rows that
+    share it, the one with the smallest text hash; of rows that share both, one)."""
     rows = keyed(docs, id_col, text_col)
-    first = near_classes(rows, how).where("id = class_id").select("id")
-    chosen = rows.join(first, "id").groupBy("id").agg(F.min_by("input", "tag").alias("input"))
+    _, _, classes = _text_classes(rows, how)
+    chosen = rows.select("id", "tag", "input").dropDuplicates(["id", "tag"]).join(classes.select("first.id", "first.tag"), ["id", "tag"])
     return renewed(chosen, docs, {})
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = keyed(documents(spark, sf_dir)).select("id", "text")
-    classes = near_classes(rows)
-    return rows.select("id").join(classes, "id").select(shown_id(), shown_id("class_id").alias("class_id"))
+    return row_classes(keyed(documents(spark, sf_dir))).select(shown_id(), shown_id("class_id").alias("class_id"))

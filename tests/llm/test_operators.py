@@ -204,6 +204,18 @@ def test_near_classes(spark, docs, empty, small):
     assert near.keep_one(empty).count() == 0
 
 
+def test_near_dedup_judges_rows_that_share_an_id_by_their_texts(spark):
+    a, b = sentence(950, 200), sentence(951, 200)
+    rows = [(None, a), (None, b), (None, sentence(952)), (None, sentence(952)), (4, a + " more"), (5, b + " more"), (6, sentence(953)),
+            (6, sentence(954)), (7, sentence(954)), (None, None), (8, " ")]
+    data = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = Counter((r.doc_id, r.text) for r in near.keep_one(data).collect())
+    empty = next(t for i, t in kept if i is None and not t)
+    assert kept == Counter([(None, a), (None, b), (None, sentence(952)), (6, sentence(953)), (6, sentence(954)), (None, empty)])
+    got = Counter((r.id, r.class_id) for r in near.row_classes(keyed(data)).collect())
+    assert got == Counter({(NO_ID, NO_ID): 5, (4, NO_ID): 1, (5, NO_ID): 1, (6, 6): 2, (7, 6): 1, (8, NO_ID): 1})
+
+
 def test_perfect_hash_fills_all_slots():
     hashes = np.unique(np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64))
     displacements, slots = shards.perfect_hash(hashes)
