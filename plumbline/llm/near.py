@@ -125,8 +125,10 @@ def _sketch(how: Near):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * how.bands, how.bands, dtype=np.int32)), pa.array(bands.view(np.int64).reshape(-1)))
                 short = (signature >> np.uint64(48)).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("tag"), pa.array(digests[0]), pa.array(digests[1]), pa.array(counts.astype(np.int64)), lists,
-                     pa.array([row.tobytes() for row in short], pa.binary())], names=["id", "tag", "d1", "d2", "n_words", "bands", "signature"])
+                    [part.column("id"), part.column("tag"), pa.array(digests[0]), pa.array(digests[1]), pa.array(counts.astype(np.int64)),
+                     pa.array(np.diff(offsets[low:high + 1])), lists,
+                     pa.array([row.tobytes() for row in short], pa.binary())],
+                    names=["id", "tag", "d1", "d2", "n_words", "n_bytes", "bands", "signature"])
 
     return run
 
@@ -191,9 +193,9 @@ def _text_classes(rows: DataFrame, how: Near) -> tuple[DataFrame, DataFrame, Dat
     """The sketches (a row per row), the texts (``d1, d2, label``) and the classes (``label, first``: the
     smallest ``id, tag`` of their rows) of keyed rows. Vertices are texts, numbered; ids link nothing."""
     sketched = written(rows.select("id", "tag", "text").mapInArrow(
-        _sketch(how), "id bigint, tag bigint, d1 bigint, d2 bigint, n_words bigint, bands array<bigint>, signature binary"), "sketches")
+        _sketch(how), "id bigint, tag bigint, d1 bigint, d2 bigint, n_words bigint, n_bytes bigint, bands array<bigint>, signature binary"), "sketches")
     copies = written(sketched.groupBy("d1", "d2").agg(
-        F.min(F.struct("id", "tag")).alias("first"), F.max("n_words").alias("n_words"), F.min_by("bands", "id").alias("bands"),
+        F.min(F.struct("id", "tag")).alias("first"), F.max("n_words").alias("n_words"), F.max("n_bytes").alias("n_bytes"), F.min_by("bands", "id").alias("bands"),
         F.min_by("signature", "id").alias("signature")).sortWithinPartitions("d1", "d2").withColumn("v", F.monotonically_increasing_id()), "distinct")
     members = copies.where("n_words > 0").select("v", F.posexplode("bands").alias("band", "hash"))
     sized = members.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("centre")).where("n > 1")
@@ -258,43 +260,80 @@ def _apart(large: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _exhausted(large: DataFrame, labels: DataFrame, copies: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
     """Whatever is still apart: the members of a bucket, and again those outside its commonest
-    label, are laid in blocks with their texts, and every block of the first kind meets every
-    one of the second. Pairs with similar signatures and different labels are verified on
-    the spot; only links come out."""
+    label, are laid in numbered blocks, and every block of the first kind meets every one of the
+    second. The pairs of blocks are dealt by bucket and both numbers, so that one bucket
+    spreads over all tasks. Signatures meet first; two texts are compared in the first bucket
+    they share. Only pairs of blocks with similar signatures and different labels get their
+    texts, and those are verified on the spot; only links come out."""
+    bucket = ["band", "hash"]
     apart = _apart(large, labels)
-    by_label = apart.groupBy("band", "hash", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = by_label.groupBy("band", "hash").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-    signed = apart.join(most, ["band", "hash"]).join(copies.select("v", "signature"), "v")
-    signed = written(signed.join(texts, "v"), "apart")
+    by_label = apart.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n"))
+    most = by_label.groupBy(*bucket).agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    signed = apart.join(most, bucket).join(copies.select("v", "signature", "bands", "n_bytes"), "v")
+    signed = written(signed.withColumn("outside", F.col("label") != F.col("most")).drop("most"), "apart")
     if signed.isEmpty():
         return labels
 
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        sizes = rows.groupBy("band", "hash").agg(F.greatest(
-            F.ceil(F.count(F.lit(1)) / how.block), F.ceil(F.sum(F.octet_length("text")) / 4e6), F.lit(1)).alias("blocks"))
-        dealt = rows.join(sizes, ["band", "hash"]).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
-        return dealt.groupBy("band", "hash", "block").agg(F.collect_list(F.struct("v", "label", "signature", "text")).alias(name)).drop("block")
+    def sizes(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*bucket).agg(F.greatest(
+            F.ceil(F.count(F.lit(1)) / how.block), F.ceil(F.sum("n_bytes") / 4e6), F.lit(1)).alias(name))
+
+    outside = signed.where("outside")
+    counts = written(sizes(signed, "ms").join(sizes(outside, "os"), bucket), "blocks")
+
+    def blocks(rows: DataFrame, number: str, name: str, *columns: str) -> DataFrame:
+        dealt = rows.join(counts, bucket).withColumn(number, F.pmod(F.xxhash64("v"), F.col(f"{number}s")))
+        other = "o" if number == "m" else "m"
+        return dealt.repartition(*bucket, number).groupBy(*bucket, number).agg(
+            F.first(f"{other}s").alias(f"{other}s"), F.collect_list(F.struct(*columns)).alias(name))
 
     least = how.similarity - how.slack
 
-    def signatures(rows: list[dict]) -> np.ndarray:
-        return np.frombuffer(b"".join(r["signature"] for r in rows), "<u2").reshape(len(rows), -1)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            yield from (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                left, right, pairs = row["members"], row["others"], []
-                table, labelled = signatures(right), np.array([r["label"] for r in right])
-                for i, signature in enumerate(signatures(left)):
-                    near = ((table == signature).mean(axis=1) >= least) & (labelled != left[i]["label"])
-                    pairs += [(i, j) for j in np.flatnonzero(near)]
-                if pairs:
-                    (mine, theirs) = (list(_sets(pa.array([r["text"] for r in side]), how.shingle)) for side in (left, right))
-                    links = [(left[i]["v"], right[j]["v"]) for i, j in pairs if _similar(mine[i], theirs[j], how.similarity)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    pairs = blocks(signed, "members").join(blocks(signed.where("label != most"), "others"), ["band", "hash"]).select("members", "others")
-    return _merged(labels, written(pairs.mapInArrow(compare, "a bigint, b bigint").distinct(), "links"))
+        for row in each(batches):
+            left, right, pairs = row["members"], row["others"], []
+            mine, table = (np.frombuffer(b"".join(r["signature"] for r in side), "<u2").reshape(len(side), -1) for side in (left, right))
+            v, label, bands = (np.array([r[c] for r in right], np.int64) for c in ("v", "label", "bands"))
+            for one, signature in zip(left, mine):
+                near = ((table == signature).mean(axis=1) >= least) & (label != one["label"])
+                if one["outside"]:
+                    near &= v > one["v"]  # both are on both sides
+                near = np.flatnonzero(near)
+                near = near[(bands[near] == np.array(one["bands"], np.int64)).argmax(axis=1) == row["band"]]
+                pairs += [{"a": one["v"], "b": int(x)} for x in v[near]]
+            if pairs:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["band"]], pa.int32()), *(pa.array([row[c]], pa.int64()) for c in ("hash", "m", "o")),
+                     pa.array([pairs], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["band", "hash", "m", "o", "pairs"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each(batches):
+            sets = {}
+            for side, end in (("members", "a"), ("others", "b")):
+                wanted = {p[end] for p in row["pairs"]} - sets.keys()
+                part = [r for r in row[side] if r["v"] in wanted]
+                sets |= zip((r["v"] for r in part), _sets(pa.array([r["text"] for r in part], pa.string()), how.shingle))
+            links = [(p["a"], p["b"]) for p in row["pairs"] if _similar(sets[p["a"]], sets[p["b"]], how.similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def numbers(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    signs = ("v", "label", "outside", "signature", "bands")
+    members = blocks(signed, "m", "members", *signs).withColumn("o", numbers("os")).drop("os")
+    others = blocks(outside, "o", "others", *signs).withColumn("m", numbers("ms")).drop("ms")
+    alike = written(members.join(others, [*bucket, "m", "o"]).select(*bucket, "m", "o", "members", "others").mapInArrow(
+        compare, "band int, hash bigint, m bigint, o bigint, pairs array<struct<a: bigint, b: bigint>>"), "alike")
+    if alike.isEmpty():
+        return labels
+    members = blocks(signed.join(texts, "v"), "m", "members", "v", "text").drop("os")
+    others = blocks(outside.join(texts, "v"), "o", "others", "v", "text").drop("ms")
+    wide = alike.join(others, [*bucket, "o"]).join(members, [*bucket, "m"]).select("pairs", "members", "others")
+    return _merged(labels, written(wide.mapInArrow(verify, "a bigint, b bigint").distinct(), "links"))
 
 
 def keep_one(docs: DataFrame, how: Near = Near(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -216,6 +216,34 @@ def test_near_dedup_judges_rows_that_share_an_id_by_their_texts(spark):
     assert got == Counter({(NO_ID, NO_ID): 5, (4, NO_ID): 1, (5, NO_ID): 1, (6, 6): 2, (7, 6): 1, (8, NO_ID): 1})
 
 
+@pytest.mark.parametrize("block", [64, 3])
+def test_near_buckets_spread_over_tasks(spark, monkeypatch, block):
+    words = WORD.findall(sentence(960, 120))
+    rows = []
+    for i in range(60):  # 30 texts that all look alike at about 0.7, and a near copy of each
+        changed = list(words)
+        for k in np.random.default_rng(i // 2).choice(120, 2, replace=False):
+            changed[k] = f"w{i // 2}x{k}"
+        rows.append((i, " ".join([*changed, f"end{i}"])))
+    seen, out = [], near.written
+    monkeypatch.setattr(near, "written", lambda df, name: seen.append((name, df)) or out(df, name))
+    how = near.Near(small=1, block=block)
+    got = {r.id: r.class_id for r in near.near_classes(keyed(spark.createDataFrame(rows, "doc_id bigint, text string")), how).collect()}
+    sets, root = dict((i, shingles(t)) for i, t in rows), {i: i for i, _ in rows}
+    for i in root:
+        for j in root:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    assert got == root and len(set(root.values())) > 10
+    # A bucket's texts lie in the narrow pairs of blocks, not beside each other in one table of whole texts.
+    names = [name for name, _ in seen]
+    assert "alike" in names and "text" not in next(df.columns for name, df in seen[::-1] if name == "apart")
+    if block == 3:
+        numbers = {(r.m, r.o) for r in next(df for name, df in seen if name == "alike").select("m", "o").collect()}
+        assert len(numbers) > 20
+
+
 def test_perfect_hash_fills_all_slots():
     hashes = np.unique(np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64))
     displacements, slots = shards.perfect_hash(hashes)
