@@ -34,8 +34,8 @@ MOST = 2_000
 #: Stretches that are sorted together.
 BATCH = 20_000
 STRING, SPAN = 0, 1
-_FOUND = "kind int, key bigint, digest bigint, id bigint, tag int, start bigint, n int, d int, times int"
-_SPANS = "id bigint, tag int, start bigint, stop bigint"
+_FOUND = "kind int, key bigint, digest bigint, id bigint, tag bigint, start bigint, n int, d int, times int"
+_SPANS = "id bigint, tag bigint, start bigint, stop bigint"
 
 
 def _sliding_minimum(values: np.ndarray, size: int) -> np.ndarray:
@@ -83,7 +83,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         all_ids = batch.column("id").to_numpy()
-        all_tags = (batch.column("tag").to_numpy() & 0xFFFF).astype(np.int32)
+        all_tags = batch.column("tag").to_numpy()
         for low, high in slices(offsets, PART):
             begin, end = offsets[low], offsets[high]
             for at in range(begin, max(begin + 1, end - LENGTH + 1), PART):  # more than one only for a long text
@@ -242,12 +242,12 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = len(wanted)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([batch.column("id")[i].as_py()] * size, pa.int64()),
-                 pa.array([batch.column("tag")[i].as_py()] * size, pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()),
+                 pa.array([batch.column("tag")[i].as_py()] * size, pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()),
                  pa.array(columns[4], pa.int32()), pa.array([0] * size, pa.int32()), pa.array([SPREAD - 1] * size, pa.int32()), pa.array(texts, pa.binary())],
                 names=["key", "digest", "id", "tag", "start", "n", "d", "low", "high", "bytes"])
 
 
-_CONTENT = "key bigint, digest bigint, id bigint, tag int, start bigint, n int, d int, low int, high int, bytes binary"
+_CONTENT = "key bigint, digest bigint, id bigint, tag bigint, start bigint, n int, d int, low int, high int, bytes binary"
 
 
 def _halved(rows: DataFrame) -> DataFrame:
@@ -269,8 +269,8 @@ def _halved(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """``id, tag, start, stop`` (bytes; overlapping spans may occur) of keyed rows: every window of
-    ``LENGTH`` bytes that also starts elsewhere, in the same row or another. ``tag`` is cut to
-    16 bits: it only tells rows apart that share an id."""
+    ``LENGTH`` bytes that also starts elsewhere, in the same row or another. ``tag`` tells rows
+    apart that share an id."""
     found = rows.select("id", "tag", "text").mapInArrow(_find, _FOUND)
     order = ["key", "digest", "id", "start"]
     found = written(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_drop_single, _FOUND), "stretches")
@@ -285,8 +285,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
 
     wanted = known.where("different > 1").groupBy("one.id", "one.tag").agg(F.collect_list(F.struct(
         "key", "digest", F.col("one.start").alias("start"), F.col("one.n").alias("n"), F.col("one.d").alias("d"))).alias("wanted"))
-    short = rows.select("id", F.col("tag").bitwiseAND(0xFFFF).cast("int").alias("tag"), "text")
-    texts = wanted.join(short, ["id", "tag"]).select("id", "tag", F.encode("text", "UTF-8").alias("text"), "wanted")
+    texts = wanted.join(rows, ["id", "tag"]).select("id", "tag", F.encode("text", "UTF-8").alias("text"), "wanted")
     todo = written(texts.mapInArrow(_contents, _CONTENT), "contents")
     while True:
         counted = todo.groupBy("key").agg(F.count(F.lit(1)).alias("different"))
@@ -345,8 +344,7 @@ def cut_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     """
     rows = keyed(docs).select("id", "tag", "text")
     spans = repeated_spans(rows).groupBy("id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    short = rows.select("id", F.col("tag").bitwiseAND(0xFFFF).cast("int").alias("tag"), "text")
-    out = short.join(spans, ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(
+    out = rows.join(spans, ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(
         _cut(with_text), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
 

@@ -167,6 +167,20 @@ def test_substrings(docs, empty, monkeypatch, most):
     assert substrings.cut_repeats(empty).count() == 0
 
 
+def test_substrings_of_many_rows_without_an_id(spark):
+    passage = sentence(970, 60)[:260]
+    texts = [f"{sentence(3000 + i, 20)} {passage if i % 2 else ''}{i}" for i in range(1500)]
+    rows = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string").repartition(4)
+    got = Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.cut_repeats(rows).collect())
+    often = Counter(t[k:k + 200] for t in texts for k in range(len(t) - 199))
+    expected = Counter()
+    for t in texts:
+        gone = sorted({x for k in range(len(t) - 199) if often[t[k:k + 200]] > 1 for x in range(k, k + 200)})
+        kept = "".join(c for x, c in enumerate(t) if x not in set(gone))
+        expected[len(t), len(gone), sum(x - 1 not in set(gone) for x in gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    assert got == expected
+
+
 def test_dart_minhash_estimates_weighted_similarity():
     draw = np.random.default_rng(5)
     elements, a, b = draw.integers(1, 2**62, 300).astype(np.uint64), draw.integers(1, 9, 300), draw.integers(1, 9, 300)
