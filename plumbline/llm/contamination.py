@@ -4,7 +4,8 @@ Short items hide in long texts, so their Jaccard similarity says little. Documen
 partitioned by their number of shingles, and the number of MinHash bins grows with the
 partition: with two to four bins for each shingle, most shingles of a document are the
 minimum of their bin, and an item that is contained shares most of its own bins with it.
-Items are sketched once for each partition. Candidates are verified on exact shingle sets.
+Items are sketched once for each partition. The few shingles of a short item may all lose
+their bins, so they meet all shingles of a document. Candidates are verified on exact shingle sets.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ PARTITIONS = 30  # documents of up to 2 ** 29 shingles; a text cannot hold more
 class Containment:
     """``threshold``: share of an item's shingles that a document must hold. ``matched``: share of
     the item's bins that must agree for a candidate (one at least); a contained item has
-    about 0.8 * 0.8 of them. ``broadcast_rows``: a side of up to so many rows (counted) is
+    about 0.8 * 0.8 of them. Items of up to ``short`` shingles meet all shingles of a document,
+    not its minima only, so none is missed. ``broadcast_rows``: a side of up to so many rows (counted) is
     sent to all tasks, a larger one is shuffled, in ``salts`` parts for each key."""
 
     shingle: int = 5
     threshold: float = 0.8
     matched: float = 0.15
+    short: int = 12
     broadcast_rows: int = 1_000_000
     salts: int = 16
 
@@ -62,8 +65,12 @@ def bin_minima(values: np.ndarray, owners: np.ndarray, partition: np.ndarray) ->
     return first
 
 
+_SKETCH = "id bigint, tag bigint, p int, v bigint, n int, least boolean"
+
+
 def _sketch(how: Containment, items: bool):
-    """Rows ``id, tag, p, v`` and the set size ``n``: a document in its own partition, an item in all."""
+    """Rows ``id, tag, p, v``, the set size ``n`` and whether ``v`` is the ``least`` of its bin: a document in
+    its own partition, with all shingles; an item in all, with its minima, a short one with all shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = text_bytes(batch.column("text"))
@@ -75,11 +82,13 @@ def _sketch(how: Containment, items: bool):
                 own = partition_of(sizes)
                 for p in range(PARTITIONS) if items else [None]:
                     partition = own[owners] if p is None else np.full(len(owners), p)
-                    keep = bin_minima(values, owners, partition)
+                    least = bin_minima(values, owners, partition)
+                    keep = least | (sizes[owners] <= how.short) if items else np.ones(len(values), bool)
                     of = pa.array(owners[keep])
                     yield pa.RecordBatch.from_arrays(
                         [part.column("id").take(of), part.column("tag").take(of), pa.array(partition[keep].astype(np.int32)),
-                         pa.array(values[keep].view(np.int64)), pa.array(sizes[owners][keep].astype(np.int32))], names=["id", "tag", "p", "v", "n"])
+                         pa.array(values[keep].view(np.int64)), pa.array(sizes[owners][keep].astype(np.int32)),
+                         pa.array(least[keep])], names=["id", "tag", "p", "v", "n", "least"])
 
     return run
 
@@ -108,14 +117,15 @@ def contained(docs: DataFrame, items: DataFrame, how: Containment = Containment(
     match nothing. Rows with one id are judged one by one, and the best counts. An empty
     side gives no rows.
     """
-    sketched = written(items.select("id", "tag", "text").mapInArrow(_sketch(how, True), "id bigint, tag bigint, p int, v bigint, n int")
+    sketched = written(items.select("id", "tag", "text").mapInArrow(_sketch(how, True), _SKETCH)
                        .select(F.col("id").alias("item"), F.col("tag").alias("item_tag"), "p", "v", "n"), "items")
-    minima = docs.select("id", "tag", "text").mapInArrow(_sketch(how, False), "id bigint, tag bigint, p int, v bigint, n int").drop("n")
+    minima = docs.select("id", "tag", "text").mapInArrow(_sketch(how, False), _SKETCH).drop("n")
     if sketched.count() <= how.broadcast_rows * 4:
         hits = minima.join(F.broadcast(sketched), ["p", "v"])  # its rows are counted
     else:
         salted = sketched.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(how.salts - 1))))
         hits = minima.withColumn("salt", F.pmod(F.xxhash64("id", "tag"), F.lit(how.salts)).cast("int")).join(salted, ["p", "v", "salt"])
+    hits = hits.where(F.col("least") | (F.col("n") <= how.short))
     matched = hits.groupBy("id", "tag", "item", "item_tag").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
     found = written(matched.where(F.col("m") >= F.greatest(F.lit(1), F.floor(F.col("n") * how.matched))).select("id", "tag", "item", "item_tag"), "candidates")
     named = found.join(items.select(F.col("id").alias("item"), F.col("tag").alias("item_tag"), F.col("text").alias("item_text")).distinct(), ["item", "item_tag"])

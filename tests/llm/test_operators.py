@@ -294,6 +294,17 @@ def test_containment(spark, docs, empty, salts_only):
     assert contamination.drop_contaminated(docs, items.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize("salts_only", [False, True])
+def test_containment_of_short_items_in_long_documents(spark, salts_only):
+    texts = [(i, sentence(4000 + i, 524 + 150 * (i % 3))) for i in range(60)]
+    items = [(100 * i + n, " ".join(WORD.findall(t)[50:50 + n])) for i, t in texts for n in (5, 6, 7, 9)]
+    docs, wanted = (keyed(spark.createDataFrame(rows, "doc_id bigint, text string")) for rows in (texts, items))
+    how = contamination.Containment(broadcast_rows=0) if salts_only else contamination.Containment()
+    got = {(r.id, r.item) for r in contamination.contained(docs, wanted, how).collect()}
+    sets, parts = {i: shingles(t) for i, t in texts}, {i: shingles(t) for i, t in items}
+    assert got == {(i, k) for i, x in sets.items() for k, y in parts.items() if len(x & y) >= 0.8 * len(y)} and len(got) >= 240
+
+
 def test_best_fit_plan_is_near_the_bound():
     counts = dict(Counter(np.random.default_rng(2).integers(1, 1025, 50_000).tolist()))
     plan = packing.best_fit(counts)
