@@ -9,7 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plumbline.llm import contamination, lines, near, oracles, packing, pii, quality, secrets, shards, substrings, toxicity
+from plumbline.llm import (
+    contamination, counts, lines, near, negatives, oracles, packing, pii, quality, ranking, secrets, shards, substrings, toxicity,
+)
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -38,6 +40,9 @@ QUERIES = {name: _importable(query) for name, query in {
     "op8_perfect_hash_shards": shards.op8_perfect_hash_shards,
     "op9_containment_search": contamination.op9_containment_search,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_geometric_blocks": ranking.op11_geometric_blocks,
+    "op12_residue_hard_negatives": negatives.op12_residue_hard_negatives,
+    "op13_token_counts": counts.op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }.items()}
 
