@@ -199,22 +199,23 @@ def test_near_classes(spark, docs, empty, small):
             changed[k] = f"w{i}x{k}"
         copies.append((2000 + i, " ".join(changed)))
     data = docs.select("doc_id", "text").unionByName(spark.createDataFrame(copies, "doc_id bigint, text string"))
-    rows = [(NO_ID if r.doc_id is None else r.doc_id, shingles(r.text)) for r in data.collect()]
-    parent = {i: i for i, _ in rows}
+    rows = [(NO_ID if r.doc_id is None else r.doc_id, r.text or "", shingles(r.text)) for r in data.collect()]
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, x in rows:
-        for j, y in rows:
-            if i < j and (x == y or len(x & y) >= 0.8 * len(x | y)) and root(i) != root(j):
-                parent[max(root(i), root(j))] = min(root(i), root(j))
-    got = {r.id: r.class_id for r in near.near_classes(keyed(data), near.Near(small=small)).collect()}
-    assert got == {i: root(i) for i in parent}
+    for i, (_, _, x) in enumerate(rows):  # rows are the vertices: an id of several texts links nothing
+        for j, (_, _, y) in enumerate(rows[:i]):
+            if (x == y or len(x & y) >= 0.8 * len(x | y)) and root(i) != root(j):
+                parent[root(i)] = root(j)
+    least = {r: min(rows[i][0] for i in range(len(rows)) if root(i) == r) for r in map(root, parent)}
+    got = Counter((r.id, r.class_id) for r in near.near_classes(keyed(data), near.Near(small=small)).collect())
+    assert got == Counter((i, c) for i, _, c in {(i, t, least[root(k)]) for k, (i, t, _) in enumerate(rows)})
     kept = near.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len({root(i) for i in parent if i < 2000})
+    assert kept.columns == docs.columns and kept.count() == len({root(k) for k, (i, _, _) in enumerate(rows) if i < 2000})
     assert near.keep_one(empty).count() == 0
 
 
