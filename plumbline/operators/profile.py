@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
@@ -14,7 +15,7 @@ from plumbline.functions.numbers import percentage
 from plumbline.operators.duplicates import duplicate_count
 from plumbline.operators.facts import NUMERIC_TEXT_SHARE, column_facts, table_facts
 from plumbline.operators.frequencies import distinct_counts
-from plumbline.operators.quantiles import quantiles
+from plumbline.operators.quantiles import quantiles_and
 
 # Bounds of the visual summaries.
 HISTOGRAM_BINS = 24
@@ -59,34 +60,28 @@ def numeric_describe(df: DataFrame, names: list[str] | None = None,
                      row_id: str | None = None, **options) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max) of every measurement.
 
-    Missing values are excluded; a statistic that is not finite is NULL.
+    Missing values are excluded; a statistic that is not finite is NULL. The moments come from the first
+    of the reads for the quartiles.
     """
+    schema = ("column string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, "
+              "max double")
     if names is None:
         names = [f.name for f in data_fields(df, row_id) if is_measurement(f.dataType)]
     if not names:
-        return local_frame(
-            df.sparkSession, [], "column string, count bigint, mean double, std double, min double, q25 double, "
-            "q50 double, q75 double, max double")
+        return local_frame(df.sparkSession, [], schema)
     values = {n: number_sql(n, field_of(df, n).dataType) for n in names}
-    quartiles = quantiles(df, {n: F.expr(v) for n, v in values.items()}, [0.25, 0.5, 0.75], **options)
-    aggregated = df.agg(*[
-        F.expr(f"{function}({values[n]}) as {label}{i}")
-        for i, n in enumerate(names)
-        for label, function in (("count", "count"), ("mean", "avg"), ("std", "stddev_samp"),
-                                ("min", "min"), ("max", "max"))])
+    functions = ("count", "avg", "stddev_samp", "min", "max")
+    quartiles, row = quantiles_and(df, {n: F.expr(v) for n, v in values.items()}, [0.25, 0.5, 0.75], [
+        F.expr(f"{function}({v})") for v in values.values() for function in functions], **options)
 
-    def shown(value: str, label: str) -> str:
-        return f"case when abs({value}) < double('inf') then {value} end as {label}"
+    def shown(value: float | None) -> float | None:
+        return value if value is not None and isfinite(value) else None
 
     rows = []
     for i, n in enumerate(names):
-        fitted = [f"double('{q!r}')" if q is not None else "cast(null as double)"
-                  for q in quartiles[n] or [None] * 3]
-        parts = [shown(f"mean{i}", "mean"), shown(f"std{i}", "std"), shown(f"min{i}", "min"),
-                 *[shown(q, label) for q, label in zip(fitted, ("q25", "q50", "q75"))],
-                 shown(f"max{i}", "max")]
-        rows.append(f"struct({literal(n)} as column, count{i} as count, {', '.join(parts)})")
-    return aggregated.selectExpr(f"inline(array({', '.join(rows)}))")
+        count, mean, std, low, high = row[len(functions) * i:len(functions) * (i + 1)]
+        rows.append((n, count, *map(shown, (mean, std, low, *(quartiles[n] or [None] * 3), high))))
+    return local_frame(df.sparkSession, rows, schema)
 
 
 def plot_columns(df: DataFrame, row_id: str | None = None, names: list[str] | None = None) -> list[T.StructField]:

@@ -1,67 +1,72 @@
-"""Exact quantiles with linear interpolation at any size.
-
-Spark's ``percentile`` keeps every distinct value of a column in one aggregation
-buffer. That is fine for small columns and impossible for 10^12 values.
-Beyond a checked size this module narrows instead: an approximate pass proposes an
-interval around each wanted rank, a counting pass proves which side the rank is on, and
-the interval shrinks by orders of magnitude each time. Every pass is one aggregation
-with small partial states; no sort, no shuffle of rows. The answer is exact either way.
+"""Exact quantiles with linear interpolation, in three reads at any size.
+
+1. One aggregation builds a rank sketch per column (mergeable, some tens of kilobytes), beside
+   whatever else the caller wants to know of all rows.
+2. The sketch proposes a bracket around each wanted rank. A counting pass proves on which side
+   of its ends the rank lies. Often a rank falls on an end itself and is settled.
+3. The values strictly inside a bracket, a fraction of a percent of the rows, are counted by value and
+   written. Their ranks come from range partitions: the counts of whole partitions, then a window inside
+   the one partition that holds the rank.
+
+A bracket that misses its rank, which the margin makes very unlikely, is replaced by the side where the
+counts prove the rank to be. No buffer holds all values of a column and none is collected.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 from math import floor
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-DIRECT_CELLS = 250_000
-"""Finite cells up to which one ``percentile`` aggregation does the job; beyond it the
-narrowing passes are also the faster way."""
+from plumbline.functions.lineage import written
+from plumbline.functions.local import local_frame
 
-COLLECT_ROWS = 20_000
-"""An interval holding at most this many values is sorted inside one aggregation."""
+SKETCH_SIZE = 4096
+"""Of the rank sketches: their error is about 0.13% of the rows in 99 of 100 cases, half the margin."""
 
-ACCURACY = 2_000
+MARGIN = 0.0025
 
 
-def quantiles(
-    df: DataFrame,
-    columns: dict[str, Column],
-    probabilities: list[float],
-    direct_cells: int | None = None,
-    collect_rows: int = COLLECT_ROWS,
-) -> dict[str, list[float] | None]:
+def quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[float],
+              sketch_size: int = SKETCH_SIZE, margin: float = MARGIN) -> dict[str, list[float] | None]:
     """Quantiles of each column's non-NULL values; None for a column without any."""
-    if not columns:
-        return {}
-    direct_cells = DIRECT_CELLS if direct_cells is None else direct_cells
+    return quantiles_and(df, columns, probabilities, [], sketch_size, margin)[0]
+
+
+def quantiles_and(df: DataFrame, columns: dict[str, Column], probabilities: list[float], beside: list[Column],
+                  sketch_size: int = SKETCH_SIZE, margin: float = MARGIN) -> tuple[dict[str, list[float] | None], Row]:
+    """``quantiles`` and one row of further aggregates over ``df``, from the first of the reads."""
     names = list(columns)
-    values = df.select(*[columns[name].alias(f"v{i}") for i, name in enumerate(names)])
-    counts = list(values.agg(*[F.count(f"v{i}") for i in range(len(names))]).first())
-    if sum(counts) <= direct_cells:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = values.agg(*[F.percentile(f"v{i}", wanted) for i in range(len(names))]).first()
-        return {name: (list(q) if q is not None else None) for name, q in zip(names, row)}
-
-    ranks = {}
-    for i, count in enumerate(counts):
-        for p in probabilities if count else []:
-            position = p * (count - 1)
-            for rank in {floor(position), min(floor(position) + 1, count - 1)}:
-                ranks.setdefault((i, rank), _Search(f"v{i}", rank, count))
-    _narrow(values, list(ranks.values()), collect_rows)
+    values = [columns[n].cast("double") for n in names]
+    aggregates = [a for i, v in enumerate(values) for a in (
+        F.count(v).alias(f"_n{i}"), F.min(v).alias(f"_low{i}"), F.max(v).alias(f"_high{i}"),
+        F.kll_sketch_agg_double(v, F.lit(sketch_size)).alias(f"_sketch{i}"))]
+    if not aggregates and not beside:
+        return {}, Row()
+    row = df.agg(*aggregates, *[b.alias(f"_beside{j}") for j, b in enumerate(beside)]).first()
+    extra = Row(*row[len(aggregates):])
+    searches: dict[tuple[int, int], _Search] = {}
+    for i in range(len(names)):
+        for p in probabilities if row[f"_n{i}"] else []:
+            position = p * (row[f"_n{i}"] - 1)
+            for rank in {floor(position), min(floor(position) + 1, row[f"_n{i}"] - 1)}:
+                searches.setdefault((i, rank), _Search(i, rank))
+    if searches:
+        sketches = local_frame(df.sparkSession, [[row[f"_sketch{i}"] for i in range(len(names))]], ", ".join(
+            f"_sketch{i} binary" for i in range(len(names))))
+        _bracket(sketches, row, list(searches.values()), margin)
+        _settle(df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)]), list(searches.values()))
 
     result = {}
-    for i, (name, count) in enumerate(zip(names, counts)):
+    for i, name in enumerate(names):
+        n = row[f"_n{i}"]
         result[name] = [
-            _interpolate(
-                p * (count - 1),
-                lambda rank, i=i, count=count: ranks[(i, min(rank, count - 1))].answer,
-            )
-            for p in probabilities
-        ] if count else None
-    return result
+            _interpolate(p * (n - 1), lambda rank, i=i, n=n: searches[(i, min(rank, n - 1))].answer)
+            for p in probabilities] if n else None
+    return result, extra
 
 
 def _interpolate(position: float, value_at) -> float:
@@ -73,71 +78,86 @@ def _interpolate(position: float, value_at) -> float:
 
 @dataclass
 class _Search:
-    """The value of one rank, known to lie strictly between ``low`` and ``high``."""
+    """The value of one rank, counted from 0, known to lie between ``low`` and ``high``, both included."""
 
-    column: str
-    rank: int  # counted from the first value inside the interval
-    inside: int
+    column: int
+    rank: int
     low: float | None = None
     high: float | None = None
+    below: int = 0  # values known to lie below the open bracket
     answer: float | None = None
 
-    def within(self) -> Column:
-        value = F.col(self.column)
-        condition = value.isNotNull()
-        if self.low is not None:
-            condition &= value > self.low
-        if self.high is not None:
-            condition &= value < self.high
-        return F.when(condition, value)
-
-    def settle(self, a: float, b: float, before: int, at_a: int, between: int, at_b: int) -> None:
-        """Keep the part that holds the rank, given how many values lie in each."""
-        parts = [(before, self.low, a), (at_a, a, a), (between, a, b), (at_b, b, b)]
-        if a == b:
-            parts = parts[:2]
-        for size, low, high in parts:
-            if self.rank < size:
-                if low is not None and low == high:
-                    self.answer = low
-                else:
-                    self.low, self.high, self.inside = low, high, size
-                return
-            self.rank -= size
-        self.low, self.inside = b, self.inside - sum(part[0] for part in parts)
-
-
-def _narrow(values: DataFrame, searches: list[_Search], collect_rows: int) -> None:
-    while wide := [s for s in searches if s.answer is None and s.inside > collect_rows]:
-        margin = 2.0 / ACCURACY
-        # Searches still in the same interval share one sketch.
-        shared = {}
-        for s in wide:
-            shared.setdefault((s.column, s.low, s.high), []).append(s)
-        sketches = values.agg(*[
-            F.percentile_approx(
-                group[0].within(),
-                [q for s in group for q in (max(0.0, s.rank / s.inside - margin),
-                                            min(1.0, s.rank / s.inside + margin))],
-                ACCURACY)
-            for group in shared.values()
-        ]).first()
-        wide = [s for group in shared.values() for s in group]
-        proposals = [(sketch[k], sketch[k + 1]) for sketch in sketches for k in range(0, len(sketch), 2)]
-        counters = []
-        for s, (a, b) in zip(wide, proposals):
-            v = s.within()
-            counters += [
-                F.count_if(v < a), F.count_if(v == a),
-                F.count_if((v > a) & (v < b)), F.count_if(v == b),
-            ]
-        counted = values.agg(*counters).first()
-        for k, (s, (a, b)) in enumerate(zip(wide, proposals)):
-            s.settle(a, b, *counted[4 * k:4 * k + 4])
-    if small := [s for s in searches if s.answer is None]:
-        # Bounded: each interval was counted to hold at most collect_rows values.
-        row = values.agg(*[
-            F.element_at(F.sort_array(F.collect_list(s.within())), s.rank + 1) for s in small
-        ]).first()
-        for s, answer in zip(small, row):
-            s.answer = answer
+
+def _bracket(sketches: DataFrame, row: Row, searches: list[_Search], margin: float) -> None:
+    """Proposes brackets. The sketches are one row on the driver."""
+    asked, places = [], []
+    for s in searches:
+        n = row[f"_n{s.column}"]
+        s.low, s.high = row[f"_low{s.column}"], row[f"_high{s.column}"]
+        for end, fraction in (("low", (s.rank + 0.5) / n - margin), ("high", (s.rank + 0.5) / n + margin)):
+            if 0 < fraction < 1:
+                asked.append(f"kll_sketch_get_quantile_double(_sketch{s.column}, double('{fraction!r}'))")
+                places.append((s, end))
+    if asked:
+        for (s, end), value in zip(places, sketches.selectExpr(*asked).first()):
+            setattr(s, end, value)
+
+
+def _settle(values: DataFrame, searches: list[_Search]) -> None:
+    """Proves the brackets by counting, then finds what lies strictly inside them."""
+    while open_ones := [s for s in searches if s.answer is None]:
+        brackets = sorted({(s.column, s.low, s.high) for s in open_ones})
+        counted = values.agg(*[a for c, low, high in brackets for v in [F.col(f"v{c}")] for a in (
+            F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high)), F.count_if(v == high),
+            F.max(F.when(v < low, v)), F.min(F.when(v > high, v)), F.min(v), F.max(v))]).first()
+        inside = {}
+        for k, bracket in enumerate(brackets):
+            column, low, high = bracket
+            before, at_low, between, at_high, last_before, first_after, least, largest = counted[8 * k:8 * k + 8]
+            if low == high:
+                at_high = 0
+            for s in open_ones:
+                if (s.column, s.low, s.high) != bracket:
+                    continue
+                if s.rank < before:  # a miss: the rank lies below
+                    s.low, s.high = least, last_before
+                elif s.rank < before + at_low:
+                    s.answer = low
+                elif s.rank < before + at_low + between:
+                    s.below = before + at_low
+                    inside[bracket] = between
+                elif s.rank < before + at_low + between + at_high:
+                    s.answer = high
+                else:  # a miss: the rank lies above
+                    s.low, s.high = first_after, largest
+        if inside:
+            _select(values, inside, [s for s in open_ones if s.answer is None and (s.column, s.low, s.high) in inside])
+
+
+def _select(values: DataFrame, inside: dict[tuple[int, float, float], int], searches: list[_Search]) -> None:
+    """Answers ranks strictly inside brackets from the values there."""
+    spark, brackets = values.sparkSession, list(inside)
+    kept = F.array(*[
+        F.when((F.col(f"v{c}") > low) & (F.col(f"v{c}") < high), F.struct(F.lit(k).alias("bracket"), F.col(f"v{c}").alias("value")))
+        for k, (c, low, high) in enumerate(brackets)])
+    found = values.select(F.explode(F.filter(kept, lambda x: x.isNotNull())).alias("x")).groupBy("x.bracket", "x.value").agg(
+        F.count(F.lit(1)).alias("n"))
+    dealt = written(written(found, "brackets").repartitionByRange("bracket", "value").withColumn("part", F.spark_partition_id()), "ranges")
+    # A row for each bracket and partition; ranges of one bracket follow each other.
+    sizes: dict[int, list[tuple[int, int]]] = {}
+    for r in dealt.groupBy("bracket", "part").agg(F.sum("n").alias("n")).orderBy("bracket", "part").collect():
+        sizes.setdefault(r.bracket, []).append((r.part, r.n))
+    targets = []
+    for at, s in enumerate(searches):
+        k = brackets.index((s.column, s.low, s.high))
+        ends = list(accumulate(n for _, n in sizes[k]))
+        wanted = s.rank - s.below + 1
+        which = bisect_left(ends, wanted)
+        targets.append((at, k, sizes[k][which][0], wanted - (ends[which - 1] if which else 0)))
+    asked = local_frame(spark, targets, "search int, bracket int, part int, wanted bigint")
+    upto = Window.partitionBy("bracket", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    parts = dealt.join(F.broadcast(asked.select("bracket", "part").distinct()), ["bracket", "part"], "left_semi")
+    ranked = parts.withColumn("upto", F.sum("n").over(upto))
+    answers = ranked.join(F.broadcast(asked), ["bracket", "part"]).where("upto >= wanted").groupBy("search").agg(F.min("value").alias("value"))
+    for at, value in answers.collect():  # one row for each rank
+        searches[at].answer = value

@@ -20,8 +20,8 @@ from plumbline.functions.columns import (
 )
 from plumbline.operators.duplicates import drop_duplicates, duplicate_count, duplicate_pairs
 from plumbline.operators.frequencies import most_frequent
-from plumbline.operators.outliers import fit_fences, outside
-from plumbline.operators.quantiles import quantiles
+from plumbline.operators.outliers import fences_from_quartiles, outside
+from plumbline.operators.quantiles import quantiles_and
 
 ROW_ACTIONS = ("duplicates", "drop_missing", "drop_outliers")
 CELL_ACTIONS = ("fill_median", "fill_mode", "trim", "casefold", "clip_outliers", "minmax", "standardize")
@@ -81,20 +81,22 @@ def fit(df: DataFrame, operation: Operation, target: str | None = None,
         return Operation(action, name, given)
 
     value = number(name, field_of(df, name).dataType)
-    shape = df.agg(
-        F.count_if(infinite(value)).alias("infinite"), F.count(finite(value)).alias("finite"),
-        F.min(finite(value)).alias("low"), F.max(finite(value)).alias("high")).first()
-    if shape["infinite"]:
+    # What is to be learnt as quantiles comes with the shape of the column, from the same reads.
+    wanted = [0.5] if action == "fill_median" and "value" not in given else \
+        [0.25, 0.75] if action in OUTLIER_ACTIONS and not given else []
+    learnt, (infinities, present_values, low, high) = quantiles_and(
+        df, {name: finite(value)} if wanted else {}, wanted,
+        [F.count_if(infinite(value)), F.count(finite(value)), F.min(finite(value)), F.max(finite(value))])
+    if infinities:
         raise ValueError("This column contains infinity; correct those values first.")
-    if not shape["finite"] and not (action == "fill_median" and "value" in given):
+    if not present_values and not (action == "fill_median" and "value" in given):
         raise ValueError("This column has no finite values to learn from.")
-    if action == "fill_median" and "value" not in given:
-        (median,) = quantiles(df, {name: finite(value)}, [0.5])[name]
-        given["value"] = median
-    elif action in OUTLIER_ACTIONS and not given:
-        given = fit_fences(df, [name])[name]
+    if wanted and action == "fill_median":
+        (given["value"],) = learnt[name]
+    elif wanted:
+        given = fences_from_quartiles(*learnt[name])
     elif action in SCALING_ACTIONS and not given:
-        given = _fit_scaling(df, action, value, shape["low"], shape["high"])
+        given = _fit_scaling(df, action, value, low, high)
     if action in SCALING_ACTIONS:
         _check_scaling(given)
     return Operation(action, name, given)

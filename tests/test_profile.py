@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from plumbline.operators import duplicates, facts, frequencies, inspection, outliers, profile, sampling
-from plumbline.operators.quantiles import quantiles
+from plumbline.operators.quantiles import quantiles, quantiles_and
 
 NAN, INF = float("nan"), float("inf")
 
@@ -55,15 +55,29 @@ def test_narrowed_quantiles_are_exact(spark, kind):
     }[kind]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(7)
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    direct = quantiles(df, {"v": F.col("v")}, probabilities)["v"]
-    narrow = quantiles(df, {"v": F.col("v")}, probabilities, direct_cells=0, collect_rows=5)["v"]
-    assert direct == narrow
-    assert np.allclose(direct, np.quantile(values, probabilities), rtol=1e-12, atol=0)
+    expected = np.quantile(values, probabilities)
+    # The default, a coarse sketch with wide brackets, and brackets so narrow that they miss.
+    for options in ({}, {"sketch_size": 16, "margin": 0.2}, {"sketch_size": 8, "margin": 0.0}):
+        assert np.allclose(quantiles(df, {"v": F.col("v")}, probabilities, **options)["v"], expected, rtol=1e-12, atol=0), options
+
+
+def test_quantiles_of_several_columns_with_infinities(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([INF, -INF, rng.random()]), i % 3, None if i % 4 else float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b int, c double").repartition(5)
+    columns, probabilities = {c: F.col(c) for c in "abc"}, [0.0, 0.5, 1.0]
+    for options in ({}, {"sketch_size": 8, "margin": 0.01}):
+        got, beside = quantiles_and(df, columns, probabilities, [F.sum("b"), F.lit("x")], **options)
+        for k, c in enumerate("abc"):
+            values = sorted(r[k] for r in rows if r[k] is not None)
+            low, high = values[(len(values) - 1) // 2], values[len(values) // 2]
+            assert got[c] == [values[0], low if low == high else (low + high) / 2, values[-1]]
+        assert tuple(beside) == (sum(r[1] for r in rows), "x")
 
 
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
-    assert quantiles(df, {"v": F.col("v")}, [0.5], direct_cells=-1)["v"] is None
+    assert quantiles(df, {"v": F.col("v")}, [0.5])["v"] is None
 
 
 def test_infinity_is_an_outlier_and_missing_is_not(table):
