@@ -287,6 +287,20 @@ def correlation_with_missing(spark, sf):
     return rounded(profile.correlations(V.dirty_orders(spark, sf)), "r")
 
 
+WIDE = 192
+
+
+@register("correlation_wide", f"""
+WITH w AS (SELECT vec_id, list_transform(range({WIDE}), lambda k: CASE WHEN (vec_id + k) % (3 + k // 64) <> 0 THEN CAST(embedding[k % 64 + 1] AS DOUBLE) * (1 + k // 64) + (vec_id * k) % 7 END) AS v
+  FROM embeddings)
+SELECT 'c' || i AS a, 'c' || j AS b, round(corr(v[i + 1], v[j + 1]), 6) AS r, count(v[i + 1] + v[j + 1]) AS pairs
+FROM w, range({WIDE}) p(i), range({WIDE}) q(j) WHERE i < j GROUP BY i, j""")
+def correlation_wide(spark, sf):
+    """Embedding components and mixtures of them, each with missing cells of its own."""
+    columns = [f"case when (vec_id + {k}) % {3 + k // 64} <> 0 then cast(embedding[{k % 64}] as double) * {1 + k // 64} + (vec_id * {k}) % 7 end as c{k}" for k in range(WIDE)]
+    return rounded(profile.correlations(V.table(spark, sf, "embeddings").selectExpr(*columns)), "r")
+
+
 @register("displayed_pair", labeled("SELECT * FROM (" + "\nUNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS pairs FROM t"
     for a, b in (("n_chars", "quality"), ("n_chars", "toxic"), ("quality", "toxic")))

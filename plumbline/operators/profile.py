@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from plumbline.functions.columns import (
-    col, data_fields, field_of, finite, is_measurement, is_plot_numeric, literal, number, number_sql,
+    data_fields, field_of, is_measurement, is_plot_numeric, number_sql,
 )
 from plumbline.functions.local import local_frame
 from plumbline.functions.numbers import percentage
+from plumbline.operators.comoments import column_ranges, pair_correlations
 from plumbline.operators.duplicates import duplicate_count
 from plumbline.operators.facts import NUMERIC_TEXT_SHARE, column_facts, table_facts
 from plumbline.operators.frequencies import distinct_counts
@@ -90,21 +90,21 @@ def plot_columns(df: DataFrame, row_id: str | None = None, names: list[str] | No
     return fields if names is None else [f for f in fields if f.name in names]
 
 
-def _ranges(df: DataFrame, values: dict[str, Column]) -> dict[str, Row]:
-    """low, high, mean, present and scale per column with values, from one aggregation.
-    The mean is of value / scale-sized parts, so it cannot overflow."""
-    row = df.agg(F.count(F.lit(1)), *[
-        aggregate for value in values.values()
-        for aggregate in (F.min(value), F.max(value), F.avg(value / 2**20), F.count(value))
-    ]).first()
+def _finite_values(df: DataFrame, fields: list[T.StructField]) -> tuple[DataFrame, list[str]]:
+    """The columns as finite doubles v0, v1, ... or NULL, and their names. Built as text: with many columns a tree of
+    column objects takes longer than the job."""
+    numbers = [number_sql(f.name, f.dataType) for f in fields]
+    return df.selectExpr(*[f"case when abs({v}) < double('inf') then {v} end as v{i}" for i, v in enumerate(numbers)]), [f.name for f in fields]
+
+
+def _ranges(values: DataFrame, names: list[str]) -> dict[str, Row]:
+    """low, high, scale and center per column with values, from one pass."""
     ranges = {}
-    for i, name in enumerate(values):
-        low, high, mean, present = row[4 * i + 1:4 * i + 5]
-        if present:
+    for name, found in zip(names, column_ranges(values, [f"v{i}" for i in range(len(names))])):
+        if found:
+            low, high, mean = found
             scale = max(abs(low), abs(high), 1.0)
-            mean = mean * 2**20 if abs(mean) < 1e280 else 0.0
-            ranges[name] = Row(low=low / scale, high=high / scale, scale=scale,
-                               center=mean / scale, complete=present == row[0])
+            ranges[name] = Row(low=low / scale, high=high / scale, scale=scale, center=mean / scale)
     return ranges
 
 
@@ -117,36 +117,30 @@ def histograms(df: DataFrame, row_id: str | None = None, names: list[str] | None
     closed on both sides.
     """
     fields = [f for f in plot_columns(df, row_id, names) if not isinstance(f.dataType, T.BooleanType)]
-    values = {f.name: finite(number(f.name, f.dataType)) for f in fields}
+    values, names = _finite_values(df, fields)
     spark = df.sparkSession
-    if not values or not (ranges := _ranges(df, values)):
+    if not names or not (ranges := _ranges(values, names)):
         return local_frame(
             spark, [], "column string, bin int, low double, high double, count bigint")
-    shape, edges = [], []
-    for name, found in ranges.items():
+    x, guess, bins, edges, last = [], [], [], [], HISTOGRAM_BINS - 1
+    for k, (name, found) in enumerate(ranges.items()):
         low, high = found.low, found.high
         if low == high:
             low, high = max(-1.0, low - 0.5), min(1.0, high + 0.5)
         step = (high - low) / HISTOGRAM_BINS
-        shape.append((name, found.scale, low, step, HISTOGRAM_BINS / (high - low)))
+        start, width, density = (f"double('{v!r}')" for v in (low, step, HISTOGRAM_BINS / (high - low)))
+        x.append(f"v{names.index(name)} / double('{found.scale!r}') as x{k}")
+        guess.append(f"cast(least(floor((x{k} - {start}) * {density}), {last}) as int) as g{k}")
+        bins.append(f"case when x{k} < {start} + g{k} * {width} then g{k} - 1 "
+                    f"when g{k} < {last} and x{k} >= {start} + (g{k} + 1) * {width} then g{k} + 1 else g{k} end")
         points = [low + i * step for i in range(HISTOGRAM_BINS)] + [high]
-        edges += [(name, i, points[i] * found.scale, points[i + 1] * found.scale)
-                  for i in range(HISTOGRAM_BINS)]
-    # One row per column.
-    shapes = local_frame(spark, shape, "column string, scale double, low double, step double, density double")
-    last = HISTOGRAM_BINS - 1
+        edges += [(name, k, i, points[i] * found.scale, points[i + 1] * found.scale) for i in range(HISTOGRAM_BINS)]
     counted = (
-        df.select(*[values[n].alias(n) for n in ranges])
-        .unpivot([], [col(n) for n in ranges], "column", "value").where("value is not null")
-        .join(F.broadcast(shapes), "column")
-        .selectExpr("column", "low", "step", "density", "value / scale as x")
-        .selectExpr("column", "low", "step", "x", f"least(floor((x - low) * density), {last}) as guess")
-        .selectExpr("column", f"""cast(case when x < low + guess * step then guess - 1
-            when guess < {last} and x >= low + (guess + 1) * step then guess + 1 else guess end as int) as bin""")
-        .groupBy("column", "bin").agg(F.expr("count(1) as count"))
+        values.selectExpr(*x).selectExpr("*", *guess).selectExpr(f"posexplode(array({', '.join(bins)})) as (k, bin)")
+        .where("bin is not null").groupBy("k", "bin").agg(F.expr("count(1) as count"))
     )
-    frame = local_frame(spark, edges, "column string, bin int, low double, high double")
-    return frame.join(F.broadcast(counted), ["column", "bin"], "left").selectExpr(
+    frame = local_frame(spark, edges, "column string, k int, bin int, low double, high double")
+    return frame.join(F.broadcast(counted), ["k", "bin"], "left").selectExpr(  # at most 24 rows a column
         "column", "bin", "low", "high", "coalesce(count, 0L) as count")
 
 
@@ -154,49 +148,16 @@ def correlations(df: DataFrame, row_id: str | None = None, names: list[str] | No
     """(a, b, r, pairs) for every pair of varying numeric or boolean columns.
 
     Pearson's r over the rows where both are finite; NULL below 3 pairs or when either
-    side is constant on them. One pass finds ranges and means, one aggregation does all
-    pairs over all rows. Columns are scaled by their largest magnitude and centred, so
-    plain sums of products stay finite and lose no digits; plain sums compile to tight
-    code where covariance buffers for hundreds of pairs do not. A pair of complete
-    columns needs one sum of its own; others are summed over their common rows.
+    side is constant on them. One pass finds ranges and means, one more sums products of all pairs
+    over all rows (see ``comoments``). Columns are scaled by their largest magnitude and centred, so
+    plain sums of products stay finite and lose no digits.
     """
-    values = {f.name: finite(number(f.name, f.dataType)) for f in plot_columns(df, row_id, names)}
-    empty = local_frame(df.sparkSession, [], "a string, b string, r double, pairs bigint")
-    if len(values) < 2:
-        return empty
-    ranges = _ranges(df, values)
-    varying = [n for n, found in ranges.items() if found.low < found.high]
+    values, names = _finite_values(df, plot_columns(df, row_id, names))
+    ranges = _ranges(values, names) if len(names) > 1 else {}
+    varying = {n: f"v{names.index(n)} / double('{x.scale!r}') - double('{x.center!r}')" for n, x in ranges.items() if x.low < x.high}
     if len(varying) < 2:
-        return empty
-    scaled = df.select(*[
-        (values[n] / ranges[n].scale - ranges[n].center).alias(f"x{i}") for i, n in enumerate(varying)])
-    complete = [ranges[n].complete for n in varying]
-    aggregates = ["count(1) as rows"]
-    for i in range(len(varying)):
-        if complete[i]:
-            aggregates += [f"sum(x{i}) as s{i}", f"sum(x{i} * x{i}) as q{i}"]
-    couples = list(combinations(range(len(varying)), 2))
-    rows = []
-    for i, j in couples:
-        p = f"{i}_{j}"
-        aggregates.append(f"sum(x{i} * x{j}) as xy{p}")
-        n, sums, squares, constant = "rows", (f"s{i}", f"s{j}"), (f"q{i}", f"q{j}"), "false"
-        if not (complete[i] and complete[j]):
-            n, sums, squares = f"n{p}", (f"sx{p}", f"sy{p}"), (f"qx{p}", f"qy{p}")
-            constant = f"(lx{p} = hx{p} or ly{p} = hy{p})"
-            aggregates.append(f"count(x{i} * x{j}) as n{p}")
-            for side, k, other in (("x", i, j), ("y", j, i)):
-                both = f"case when x{other} is not null then x{k} end"
-                aggregates += [
-                    f"sum({both}) as s{side}{p}", f"sum(({both}) * x{k}) as q{side}{p}",
-                    f"min({both}) as l{side}{p}", f"max({both}) as h{side}{p}"]
-        n0 = f"nullif({n}, 0)"
-        spread = [f"({q} - {s} * {s} / {n0})" for q, s in zip(squares, sums)]
-        r = f"try_divide(xy{p} - {sums[0]} * {sums[1]} / {n0}, sqrt({spread[0]}) * sqrt({spread[1]}))"
-        rows.append(
-            f"struct({literal(varying[i])} as a, {literal(varying[j])} as b, case when {n} >= {MIN_PAIRS} "
-            f"and not {constant} and not isnan({r}) then greatest(-1D, least(1D, {r})) end as r, {n} as pairs)")
-    return scaled.agg(*map(F.expr, aggregates)).selectExpr(f"inline(array({', '.join(rows)}))")
+        return local_frame(df.sparkSession, [], "a string, b string, r double, pairs bigint")
+    return pair_correlations(values, varying, MIN_PAIRS)
 
 
 def preferred_order(target: str | None = None, important: list[str] = ()) -> list[Column]:

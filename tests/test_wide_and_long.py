@@ -1,8 +1,11 @@
 """Many columns, long labels, instants: nothing is cut, no digest stands for a value."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import comoments
 from plumbline.operators.frequencies import distinct_counts, frequencies
 from plumbline.operators.inspection import missing_by_column
 from plumbline.operators.profile import correlations, histograms
@@ -17,6 +20,35 @@ def test_thirty_numeric_columns(spark):
     assert histograms(df, names=["c3"]).select("column").distinct().count() == 1
 
 
+def test_five_hundred_columns_with_missing_cells(spark):
+    draw = np.random.default_rng(4)
+    data = pd.DataFrame(draw.normal(size=(90, 500)) * 10.0 ** draw.integers(-5, 6, 500) + draw.integers(-3, 4, 500)).mask(draw.random((90, 500)) < 0.4)
+    data[7] = data[7].where(data[7].isna(), 3.0).where(data[8].notna(), 9.0)  # varies, but not where column 8 is present
+    data[9] = [1.0, 2.0] + [None] * 88
+    data.columns = [f"c{i}" for i in range(500)]
+    df = spark.createDataFrame(data).repartition(5)
+    expected, present = data.corr(min_periods=3).to_numpy(), data.notna().to_numpy().astype(int)
+    common = present.T @ present
+    found = correlations(df).toPandas()
+    assert len(found) == 500 * 499 // 2
+    a, b = (found[c].str[1:].astype(int).to_numpy() for c in "ab")
+    assert (found["pairs"].to_numpy() == common[a, b]).all()
+    assert np.allclose(found["r"].to_numpy(float), expected[a, b], rtol=0, atol=1e-9, equal_nan=True)
+    assert np.isnan(found["r"][((a == 7) & (b == 8)) | (a == 9)]).all()
+
+
+def test_correlations_strip_by_strip(spark):
+    draw = np.random.default_rng(6)
+    data = pd.DataFrame(draw.normal(size=(200, 23))).mask(draw.random((200, 23)) < 0.2)
+    data.columns = [f"c{i}" for i in range(23)]
+    df = spark.createDataFrame(data).repartition(3)
+    values = {c: f"nanvl({c}, null)" for c in data.columns}
+    found = comoments.pair_correlations(df, values, 3, strip=10, group=3).toPandas()
+    expected = data.corr(min_periods=3)
+    assert len(found) == 23 * 22 // 2 and all(data.columns.get_loc(r.a) < data.columns.get_loc(r.b) for r in found.itertuples())
+    assert all(abs(expected.loc[r.a, r.b] - r.r) < 1e-9 for r in found.itertuples())
+
+
 def test_long_labels(table):
     long = "x" * 100
     df = table("label string", [(long,)] * 30 + [("a",)] * 2 + [("b" * 70,)])
