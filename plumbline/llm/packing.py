@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, *, tokenizer: str, end_id: int = END_ID, capacity: i
             _, offsets = text_bytes(batch.column("text"))
             for low, high in slices(offsets):
                 part = batch.slice(low, high - low)
-                ids, bounds = encoder.encode(part.column("text").to_pylist(), end_id)
+                ids, bounds = encoder.encode(part.column("text"), end_id)
                 totals = np.diff(bounds)
                 n = -(-totals // capacity)
                 owner = np.repeat(np.arange(len(totals)), n)

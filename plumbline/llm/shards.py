@@ -58,7 +58,7 @@ def _encoded(tokenizer: str, end_id: int, shard_ids: int, width: str):
             _, offsets = text_bytes(batch.column("text"))
             for low, high in slices(offsets):
                 piece = batch.slice(low, high - low)
-                ids, bounds = encoder.encode(piece.column("text").to_pylist(), end_id)
+                ids, bounds = encoder.encode(piece.column("text"), end_id)
                 keys = []
                 for doc, a, b in zip(piece.column("id").to_pylist(), bounds[:-1], bounds[1:]):
                     if filled and filled + b - a > shard_ids:
