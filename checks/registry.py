@@ -382,7 +382,7 @@ def completeness_indicators(spark, sf):
 
 @register("completeness_findings", dirty(f"""
 SELECT 'o_totalprice' AS column, 'missing' AS code,
-  'Column ''o_totalprice'' has ' || CAST({pct('count(*) - count(o_totalprice)', 'count(*)')} AS VARCHAR) || '% missing values' AS problem
+  '''o_totalprice'': ' || (count(*) - count(o_totalprice)) || ' of ' || count(*) || ' cells empty (' || CAST({pct('count(*) - count(o_totalprice)', 'count(*)')} AS VARCHAR) || '%)' AS problem
 FROM t HAVING count(*) > count(o_totalprice)"""))
 def completeness_findings(spark, sf):
     return D.completeness_findings(facts.column_facts(V.dirty_orders(spark, sf))).select("column", "code", "problem")
@@ -525,8 +525,8 @@ def data_quality_indicators(spark, sf):
 
 @register("data_quality_findings", dirty(
     "SELECT column, code, problem FROM (" + "\nUNION ALL ".join(
-        f"SELECT '{c}' AS column, 'outliers' AS code, n, 'Column ''{c}'' has ' || n || ' outlier(s) under the IQR rule' AS problem FROM ("
-        f"SELECT count(*) FILTER (WHERE {c} < lower OR {c} > upper) AS n FROM t, (WITH {fence_cte('t', c)} SELECT * FROM q))"
+        f"SELECT '{c}' AS column, 'outliers' AS code, n, '''{c}'': ' || n || ' of ' || present || ' values lie outside the quartile fences' AS problem FROM ("
+        f"SELECT count(*) FILTER (WHERE {c} < lower OR {c} > upper) AS n, count({c}) AS present FROM t, (WITH {fence_cte('t', c)} SELECT * FROM q))"
         for c in MEASURES) + ") WHERE n > 0"))
 def data_quality_findings(spark, sf):
     df = V.dirty_orders(spark, sf)
@@ -618,12 +618,59 @@ def duplicate_pairs(spark, sf):
 """.replace("\n, p", ", p", 1) + "\nUNION ALL ".join(
     f"SELECT p._row AS removed_row, p.kept_row, '{c}' AS column, "
     + ", ".join(f"coalesce(CASE WHEN {v} <> trim({v}) THEN '''' || {v} || '''' ELSE {v} END, '(missing)') AS {side}"
-                for side, v in (("kept", f"CAST(k.{c} AS VARCHAR)"), ("removed", f"CAST(p.{c} AS VARCHAR)")))
-    + " FROM p JOIN t k ON k._row = p.kept_row" for c in ("o_orderkey", "o_orderpriority", "o_orderstatus"))))
+                for side, v in ((side, f"strftime({row}.{c}, '%Y-%m-%dT%H:%M:%S')" if c == "o_orderdate" else f"CAST({row}.{c} AS VARCHAR)")
+                                for side, row in (("kept", "k"), ("removed", "p"))))
+    + " FROM p JOIN t k ON k._row = p.kept_row" for c in ORDERS)))
 def duplicate_values(spark, sf):
     df = V.dirty_orders(spark, sf)
-    values = duplicates.pair_values(df, duplicates.duplicate_pairs(df))
-    return values.where(F.col("column").isin("o_orderkey", "o_orderpriority", "o_orderstatus"))
+    return duplicates.pair_values(df, duplicates.duplicate_pairs(df))
+
+
+@register("duplicate_pairs_hot", """
+SELECT event_id AS removed_row, kept_row FROM (
+  SELECT event_id, min(event_id) OVER (PARTITION BY CASE WHEN event_id % 2 = 0 THEN 'same' ELSE event_type END) AS kept_row FROM events)
+WHERE event_id <> kept_row""")
+def duplicate_pairs_hot(spark, sf):
+    """Half of the rows are equal; the other half falls into a few groups."""
+    same = V.table(spark, sf, "events").selectExpr("case when event_id % 2 = 0 then 'same' else event_type end as what", "event_id as _row")
+    return duplicates.duplicate_pairs(same)
+
+
+@register("nested_zero", """
+SELECT count(*) AS rows, count(DISTINCT (label % 3, vec_id % 5)) AS distinct_rows, count(*) - count(DISTINCT (label % 3, vec_id % 5)) AS duplicate_rows,
+  count(DISTINCT (label % 3, vec_id % 5)) AS distinct_values FROM embeddings""")
+def nested_zero(spark, sf):
+    """-0.0 and 0.0 inside arrays and structs are one value, for rows and for columns."""
+    df = V.table(spark, sf, "embeddings").selectExpr(
+        "struct(array(if(vec_id % 2 = 0, double('-0.0'), 0D), label % 3) as a, cast(vec_id % 5 as float) as b) as nested")
+    return duplicates.duplicate_count(df).withColumn("distinct_values", frequencies.distinct_counts(df).select("distinct_count").scalar())
+
+
+@register("nested_maps", """
+SELECT count(*) AS rows, count(DISTINCT (event_type, event_id % 5, event_id % 2)) AS distinct_rows,
+  count(*) - count(DISTINCT (event_type, event_id % 5, event_id % 2)) AS duplicate_rows FROM events""")
+def nested_maps(spark, sf):
+    """The order of a map's entries counts."""
+    entries = "struct(event_type as k, double(event_id % 5) as v)", "struct('' as k, 1D as v)"
+    df = V.table(spark, sf, "events").selectExpr(
+        f"if(event_id % 2 = 0, map_from_entries(array({entries[0]}, {entries[1]})), map_from_entries(array({entries[1]}, {entries[0]}))) as m")
+    return duplicates.duplicate_count(df)
+
+
+@register("variant_duplicates", """
+SELECT min(event_id) AS _row, kind, shown FROM (
+  SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'DATE' WHEN 1 THEN 'STRING' ELSE 'OBJECT' END AS kind,
+    CASE WHEN event_id % 3 < 2 THEN strftime(ts, '"%Y-%m-%d"') ELSE '{"a":"x 1.0","n":' || (event_id % 40) || '}' END AS shown FROM events)
+GROUP BY kind, shown""")
+def variant_duplicates(spark, sf):
+    """Dates, the texts that spell them, and objects whose keys and numbers are written in different ways; the kept
+    rows are as they were."""
+    number = "concat(event_id % 40, if(event_id % 2 = 0, '.0', ''))"
+    df = V.table(spark, sf, "events").selectExpr(
+        f"""case event_id % 3 when 0 then cast(to_date(ts) as variant) when 1 then parse_json(date_format(ts, '"yyyy-MM-dd"'))
+        else parse_json(if(event_id % 7 = 0, concat('{{"a":"x 1.0","n":', {number}, '}}'), concat('{{"n":', {number}, ',"a":"x 1.0"}}'))) end as v""",
+        "event_id as _row")
+    return duplicates.drop_duplicates(df).selectExpr("_row", "regexp_extract(schema_of_variant(v), '^[A-Z]+', 0) as kind", "to_json(v) as shown")
 
 
 def prepared(name: str, operation: Operation, expression: str | None, condition: str = "true",
@@ -706,19 +753,20 @@ def change_audit(spark, sf):
 
 
 @register("change_examples", dirty("""
-SELECT _row + 2 AS source_row, '''' || o_orderpriority || '''' AS before, lower(trim(o_orderpriority)) AS after
-FROM t WHERE o_orderpriority <> trim(o_orderpriority) ORDER BY _row LIMIT 8"""))
+SELECT row, _row + 2 AS source_row, '''' || o_orderpriority || '''' AS before, lower(trim(o_orderpriority)) AS after
+FROM (SELECT *, row_number() OVER (ORDER BY _row) AS row FROM t) WHERE o_orderpriority <> trim(o_orderpriority) ORDER BY _row LIMIT 8"""))
 def change_examples(spark, sf):
     df = V.dirty_orders(spark, sf)
-    return preparation.examples(df, Operation("trim", "o_orderpriority")).drop("matched_source_row")
+    return preparation.examples(df, Operation("trim", "o_orderpriority")).drop("matched_row", "matched_source_row")
 
 
 @register("duplicate_examples", dirty(f"""
-SELECT _row + 2 AS source_row, kept_row + 2 AS matched_source_row, 'Row removed' AS after FROM (
-  SELECT _row, min(_row) OVER (PARTITION BY {', '.join(ORDERS)}) AS kept_row FROM t) WHERE _row <> kept_row ORDER BY _row LIMIT 8"""))
+SELECT row, _row + 2 AS source_row, matched_row, kept_row + 2 AS matched_source_row, 'Row removed' AS after,
+  'o_orderkey=' || o_orderkey || '; o_custkey=' || o_custkey || '; o_orderstatus=' || o_orderstatus || '; o_totalprice=' || coalesce(CAST(o_totalprice AS VARCHAR), '(missing)') AS before
+FROM (SELECT *, min(_row) OVER (PARTITION BY {', '.join(ORDERS)}) AS kept_row, min(row) OVER (PARTITION BY {', '.join(ORDERS)}) AS matched_row
+  FROM (SELECT *, row_number() OVER (ORDER BY _row) AS row FROM t)) WHERE _row <> kept_row ORDER BY _row LIMIT 8"""))
 def duplicate_examples(spark, sf):
-    return preparation.examples(V.dirty_orders(spark, sf), Operation("duplicates")).select(
-        "source_row", "matched_source_row", "after")
+    return preparation.examples(V.dirty_orders(spark, sf), Operation("duplicates"))
 
 
 RECIPE = [Operation("duplicates"), Operation("casefold", "o_orderpriority"), Operation("fill_median", PRICE),
@@ -737,6 +785,20 @@ def recipe_replay(spark, sf):
     return rounded(result, PRICE).select("o_orderkey", "o_orderpriority", PRICE, (F.col("_row") + 2).alias("source_row"))
 
 
+@register("recipe_json_replay", """
+SELECT event_id AS _row, coalesce(CASE WHEN event_id % 9 <> 0 THEN date_trunc('day', ts) END, (SELECT d FROM (
+  SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events WHERE event_id % 9 <> 0 GROUP BY 1) ORDER BY n DESC, d LIMIT 1)) AS day,
+  coalesce(CASE WHEN event_id % 11 <> 0 THEN event_type END, (SELECT k FROM (
+  SELECT event_type AS k, count(*) AS n FROM events WHERE event_id % 11 <> 0 GROUP BY 1) ORDER BY n DESC, k LIMIT 1)) AS code FROM events""")
+def recipe_json_replay(spark, sf):
+    """Fitted instants and bytes come back from JSON as they were, whatever the time zone of the session."""
+    df = V.table(spark, sf, "events").selectExpr(
+        "case when event_id % 9 <> 0 then date_trunc('day', ts) end as day", "case when event_id % 11 <> 0 then encode(event_type, 'UTF-8') end as code",
+        "event_id as _row")
+    recipe = Recipe.fit(df, [Operation("fill_mode", "day"), Operation("fill_mode", "code")])
+    return Recipe.from_json(recipe.to_json()).apply(df).withColumn("code", F.decode("code", "UTF-8"))
+
+
 @register("recipe_undo", dirty(RECIPE_SQL + f"\nSELECT o_orderkey, o_orderpriority, round({PRICE}, 6) AS {PRICE} FROM f, q"))
 def recipe_undo(spark, sf):
     df = V.dirty_orders(spark, sf)

@@ -169,6 +169,47 @@ def ordered_entries(value: Column, dtype: T.DataType) -> Column:
     return F.when(value.isNotNull(), rebuilt)
 
 
+def _any(dtype: T.DataType, test) -> bool:
+    """Whether the type or one inside it passes a test."""
+    inner = ([dtype.elementType] if isinstance(dtype, T.ArrayType) else [dtype.keyType, dtype.valueType] if isinstance(dtype, T.MapType)
+             else [f.dataType for f in dtype.fields] if isinstance(dtype, T.StructType) else [])
+    return test(dtype) or any(_any(t, test) for t in inner)
+
+
+def is_inexact(dtype: T.DataType) -> bool:
+    """Whether equal values of the type may be written differently, so that a grouping key cannot stand for the value."""
+    return _any(dtype, lambda t: is_float(t) or is_variant(t))
+
+
+#: Whole strings, which stay, or numbers that end in .0.
+_NUMBERS = r"""("(?:[^"\\]|\\.)*")|-(0)[.]0(?![0-9E])|(-?[0-9]+)[.]0(?![0-9E])"""
+
+
+def canonical_variant(value: Column) -> Column:
+    """A variant as a text that is equal where two values are equal: its kinds, with all numbers as one, and its JSON,
+    in which keys are sorted, 1.0 is 1 and -0.0 is 0. A date is not the text that spells it. Doubles
+    that need an exponent differ from integers."""
+    kinds = F.regexp_replace(F.schema_of_variant(value), r"BIGINT|DOUBLE|FLOAT|DECIMAL[(][0-9,]+[)]", "NUMBER")
+    return F.when(value.isNotNull(), F.concat(kinds, F.lit("|"), F.regexp_replace(F.to_json(value), _NUMBERS, "$1$2$3")))
+
+
+def comparable(value: Column, dtype: T.DataType) -> Column:
+    """A nested value in a form that can be grouped and is equal where the values are: maps as their ordered
+    entries, 0.0 for -0.0, variants as their canonical text."""
+    if is_variant(dtype):
+        return canonical_variant(value)
+    if is_float(dtype):
+        return value + F.lit(0).cast(dtype)
+    if not (is_inexact(dtype) or _has_map(dtype)):
+        return value
+    if isinstance(dtype, T.MapType):
+        return F.transform(F.map_entries(value), lambda e: F.struct(
+            comparable(e["key"], dtype.keyType).alias("key"), comparable(e["value"], dtype.valueType).alias("value")))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda e: comparable(e, dtype.elementType))
+    return F.when(value.isNotNull(), F.struct(*[comparable(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]))
+
+
 def short_sql(value: str) -> str:
     """A string, or '#' and its SHA-256 digest when it is longer than 64 bytes.
 
@@ -186,9 +227,10 @@ def group_key(name: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BinaryType):
         return F.expr(short_sql(f"lower(hex({c}))"))
     if is_variant(dtype):
-        return F.expr(short_sql(f"to_json({present_sql(name, dtype)})"))
+        text = canonical_variant(present(name, dtype))
+        return F.when(F.octet_length(text) > LONG_VALUE_BYTES, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
     if is_nested(dtype):
-        return ordered_entries(col(name), dtype)
+        return comparable(col(name), dtype)
     return present(name, dtype)
 
 
@@ -205,10 +247,24 @@ def instant_sql(value: str) -> str:
     return f"concat({iso_sql(value)}, case when {offset} = 'Z' then '' else {offset} end)"
 
 
+def _without_negative_zero(value: Column, dtype: T.DataType) -> Column:
+    """0.0 for -0.0 at any depth of a value that has gone through ``ordered_entries``."""
+    if is_float(dtype):
+        return value + F.lit(0).cast(dtype)
+    if not _any(dtype, is_float):
+        return value
+    if isinstance(dtype, T.MapType):
+        return F.transform(value, lambda e: F.struct(
+            _without_negative_zero(e["key"], dtype.keyType).alias("key"), _without_negative_zero(e["value"], dtype.valueType).alias("value")))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda e: _without_negative_zero(e, dtype.elementType))
+    return F.when(value.isNotNull(), F.struct(*[_without_negative_zero(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]))
+
+
 def as_text(name: str, dtype: T.DataType) -> Column:
     """Value as text: bytes as hex, dates and timestamps as ISO, nested values as JSON."""
     if is_nested(dtype):
-        body = F.to_json(F.struct(ordered_entries(col(name), dtype).alias("v")),
+        body = F.to_json(F.struct(_without_negative_zero(ordered_entries(col(name), dtype), dtype).alias("v")),
                          {"ignoreNullFields": "false"})
         # Without the {"v": ... } wrapper, which to_json needs around plain arrays.
         return F.when(col(name).isNotNull(), F.substr(body, F.lit(6), F.length(body) - 6))

@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.functions.columns import (
-    ROW_ID, as_text, col, data_fields, group_key, is_nested, normalise, ordered_entries,
+    ROW_ID, as_text, col, data_fields, group_key, is_inexact, is_nested, is_variant, ordered_entries, present,
 )
 from plumbline.functions.text import quoted_sql
 
-HOT_SHARE = 1_000
-"""Groups holding at least 1/1000 of all rows are joined by broadcast: there can be at
-most 1000 of them."""
+SALTS_PER_TASK = 4
+"""Parts into which the rows of one key may fall, for each shuffle partition."""
 
 
 def row_keys(df: DataFrame, row_id: str | None = None, keep: list[str] = ()) -> DataFrame:
@@ -43,36 +42,32 @@ def duplicate_count(df: DataFrame, row_id: str | None = None) -> DataFrame:
 def drop_duplicates(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     """Keep the first row of every group of equal rows, with its row identity.
 
-    The group's values are the row, so grouping by the columns and taking the smallest
-    identity gives the answer in one shuffle: no window sort and no join back. Columns
-    holding maps are grouped by their ordered entries, and rebuilt from them.
+    One shuffle, combined on the map side: rows are grouped by their values, and the smallest identity of each group
+    is taken. Most values come back out of the grouping key. Where equal values may be written
+    differently (variants, nested floating-point numbers), the first row's own value travels beside it. In top-level
+    float columns NaN, which is missing, comes back as NULL.
     """
     fields = data_fields(df, row_id)
-    source = normalise(df)
-    keys = [ordered_entries(col(f.name), f.dataType).alias(f"k{i}") for i, f in enumerate(fields)]
-    variants = [f for f in fields if isinstance(f.dataType, T.VariantType)]
-    if variants:
-        keys = [
-            F.to_json(col(f.name)).alias(f"k{i}") if f in variants else key
-            for i, (f, key) in enumerate(zip(fields, keys))
-        ]
+    carried = [f.name for f in fields if is_variant(f.dataType) or is_nested(f.dataType) and is_inexact(f.dataType)]
+    keys = [(group_key if f.name in carried else _whole_key)(f.name, f.dataType).alias(f"k{i}") for i, f in enumerate(fields)]
+    first = F.min("_order") if not carried else F.min_by(F.struct("_order", *[f"c{i}" for i in range(len(carried))]), "_order")
     grouped = (
-        source.select(col(row_id).alias("_order"), *keys)
-        .groupBy(*[f"k{i}" for i in range(len(fields))])
-        .agg(F.min("_order").alias("_order"))
+        df.select(col(row_id).alias("_order"), *keys, *[col(n).alias(f"c{i}") for i, n in enumerate(carried)])
+        .groupBy(*[f"k{i}" for i in range(len(fields))]).agg(first.alias("_first"))
     )
-    position = {f.name: i for i, f in enumerate(fields)}
-    return grouped.select(*[
-        F.col("_order").alias(row_id) if name == row_id else
-        _restored(F.col(f"k{position[name]}"), fields[position[name]].dataType).alias(name)
-        for name in df.columns if name == row_id or name in position
-    ])
+    kept = {f.name: F.col(f"_first.c{carried.index(f.name)}") if f.name in carried else _restored(F.col(f"k{i}"), f.dataType)
+            for i, f in enumerate(fields)}
+    kept[row_id] = F.col("_first._order" if carried else "_first")
+    return grouped.select(*[kept[n].alias(n) for n in df.columns if n in kept])
+
+
+def _whole_key(name: str, dtype: T.DataType):
+    """A grouping key out of which the value can be had again."""
+    return ordered_entries(present(name, dtype), dtype)
 
 
 def _restored(key, dtype: T.DataType):
     """Undo ``ordered_entries``."""
-    if isinstance(dtype, T.VariantType):
-        return F.parse_json(key)
     if isinstance(dtype, T.MapType):
         return F.map_from_entries(F.transform(
             key, lambda e: F.struct(
@@ -87,43 +82,23 @@ def _restored(key, dtype: T.DataType):
     return key
 
 
-def duplicate_groups(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """Keys of rows that occur more than once, with kept_row (the first) and n."""
-    return (
-        row_keys(df, row_id, [row_id]).groupBy(*key_names(df, row_id))
-        .agg(F.min(col(row_id)).alias("kept_row"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
-
-
 def duplicate_pairs(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     """(removed_row, kept_row) for every row that keep-first removal drops.
 
-    Hot groups are matched by broadcast: a group that holds 1/1000 of the rows is one of
-    at most 1000, which bounds the broadcast side. The others join by shuffle, where no
-    key is large any more.
+    Rows are dealt by their keys and a salt of the row identity, with several salts for each task, so the share of one
+    key and salt stays below a task's share of the table however many rows are equal. First rows meet across salts as
+    one row each, and come back to the rows by key and salt.
     """
-    total = df.count()
-    threshold = max(total / HOT_SHARE, 2)
+    salts = SALTS_PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = key_names(df, row_id)
-    groups = duplicate_groups(df, row_id)
-    hot = groups.where(F.col("n") >= threshold).drop("n").withColumn("_hot", F.lit(True))
-    rows = row_keys(df, row_id, [row_id])
-
-    def same(left: DataFrame, right: DataFrame):
-        condition = None
-        for k in keys:
-            term = left[k].eqNullSafe(right[k])
-            condition = term if condition is None else condition & term
-        return condition
-
-    in_hot = rows.join(F.broadcast(hot), same(rows, hot), "inner").select(
-        col(row_id).alias("removed_row"), "kept_row")
-    cold_rows = rows.join(F.broadcast(hot), same(rows, hot), "left_anti")
-    cold = groups.where(F.col("n") < threshold).drop("n")
-    in_cold = cold_rows.join(cold, same(cold_rows, cold), "inner").select(
-        col(row_id).alias("removed_row"), "kept_row")
-    return in_hot.unionByName(in_cold).where("removed_row <> kept_row")
+    rows = row_keys(df, row_id, [row_id]).withColumn("_salt", F.pmod(F.xxhash64(col(row_id)), F.lit(salts)))
+    parts = rows.groupBy(*keys, "_salt").agg(F.min(col(row_id)).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    groups = parts.groupBy(*[F.col(k).alias(f"g{k}") for k in keys]).agg(
+        F.min("_first").alias("kept_row"), F.sum("_n").alias("_n")).where("_n > 1").drop("_n")
+    kept = parts.join(groups, F.expr(" and ".join(f"{k} <=> g{k}" for k in keys))).select(
+        *[F.col(k).alias(f"p{k}") for k in keys], F.col("_salt").alias("_part"), "kept_row")
+    return rows.join(kept, F.expr(" and ".join([*(f"{k} <=> p{k}" for k in keys), "_salt = _part"]))).select(
+        col(row_id).alias("removed_row"), "kept_row").where("removed_row <> kept_row")
 
 
 def pair_values(df: DataFrame, pairs: DataFrame, row_id: str = ROW_ID) -> DataFrame:

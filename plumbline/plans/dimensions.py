@@ -79,8 +79,8 @@ def completeness(columns: DataFrame, tables: DataFrame, important: list[str] = (
 def completeness_findings(columns: DataFrame) -> DataFrame:
     share = percentage("missing", "rows", 0.0)
     return finding(columns.where("missing > 0"), "Completeness", "column", "missing",
-                   f"Column '{{column}}' has {{{share}}}% missing values",
-                   "Impute or remove the missing values of '{column}'")
+                   f"'{{column}}': {{missing}} of {{rows}} cells empty ({{{share}}}%)",
+                   "fill_median or fill_mode keep the rows of '{column}', drop_missing gives them up")
 
 
 # --- Consistency ------------------------------------------------------------------
@@ -110,15 +110,15 @@ def consistency(columns: DataFrame, duplicates: DataFrame, variants: DataFrame)
 
 def consistency_findings(columns: DataFrame, duplicates: DataFrame, variants: DataFrame) -> DataFrame:
     name, joined = "Consistency", _joined(columns, variants)
-    reasons = (f"concat_ws(' and ', case when mixed then 'mixed types' end, "
-               f"case when {NUMBERS_AS_TEXT} then 'numbers stored as text' end)")
+    reasons = (f"concat_ws(', ', case when mixed then 'values of several kinds' end, "
+               f"case when {NUMBERS_AS_TEXT} then 'numbers spelt out' end)")
     return union([
         finding(duplicates.where("duplicate_rows > 0"), name, "null", "duplicates",
-                "Dataset has {duplicate_rows} duplicate row(s)", "Review the repeated rows and remove them"),
+                "{duplicate_rows} of {rows} rows repeat an earlier one", "duplicates keeps the first of equal rows"),
         finding(joined.where(INCONSISTENT), name, "column", "inconsistent_type",
-                f"Column '{{column}}' contains {{{reasons}}}", "Give every value of '{column}' one type"),
+                f"'{{column}}': {{{reasons}}}", "cast '{column}' to the kind that most of its values have"),
         finding(joined.where("variant_groups > 0"), name, "column", "text_variants",
-                "Column '{column}' has case or whitespace variants", "Standardize the text of '{column}'")])
+                "'{column}': {variant_groups} value(s) spelt in more than one way", "trim, then casefold '{column}'")])
 
 
 # --- Class balance ----------------------------------------------------------------
@@ -133,14 +133,17 @@ def balance_applies(df: DataFrame, context) -> bool:
 
 
 def class_facts(df: DataFrame, target: str, dataset_id: str = "dataset") -> DataFrame:
-    """One row: rows, labelled rows, classes, smallest, largest, rare classes."""
+    """One row: rows, labelled rows, classes, smallest, largest, rare classes, and the labels of the rarest of
+    them (as many as are shown of the most frequent)."""
     # A class is rare by its share of all rows, missing labels included.
     counts = value_counts(df, target).withColumn("rows", row_count(df))
+    few = with_texts(counts.where(RARE).orderBy("n", "key").limit(K.SHOWN_CLASSES), df, target)
+    rarest = few.agg(F.expr("transform(array_sort(collect_list(struct(n, key))), x -> x.key)"))  # a fixed number of labels
     return counts.agg(
         F.expr("coalesce(sum(n), 0L) as labelled"), F.expr("count(1) as classes"),
         F.expr("min(n) as smallest"), F.expr("max(n) as largest"),
         F.expr(f"count_if({RARE}) as rare_classes"),
-    ).select(F.lit(dataset_id).alias("dataset_id"), row_count(df).alias("rows"), "*")
+    ).select(F.lit(dataset_id).alias("dataset_id"), row_count(df).alias("rows"), "*", rarest.scalar().alias("rare_labels"))
 
 
 RARE = f"({percentage('n', 'rows', 0.0)} < {K.RARE_CLASS_PERCENTAGE})"
@@ -169,11 +172,11 @@ def class_balance_findings(facts: DataFrame, target: str) -> DataFrame:
     name, column = "Class Balance", literal(target)
     return union([
         finding(facts.where("classes < 2"), name, column, "single_class",
-                f"Target column '{{{column}}}' has fewer than two classes",
-                "Collect examples of at least two classes"),
+                f"'{{{column}}}': {{classes}} class(es) among {{labelled}} labels", "label rows of another class"),
         finding(facts.where("rare_classes > 0"), name, column, "rare_class",
-                "{rare_classes} class(es) with fewer than 5% of rows",
-                "Collect more examples of rare classes or balance them")])
+                f"'{{{column}}}': {{rare_classes}} class(es) below {K.RARE_CLASS_PERCENTAGE}% of the rows: "
+                "{concat_ws(', ', rare_labels)}{case when rare_classes > size(rare_labels) then ', ...' else '' end}",
+                "label more rows of these classes, or weight them when training")])
 
 
 def class_distribution(df: DataFrame, target: str, shown: int = K.SHOWN_CLASSES) -> DataFrame:
@@ -215,7 +218,7 @@ def data_quality_findings(columns: DataFrame, outliers: DataFrame) -> DataFrame:
     name, joined = "Data Quality", _joined(columns, outliers)
     return union([
         finding(joined.where("outliers > 0"), name, "column", "outliers",
-                "Column '{column}' has {outliers} outlier(s) under the IQR rule",
-                "Review the outliers of '{column}' and treat them"),
+                "'{column}': {outliers} of {present} values lie outside the quartile fences",
+                "clip_outliers or drop_outliers, if '{column}' should not reach that far"),
         finding(joined.where("constant"), name, "column", "constant",
-                "Column '{column}' is constant", "Remove '{column}' unless it is needed")])
+                "'{column}': no two different values", "leave '{column}' out of what is learnt from")])

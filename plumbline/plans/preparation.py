@@ -9,15 +9,18 @@ describe what a fitted operation does to a given table.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 from math import isfinite
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions import text
 from plumbline.functions.columns import (
     ROW_ID, as_text, col, data_fields, field_of, finite, infinite, is_measurement, is_nested,
     is_text, is_variant, missing, number, present, quote,
 )
+from plumbline.functions.local import local_frame
 from plumbline.operators.duplicates import drop_duplicates, duplicate_count, duplicate_pairs
 from plumbline.operators.frequencies import most_frequent
 from plumbline.operators.outliers import fences_from_quartiles, outside
@@ -76,7 +79,7 @@ def fit(df: DataFrame, operation: Operation, target: str | None = None,
         value = most_frequent(df, name)
         if value is None:
             raise ValueError("An entirely missing column has no most frequent value.")
-        return Operation(action, name, {**given, "value": value})
+        return Operation(action, name, {**given, "value": tagged(value, field_of(df, name).dataType)})
     if action not in NUMERIC_ACTIONS:
         return Operation(action, name, given)
 
@@ -102,6 +105,35 @@ def fit(df: DataFrame, operation: Operation, target: str | None = None,
     return Operation(action, name, given)
 
 
+def tagged(value, dtype: T.DataType):
+    """A fitted value in a form that JSON holds exactly: itself, or its kind and exact spelling. An instant is its
+    microseconds since 1970, which no time zone changes."""
+    if isinstance(value, Decimal):
+        return {"decimal": str(value)}
+    if isinstance(value, datetime):
+        if isinstance(dtype, T.TimestampNTZType):
+            return {"timestamp_ntz": value.isoformat(sep=" ")}
+        return {"timestamp": int(value.replace(microsecond=0).timestamp()) * 1_000_000 + value.microsecond}
+    if isinstance(value, date):
+        return {"date": value.isoformat()}
+    if isinstance(value, timedelta):
+        return {"interval": value // timedelta(microseconds=1)}
+    if isinstance(value, (bytes, bytearray)):
+        return {"binary": value.hex()}
+    return value
+
+
+def fitted_literal(value) -> Column:
+    """The column of a fitted value, tagged or plain."""
+    if not isinstance(value, dict):
+        return F.lit(value)
+    ((kind, exact),) = value.items()
+    return {
+        "decimal": lambda: F.lit(Decimal(exact)), "timestamp": lambda: F.timestamp_micros(F.lit(exact)),
+        "timestamp_ntz": lambda: F.lit(exact).cast("timestamp_ntz"), "date": lambda: F.lit(exact).cast("date"),
+        "interval": lambda: F.lit(timedelta(microseconds=exact)), "binary": lambda: F.unhex(F.lit(exact))}[kind]()
+
+
 def _fit_scaling(df: DataFrame, action: str, value: Column, low: float, high: float) -> dict:
     """Offset and divisor of x / magnitude: dividing first keeps extreme values finite."""
     magnitude = max(abs(low), abs(high)) or 1.0
@@ -132,7 +164,7 @@ def new_value(df: DataFrame, operation: Operation) -> Column:
     action, name, p = operation.action, operation.column, operation.parameters
     dtype = field_of(df, name).dataType
     if action == "fill_mode":
-        return F.coalesce(present(name, dtype), F.lit(p["value"]).cast(dtype))
+        return F.coalesce(present(name, dtype), fitted_literal(p["value"]).cast(dtype))
     if action == "trim":
         return F.expr(text.strip_sql(quote(name)))
     if action == "casefold":
@@ -203,33 +235,45 @@ def _displayed(rows: DataFrame, *names: str) -> DataFrame:
         n: F.expr(f"coalesce({text.display_sql(n)}, '(missing)')") for n in names})
 
 
+def _positions(df: DataFrame, ids: list[int], row_id: str) -> dict[int, int]:
+    """The 1-based places, in row order, of a few rows: one pass with a counter for each."""
+    ids = sorted(set(ids))
+    counts = df.agg(*[F.count_if(col(row_id) <= i) for i in ids]).first() if ids else []
+    return dict(zip(ids, counts))
+
+
 def examples(df: DataFrame, operation: Operation, row_id: str = ROW_ID) -> DataFrame:
-    """The first eight affected rows: source_row, before, after, matched_source_row."""
+    """The first eight affected rows: row, source_row, before, after, matched_row, matched_source_row.
+
+    ``row`` is the 1-based position in ``df``, ``source_row`` the position in the source, where the header is row 1.
+    The matched row is the one that a removed duplicate repeats. Runs at once, as positions need the first rows.
+    """
     if df.isStreaming:
         raise ValueError("Examples need a table, not a stream.")
     order, action, name = col(row_id).alias("_order"), operation.action, operation.column
-    gone, none = F.lit("Row removed").alias("after"), F.lit(None).cast("bigint")
+    gone, none = F.lit("Row removed").alias("after"), F.lit(None).cast("bigint").alias("_kept")
     if action == "duplicates":
         pairs = duplicate_pairs(df, row_id).orderBy("removed_row").limit(SHOWN_EXAMPLES)
         fields = data_fields(df, row_id)[:SHOWN_COLUMNS]
         # At most eight pairs are broadcast.
         rows = df.join(F.broadcast(pairs), col(row_id) == F.col("removed_row")).select(
-            "removed_row", "kept_row",
+            order, F.col("kept_row").alias("_kept"),
             *[as_text(f.name, f.dataType).alias(f"v{i}") for i, f in enumerate(fields)])
         shown = F.concat_ws("; ", *[
             F.concat(F.lit(f.name + "="), f"v{i}") for i, f in enumerate(fields)])
-        rows = _displayed(rows, *[f"v{i}" for i in range(len(fields))]).withColumn("before", shown)
-        return _displayed(rows, "before").select(
-            (F.col("removed_row") + 2).alias("source_row"), "before", gone,
-            (F.col("kept_row") + 2).alias("matched_source_row"))
-    before = as_text(name, field_of(df, name).dataType).alias("before")
-    if action in ROW_ACTIONS:
-        affected = df.where(removed(df, operation)).select(order, before, gone)
+        first = _displayed(rows, *[f"v{i}" for i in range(len(fields))]).select("_order", shown.alias("before"), gone, "_kept")
     else:
-        after_type = field_of(apply(df, operation, row_id), name).dataType
-        changed = df.select(order, before, new_value(df, operation).alias("_after"),
-                            _changed(df, operation).alias("_changed")).where("_changed")
-        affected = changed.select("_order", "before", as_text("_after", after_type).alias("after"))
-    first = affected.orderBy("_order").limit(SHOWN_EXAMPLES)
-    return _displayed(first, "before", "after").select(
-        (F.col("_order") + 2).alias("source_row"), "before", "after", none.alias("matched_source_row"))
+        before = as_text(name, field_of(df, name).dataType).alias("before")
+        if action in ROW_ACTIONS:
+            affected = df.where(removed(df, operation)).select(order, before, gone, none)
+        else:
+            after_type = field_of(apply(df, operation, row_id), name).dataType
+            changed = df.select(order, before, new_value(df, operation).alias("_after"),
+                                _changed(df, operation).alias("_changed")).where("_changed")
+            affected = changed.select("_order", "before", as_text("_after", after_type).alias("after"), none)
+        first = affected.orderBy("_order").limit(SHOWN_EXAMPLES)
+    found = sorted(_displayed(first, "before", "after").collect(), key=lambda r: r["_order"])  # at most eight
+    at = _positions(df, [i for r in found for i in (r["_order"], r["_kept"]) if i is not None], row_id)
+    return local_frame(df.sparkSession, [
+        (at[r["_order"]], r["_order"] + 2, r["before"], r["after"], at.get(r["_kept"]), r["_kept"] + 2 if r["_kept"] is not None else None)
+        for r in found], "row bigint, source_row bigint, before string, after string, matched_row bigint, matched_source_row bigint")

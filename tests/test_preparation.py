@@ -218,3 +218,31 @@ def test_stream_equals_batch(spark, base, tmp_path):
                    lambda: audit(stream, recipe.steps[0].operation), lambda: examples(stream, recipe.steps[0].operation)):
         with pytest.raises(ValueError):
             refuse()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_fitted_values_come_back_from_json(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("""
+            select * from values
+              (timestamp'2024-11-03 01:30:00.000007', timestamp_ntz'2024-11-03 01:30:00', date'2024-02-29', 1.10BD, X'00ff', interval '1' day, 'a', 0L),
+              (timestamp'2024-11-03 01:30:00.000007', timestamp_ntz'2024-11-03 01:30:00', date'2024-02-29', 1.10BD, X'00ff', interval '1' day, 'a', 1L),
+              (null, null, null, null, null, null, null, 2L) as t(ts, ntz, d, n, b, i, s, _row)""")
+        recipe = Recipe.fit(df, [Operation("fill_mode", c) for c in ("ts", "ntz", "d", "n", "b", "i", "s")])
+        again = Recipe.from_json(recipe.to_json())
+        assert again == recipe
+        for r in (recipe, again):
+            filled = r.apply(df)
+            assert filled.schema.simpleString() == df.schema.simpleString()
+            assert filled.drop("_row").distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_examples_name_rows_and_their_matches(table):
+    df = table("a string, b int", [("x", 1), ("y", 2), ("x", 1), ("z", 3), ("x", 1)]).where("b <> 2")
+    shown = [(r.row, r.source_row, r.before, r.after, r.matched_row, r.matched_source_row) for r in examples(df, Operation("duplicates")).collect()]
+    assert shown == [(2, 4, "a=x; b=1", "Row removed", 1, 2), (4, 6, "a=x; b=1", "Row removed", 1, 2)]
+    assert examples(df.where("a = 'z'"), Operation("duplicates")).count() == 0

@@ -242,9 +242,9 @@ def test_nested_duplicate_fixture(table):
     assert [(r.removed_row + 2, r.kept_row + 2) for r in pairs] == [(3, 2), (5, 4)]
 
 
-@pytest.mark.parametrize("hot_share", [1, 1000])
-def test_duplicate_pairs_hot_and_cold(spark, monkeypatch, hot_share):
-    monkeypatch.setattr(duplicates, "HOT_SHARE", hot_share)
+@pytest.mark.parametrize("salts", [1, 50])
+def test_duplicate_pairs_hot_and_cold(spark, monkeypatch, salts):
+    monkeypatch.setattr(duplicates, "SALTS_PER_TASK", salts)
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).alias("k"),
         F.when(F.col("id") % 3 == 0, None).otherwise(F.lit("x" * 80)).alias("t"),
@@ -357,3 +357,26 @@ def test_before_and_after(table):
     rows = inspection.before_and_after(lambda d: inspection.category_counts(d, "city"), df, after).collect()
     assert {(r.version, r.label, r["count"]) for r in rows} == {
         ("before", "' SP '", 1), ("before", "sp", 1), ("after", "sp", 2)}
+
+
+def test_variants_are_kept_as_they_are(spark):
+    df = spark.sql("""
+        select cast(date'2024-01-01' as variant) as v, 0 as _row union all select parse_json('"2024-01-01"'), 1
+        union all select parse_json('{"a": 1, "b": "x 1.0"}'), 2 union all select parse_json('{"b": "x 1.0", "a": 1.0}'), 3
+        union all select parse_json('{"b": "x 1", "a": 1.0}'), 4 union all select cast(array(double('-0.0'), 2D) as variant), 5
+        union all select parse_json('[0, 2]'), 6 union all select cast(timestamp'2024-01-01 00:00:00.000001' as variant), 7
+        union all select cast(timestamp'2024-01-01 00:00:00.000002' as variant), 8 union all select null, 9 union all select parse_json('null'), 10""")
+    kept = {r._row: r.kind for r in duplicates.drop_duplicates(df).selectExpr("_row", "schema_of_variant(v) as kind").collect()}
+    assert {i: k for i, k in kept.items() if i in (0, 1, 7, 8)} == {0: "DATE", 1: "STRING", 7: "TIMESTAMP", 8: "TIMESTAMP"}
+    assert sorted(kept) == [0, 1, 2, 4, 5, 7, 8, 9]
+    assert {(r.removed_row, r.kept_row) for r in duplicates.duplicate_pairs(df).collect()} == {(3, 2), (6, 5), (10, 9)}
+
+
+def test_nested_floats_are_compared_by_value_and_kept(spark):
+    df = spark.sql("""
+        select array(named_struct('x', double('-0.0'), 'm', map('k', float('NaN')))) as n, 0 as _row
+        union all select array(named_struct('x', 0D, 'm', map('k', float('NaN')))), 1 union all select array(named_struct('x', 0D, 'm', map('k', null))), 2""")
+    kept = {r._row: r for r in duplicates.drop_duplicates(df).select("_row", F.col("n")[0]["x"].cast("string").alias("x"), F.col("n")[0]["m"]["k"].alias("k")).collect()}
+    assert sorted(kept) == [0, 2] and kept[0].x == "-0.0" and kept[0].k != kept[0].k and kept[2].k is None
+    assert frequencies.distinct_counts(df, row_id="_row").first().distinct_count == 2
+    assert duplicates.duplicate_count(df, "_row").first().distinct_rows == 2

@@ -153,3 +153,9 @@ def test_batch_goes_on_after_a_failure(smoke):
     rows = {r.dataset_id: r for r in score_many({"a": smoke, "b": broken, "c": smoke}, repeat=True).collect()}
     assert rows["b"].error == "cannot read" and rows["b"].score is None
     assert rows["a"].score == rows["c"].score and rows["a"].error is None
+
+
+def test_rare_classes_are_named(table):
+    df = table("t string", [("common",)] * 400 + [(f"rare{i}",) for i in range(10)] + [("seldom",)] * 3)
+    finding = {r.code: r.problem for r in D.class_balance_findings(D.class_facts(df, "t"), "t").collect()}["rare_class"]
+    assert finding.startswith("'t': 11 class(es)") and finding.endswith("rare0, rare1, rare2, rare3, rare4, rare5, rare6, rare7, ...")
