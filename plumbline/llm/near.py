@@ -220,7 +220,7 @@ def _text_classes(rows: DataFrame, how: Near) -> tuple[DataFrame, DataFrame, Dat
     large = written(buckets.where(f"n > {how.small}").select("band", "hash", "v"), "large")
     if not large.isEmpty():
         degree = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
-        apart = written(_apart(large, labels).join(degree, "v", "left").fillna(0, ["links"]), "apart")
+        apart = written(_apart(_labelled(large, labels.join(degree, "v", "left"))).fillna(0, ["links"]), "apart")
         if not apart.isEmpty():
             centres = apart.groupBy("band", "hash").agg(F.max_by(F.struct("v", "label"), F.struct("links", -F.col("v"))).alias("c"))
             again = apart.join(centres, ["band", "hash"]).where("label != c.label").select(F.col("v").alias("a"), F.col("c.v").alias("b"))
@@ -251,9 +251,13 @@ def near_classes(rows: DataFrame, how: Near = Near()) -> DataFrame:
     return row_classes(rows, how).distinct()
 
 
-def _apart(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of large buckets that hold more than one label, with their labels."""
-    named = large.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+def _labelled(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of large buckets with their labels, written: they are grouped and joined again."""
+    return written(large.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")), "labelled")
+
+
+def _apart(named: DataFrame) -> DataFrame:
+    """The labelled members of buckets that hold more than one label."""
     several = named.groupBy("band", "hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     return named.join(several.select("band", "hash"), ["band", "hash"])
 
@@ -266,7 +270,7 @@ def _exhausted(large: DataFrame, labels: DataFrame, copies: DataFrame, texts: Da
     they share. Only pairs of blocks with similar signatures and different labels get their
     texts, and those are verified on the spot; only links come out."""
     bucket = ["band", "hash"]
-    apart = _apart(large, labels)
+    apart = _apart(_labelled(large, labels))
     by_label = apart.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n"))
     most = by_label.groupBy(*bucket).agg(F.max_by("label", F.struct("n", "label")).alias("most"))
     signed = apart.join(most, bucket).join(copies.select("v", "signature", "bands", "n_bytes"), "v")
