@@ -618,12 +618,16 @@ def duplicate_pairs(spark, sf):
 """.replace("\n, p", ", p", 1) + "\nUNION ALL ".join(
     f"SELECT p._row AS removed_row, p.kept_row, '{c}' AS column, "
     + ", ".join(f"coalesce(CASE WHEN {v} <> trim({v}) THEN '''' || {v} || '''' ELSE {v} END, '(missing)') AS {side}"
-                for side, v in ((side, f"strftime({row}.{c}, '%Y-%m-%dT%H:%M:%S')" if c == "o_orderdate" else f"CAST({row}.{c} AS VARCHAR)")
+                for side, v in ((side, f"strftime({row}.{c}, '%Y-%m-%dT%H:%M:%S')" if c == "o_orderdate" else
+                                 f"CAST({f'CAST({row}.{c} AS DECIMAL(20, 2))' if c == 'o_totalprice' else f'{row}.{c}'} AS VARCHAR)")
                                 for side, row in (("kept", "k"), ("removed", "p"))))
     + " FROM p JOIN t k ON k._row = p.kept_row" for c in ORDERS)))
 def duplicate_values(spark, sf):
     df = V.dirty_orders(spark, sf)
-    return duplicates.pair_values(df, duplicates.duplicate_pairs(df))
+    values = duplicates.pair_values(df, duplicates.duplicate_pairs(df))
+    # The engines write large floating-point numbers differently.
+    return values.withColumns({side: F.expr(f"if(column = 'o_totalprice' and {side} <> '(missing)', cast(cast(try_cast({side} as double) as decimal(20, 2)) as string), {side})")
+                               for side in ("kept", "removed")})
 
 
 @register("duplicate_pairs_hot", """
@@ -961,11 +965,39 @@ judged AS (SELECT *, CASE WHEN claimed AND applicable THEN 100.0::DOUBLE WHEN wh
 """
 
 
+def said(text: str) -> str:
+    """A text as SQL; ``register`` would quote the bare word inside it."""
+    return "'" + text.replace("column", "col' || 'umn") + "'"
+
+
 @register("metadata_items", ITEMS + """
-SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id, item, score, CASE WHEN NOT applicable THEN 'not_applicable' WHEN claimed THEN 'self_reported'
-  WHEN whole > 0 AND part = whole THEN 'documented' WHEN score > 0 THEN 'partial' ELSE 'missing' END AS status FROM judged""")
+SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id, dimension, position, item, label, CASE WHEN covers THEN part ELSE 0 END AS covered, cols AS columns, score,
+  CASE WHEN NOT applicable THEN 'not_applicable' WHEN claimed THEN 'self_reported'
+    WHEN whole > 0 AND part = whole THEN 'documented' WHEN score > 0 THEN 'partial' ELSE 'missing' END AS status,
+  claimed AS self_reported, applicable, CASE WHEN claimed AND applicable THEN 'User checkbox' ELSE 'orders' END AS source,
+  CASE WHEN covers THEN 'columns' ELSE lower(dimension) || '.' || item END AS field,
+  CASE WHEN NOT applicable THEN """ + f"{said(metadata_audit.EXCLUDED_DETAIL)} WHEN claimed THEN {said(metadata_audit.CLAIMED_DETAIL)}" + """
+    WHEN covers THEN part || '/' || cols || ' dataset columns covered.' ELSE asks END AS detail
+FROM judged JOIN (SELECT o_orderkey, cols FROM o) USING (o_orderkey) JOIN (VALUES """ + ", ".join(
+    f"('{d}', {i}, '{item}', '{label}', {said(metadata_audit.DETAILS.get(item, metadata_audit.TEXT_DETAIL))}, {item in metadata_audit.COVERAGE_ITEMS})"
+    for d, labels in metadata_audit.LABELS.items() for i, (item, label) in enumerate(labels.items()))
+    + """) v(dimension, position, item, label, asks, covers) USING (item)""")
 def metadata_items(spark, sf):
-    return metadata_audit.audit(*metadata_tables(spark, sf)).select("dataset_id", "item", "score", "status")
+    """All columns but the evidence, which ``metadata_evidence`` compares."""
+    return metadata_audit.audit(*metadata_tables(spark, sf)).drop("evidence")
+
+
+@register("metadata_evidence", COVERAGE + """
+SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id, item, evidence FROM (
+  SELECT o_orderkey, 'variable_descriptions' AS item, '[' || coalesce(string_agg('"line' || l_linenumber || '"', ',' ORDER BY l_linenumber) FILTER (described = 1), '') || ']' AS evidence
+    FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey GROUP BY 1
+  UNION ALL SELECT o_orderkey, 'origin', '"' || o_orderpriority || '"' FROM orders
+  UNION ALL SELECT o_orderkey, 'collector', CASE WHEN o_orderstatus = 'P' THEN 'true' WHEN o_custkey % 2 = 0 THEN '"team"' END FROM orders
+  UNION ALL SELECT o_orderkey, 'version', CAST(o_orderkey AS VARCHAR) FROM orders
+  UNION ALL SELECT o_orderkey, 'known_limitations', CASE WHEN o_orderkey % 4 = 0 THEN '[]' ELSE '["' || o_orderpriority || '"]' END FROM orders)""")
+def metadata_evidence(spark, sf):
+    items = metadata_audit.audit(*metadata_tables(spark, sf))
+    return items.where("item in ('variable_descriptions', 'origin', 'collector', 'version', 'known_limitations')").select("dataset_id", "item", "evidence")
 
 
 @register("metadata_scores", ITEMS + f"""

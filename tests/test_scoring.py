@@ -1,5 +1,6 @@
 import pytest
 
+from plumbline.plans import metadata_audit
 from plumbline.plans import dimensions as D
 from plumbline.plans.context import UsageContext
 from plumbline.plans.evaluate import evaluate, ordered_dimensions, score_many
@@ -159,3 +160,14 @@ def test_rare_classes_are_named(table):
     df = table("t string", [("common",)] * 400 + [(f"rare{i}",) for i in range(10)] + [("seldom",)] * 3)
     finding = {r.code: r.problem for r in D.class_balance_findings(D.class_facts(df, "t"), "t").collect()}["rare_class"]
     assert finding.startswith("'t': 11 class(es)") and finding.endswith("rare0, rare1, rare2, rare3, rare4, rare5, rare6, rare7, ...")
+
+
+def test_assessments_carry_the_warnings(spark):
+    metadata = spark.sql("select 'a' as dataset_id, parse_json('{}') as body, 'a.json' as source, 'x' as sha256, array('a.json: odd') as warnings")
+    contexts = spark.sql("select * from values ('a', 't', map('origin', true)), ('b', null, map('origin', false)) as c(dataset_id, target_column, claims)")
+    rows = {(r.dataset_id, r.dimension): (r.source, r.warnings) for r in metadata_audit.assessments(metadata, contexts).collect()}
+    assert rows == {("a", d): ("a.json", ["a.json: odd"]) for d in metadata_audit.LABELS} | {("b", d): (None, []) for d in metadata_audit.LABELS}
+    columns = spark.sql("select 'a' as dataset_id, 't' as column")
+    items = {(r.dataset_id, r.item): (r.status, r.evidence) for r in metadata_audit.audit(metadata, columns, contexts).collect()}
+    assert items[("a", "origin")] == ("self_reported", "true") and items[("b", "target_definition")] == ("not_applicable", None)
+    assert items[("a", "variable_descriptions")] == ("missing", "[]") and len(items) == 22
