@@ -181,6 +181,14 @@ def value_frequencies(spark, sf):
     return frequencies.frequencies(V.narrow_lineitem(spark, sf))
 
 
+@register("document_frequencies", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS key, count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP BY 1, 2"
+    for c in ("doc_id", "text", "lang", "source", "n_chars")))
+def document_frequencies(spark, sf):
+    """All columns with their values whole, texts of any length included."""
+    return frequencies.frequencies(V.table(spark, sf, "documents"), whole_texts=True)
+
+
 @register("top_values", dirty(f"""
 SELECT column, rank, key AS value, n FROM (
   SELECT *, row_number() OVER (PARTITION BY column ORDER BY n DESC, key) AS rank FROM (

@@ -4,52 +4,89 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.columns import (
-    as_text, col, data_fields, field_of, has_long_text, is_measurement, is_nested, is_variant,
-    missing, short_text,
+    as_text, col, data_fields, field_of, has_long_text, instant_sql, is_float, is_measurement, is_nested, is_variant,
+    literal, missing, present_sql, quote, short_text,
 )
 from plumbline.functions.local import local_frame
 
 
-def melted(df: DataFrame, names: list[str], row_id: str | None = None) -> DataFrame:
-    """One row per present cell: (column, key[, row]). The key is the value as text, or
-    its digest when the text is long."""
-    fields = [field_of(df, name) for name in names]
+def _slot(field: T.StructField) -> tuple[str, Column, str]:
+    """Where a column's values go in a typed key, the value there, and the SQL that turns it into the column's text."""
+    c, dtype = quote(field.name), field.dataType
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "whole", F.expr(f"cast({c} as bigint)"), "cast(whole as string)"
+    if isinstance(dtype, T.BooleanType):
+        return "whole", F.expr(f"cast(cast({c} as int) as bigint)"), "cast(whole = 1 as string)"
+    if isinstance(dtype, T.DateType):
+        return "whole", F.expr(f"cast(unix_date({c}) as bigint)"), "cast(date_from_unix_date(cast(whole as int)) as string)"
+    if isinstance(dtype, T.TimestampType):
+        return "whole", F.expr(f"unix_micros({c})"), instant_sql("timestamp_micros(whole)")
+    if is_float(dtype):
+        # Adding zero folds -0.0 into 0.0, which are one value.
+        return "real", F.expr(f"cast({present_sql(field.name, dtype)} as double) + 0D"), f"cast(cast(real as {dtype.simpleString()}) as string)"
+    return "text", short_text(field.name, dtype), "text"
+
+
+def typed_counts(df: DataFrame, names: list[str], row_id: str | None = None) -> DataFrame:
+    """(position, whole, real, text, n[, first_row]): how often each present value of the named columns occurs.
+
+    A key is the column's place among the names and the value in the slot of its type: integers, booleans, dates and
+    instants as a 64-bit number, floats as a double, the rest as text (its digest if long). No number becomes text for it.
+    Hot values collapse on the map side, so a value held by a third of all rows costs one row per task in the shuffle.
+    """
+    slots = [_slot(field_of(df, n)) for n in names]
+    empty = {"whole": "bigint", "real": "double", "text": "string"}
     wide = df.select(
         *([col(row_id).alias("_order")] if row_id else []),
-        *[short_text(f.name, f.dataType).alias(f.name) for f in fields],
-    )
-    ids = [F.col("_order")] if row_id else []
-    return wide.unpivot(ids, [col(n) for n in names], "column", "key").where("key is not null")
+        *[(value if kind == slot else F.lit(None).cast(t)).alias(f"{kind}{i}") for i, (slot, value, _) in enumerate(slots) for kind, t in empty.items()])
+    cells = ", ".join(f"{i}, whole{i}, real{i}, text{i}" for i in range(len(names)))
+    long = wide.selectExpr(*(["_order"] if row_id else []), f"stack({len(names)}, {cells}) as (position, whole, real, text)").where(
+        "whole is not null or real is not null or text is not null")
+    aggregates = [F.count(F.lit(1)).alias("n"), *([F.min("_order").alias("first_row")] if row_id else [])]
+    return long.groupBy("position", *empty).agg(*aggregates)
 
 
-def frequencies(df: DataFrame, names: list[str] | None = None,
-                row_id: str | None = None) -> DataFrame:
+def frequencies(df: DataFrame, names: list[str] | None = None, row_id: str | None = None, whole_texts: bool = False) -> DataFrame:
     """(column, key, n[, first_row]): how often each present value occurs.
 
-    Missing values are dropped and nested values are keyed by their JSON text. Hot values
-    collapse on the map side, so a value held by a third of all rows costs one row per
-    task in the shuffle.
+    Missing values are dropped and nested values are keyed by their JSON text. Values become text once they are
+    counted. Long texts are shown as their digest, or, with ``whole_texts``, as they are: then each different
+    one is sent once more.
     """
     names = [f.name for f in data_fields(df, row_id)] if names is None else names
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    if row_id:
-        aggregates.append(F.min("_order").alias("first_row"))
-    return melted(df, names, row_id).groupBy("column", "key").agg(*aggregates)
+    if not names:
+        return local_frame(df.sparkSession, [], "column string, key string, n bigint" + ", first_row bigint" * bool(row_id))
+    shown: dict[str, list[int]] = {}
+    for i, n in enumerate(names):
+        shown.setdefault(_slot(field_of(df, n))[2], []).append(i)
+    text = " ".join(f"when position in ({', '.join(map(str, places))}) then {sql}" for sql, places in shown.items())
+    named = f"element_at(array({', '.join(map(literal, names))}), position + 1)"
+    counted = typed_counts(df, names, row_id).selectExpr(f"{named} as column", f"case {text} end as key", "n", *(["first_row"] if row_id else []))
+    long_names = [n for n in names if has_long_text(field_of(df, n).dataType)] if whole_texts else []
+    if not long_names:
+        return counted
+    texts = reduce(DataFrame.unionByName, [
+        df.select(F.lit(n).alias("column"), short_text(n, field_of(df, n).dataType).alias("key"), as_text(n, field_of(df, n).dataType).alias("_text"))
+        for n in long_names]).where(_is_digest(F.col("key"))).groupBy("column", "key").agg(F.first("_text").alias("_text"))
+    return counted.join(texts, ["column", "key"], "left").withColumn("key", F.coalesce("_text", "key")).drop("_text")
+
+
+def _is_digest(key: Column) -> Column:
+    return key.startswith("#") & (F.length(key) == 65)
 
 
 def distinct_counts(df: DataFrame, names: list[str] | None = None,
                     row_id: str | None = None) -> DataFrame:
     """(column, distinct_count): exact, missing excluded, 0 for an all-missing column."""
     names = [f.name for f in data_fields(df, row_id)] if names is None else names
-    counted = (
-        frequencies(df.drop(row_id) if row_id else df, names)
-        .groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    )
-    every = local_frame(df.sparkSession, [(n,) for n in names], "column string")
-    return every.join(F.broadcast(counted), "column", "left").select(
+    every = local_frame(df.sparkSession, list(enumerate(names)), "position int, column string")
+    if not names:
+        return every.selectExpr("column", "0L as distinct_count")
+    counted = typed_counts(df, names).groupBy("position").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(F.broadcast(counted), "position", "left").select(  # one row for each column
         "column", F.coalesce("n", F.lit(0)).cast("bigint").alias("distinct_count")
     )
 
@@ -92,7 +129,7 @@ def top_values(df: DataFrame, names: list[str] | None = None, k: int = 5,
     if not long_names:
         return winners.select("column", "rank", F.col("key").alias("value"), "n")
     # Proven bound: at most k digests per column reach the broadcast.
-    digests = winners.where(F.col("key").startswith("#") & (F.length("key") == 65))
+    digests = winners.where(_is_digest(F.col("key")))
     parts = [
         df.select(F.lit(n).alias("column"), short_text(n, field_of(df, n).dataType).alias("key"),
                   as_text(n, field_of(df, n).dataType).alias("text"))
@@ -121,7 +158,7 @@ def with_texts(counted: DataFrame, df: DataFrame, name: str, key: str = "key") -
     dtype = field_of(df, name).dataType
     if not has_long_text(dtype):
         return counted
-    digests = counted.where(col(key).startswith("#") & (F.length(col(key)) == 65)).select(col(key).alias("_digest")).distinct()
+    digests = counted.where(_is_digest(col(key))).select(col(key).alias("_digest")).distinct()
     texts = df.select(short_text(name, dtype).alias("_digest"), as_text(name, dtype).alias("_text"))
     texts = texts.join(digests, "_digest", "left_semi").groupBy("_digest").agg(F.first("_text").alias("_text"))
     joined = counted.join(texts, col(key) == F.col("_digest"), "left")

@@ -76,3 +76,18 @@ def test_table_without_data_columns(table):
 def test_checklists_are_whole(answers):
     with pytest.raises(ValueError):
         UsageContext(provenance=answers)
+
+
+def test_frequencies_of_every_type(spark):
+    df = spark.sql("""
+        select * from values
+          (1Y, true, date'2024-02-29', timestamp'2024-02-29 01:02:03.000004', 0.1F, -0.0D, 1.50BD, 'a', X'0a', array(1, null)),
+          (1Y, false, date'1969-12-31', timestamp'1969-12-31 23:59:59', 0.1F, 0.0D, 1.50BD, 'a', X'0a', array(1, null)),
+          (null, null, null, null, float('NaN'), double('NaN'), null, null, null, null)
+        as t(i, b, d, t, f, r, n, s, x, a)""").selectExpr("*", "cast(t as timestamp_ntz) as z", "repeat('é', 100) as l")
+    found = {(r.column, r.key): r.n for r in frequencies(df, whole_texts=True).collect()}
+    assert found == {
+        ("i", "1"): 2, ("b", "true"): 1, ("b", "false"): 1, ("d", "2024-02-29"): 1, ("d", "1969-12-31"): 1,
+        ("t", "2024-02-29T01:02:03.000004"): 1, ("t", "1969-12-31T23:59:59"): 1, ("f", "0.1"): 2, ("r", "0.0"): 2, ("n", "1.50"): 2,
+        ("s", "a"): 2, ("x", "0a"): 2, ("a", "[1,null]"): 2, ("z", "2024-02-29T01:02:03.000004"): 1, ("z", "1969-12-31T23:59:59"): 1, ("l", "é" * 100): 3}
+    assert {r.column: r.distinct_count for r in distinct_counts(df.limit(0)).collect()} == dict.fromkeys(df.columns, 0)
