@@ -1045,12 +1045,12 @@ def parquet_positions(spark, sf):
 
 
 @register("csv_scan", dirty("""
-SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority,
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority,
   CASE WHEN custkey_text <> 'n/a' THEN CAST(custkey_text AS BIGINT) END AS custkey_text FROM t"""))
 def csv_scan(spark, sf):
     """The dirty orders written as CSV and read back with detected types."""
     folder = f"{shared_folder(spark)}/{uuid4().hex}.csv"
-    V.dirty_orders(spark, sf).select("o_orderkey", "o_orderstatus", PRICE, "o_orderpriority", "custkey_text").write.csv(
+    V.dirty_orders(spark, sf).select(*ORDERS).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")).write.csv(
         folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return read_csv(spark, folder, row_id=None).data
 

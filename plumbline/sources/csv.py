@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import csv
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.functions.columns import ROW_ID, literal, quote
+from plumbline.functions.lineage import written
 from plumbline.functions.text import INTEGER_PATTERN, is_number_sql, number_sql, strip_sql
-from plumbline.sources.files import LoadError, with_row_position
+from plumbline.sources.files import LoadError, placed_rows
 
 # Delimiters in order of preference, and how much text decides.
 DELIMITERS = (",", ";", "\t")
@@ -37,40 +39,50 @@ class CsvTable:
 
 
 def read_csv(spark: SparkSession, path: str, row_id: str | None = ROW_ID) -> CsvTable:
-    """Three passes: one checks the bytes, one decides types, and the reader itself.
+    """Three passes: one looks at the bytes, the first lines and the quotes of every file, one decides types, and the
+    reader itself.
 
-    Files are split across tasks unless some line has an odd number of quotes, which is
-    the only way a record can span lines.
+    A file is split across tasks unless some line of it has an odd number of quotes, which is the only way a record
+    can span lines.
     """
     lines = spark.read.text(path)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    facts = lines.agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(quotes % 2 == 1).alias("open_quotes")).first()
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    files = written(lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"), F.is_valid_utf8("value").alias("utf8"),
+        (quotes % 2 == 1).alias("odd"), place.alias("place")).groupBy("file").agg(
+        F.bool_and("utf8").alias("utf8"), F.bool_or("odd").alias("odd"),
+        F.min_by("line", F.when(F.length(F.trim("line")) > 0, F.col("place"))).alias("head")), "csv-files")
+    facts = files.agg(F.bool_and("utf8").alias("utf8"), F.bool_or("odd").alias("odd"), F.bool_and("odd").alias("all_odd")).first()
     if facts["utf8"] is None:
         raise LoadError("The file has no columns to read.")
     encoding = "utf-8-sig" if facts["utf8"] else "latin1"
     sample = _sample(lines, encoding)
     delimiter = detect_delimiter(sample)
     names = header_names(sample, delimiter)
-    _check_headers(lines, names, delimiter, encoding)
+    _check_headers(files, names, delimiter, encoding)
 
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA]])
-    texts = spark.read.csv(
-        path, schema=schema, header=True, sep=delimiter, encoding=CHARSETS[encoding],
-        quote='"', escape='"', multiLine=bool(facts["open_quotes"]), enforceSchema=True)
-    positioned = with_row_position(texts, row_id) if row_id else texts
+
+    def rows(paths: str | list[str], across_lines: bool) -> DataFrame:
+        return spark.read.csv(
+            paths, schema=schema, header=True, sep=delimiter, encoding=CHARSETS[encoding],
+            quote='"', escape='"', multiLine=across_lines, enforceSchema=True)
+
+    if facts["odd"] == facts["all_odd"]:
+        frames = [rows(path, bool(facts["odd"]))]
+    else:  # only files whose quotes call for it are read as a whole; names of files are what a reader is given
+        named = {odd: [r.file for r in files.where(F.col("odd") == odd).select("file").collect()] for odd in (False, True)}
+        frames = [rows(paths, odd) for odd, paths in named.items()]
+    positioned = placed_rows(frames, row_id) if row_id else reduce(DataFrame.unionByName, frames)
     return CsvTable(_typed(positioned, names, "," if delimiter == ";" else ".", row_id),
                     encoding, delimiter)
 
 
-def _check_headers(lines: DataFrame, names: list[str], delimiter: str, encoding: str) -> None:
-    """Every file of a folder must have the header of the first one, in the same order."""
-    placed = lines.select(
-        F.input_file_name().alias("file"), F.col("value").cast("binary").alias("head"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
-    heads = placed.groupBy("file").agg(F.min_by("head", "place").alias("head"))
-    for row in heads.groupBy("head").agg(F.min("file").alias("file")).limit(100).toLocalIterator():
+def _check_headers(files: DataFrame, names: list[str], delimiter: str, encoding: str) -> None:
+    """Every file of a folder must have the header of the first one, in the same order. Each spelling of a header
+    is looked at once."""
+    for row in files.where("head is not null").groupBy("head").agg(F.min("file").alias("file")).toLocalIterator():
         head = bytes(row["head"]).decode(encoding, "replace").lstrip("\ufeff")
         if (found := header_names(head + "\n", delimiter)) != names:
             raise LoadError(f"{row['file']} has the header {found}, other files have {names}")

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plumbline.functions.columns import ROW_ID
+from plumbline.functions.columns import ROW_ID, quote
+from plumbline.functions.lineage import written
+from plumbline.functions.local import local_frame
 
 # Readable formats by extension.
 FORMATS = {".csv": "csv", ".parquet": "parquet"}
 
-BROADCAST_FILES = 100_000
-"""Per-file tables up to this many rows are broadcast; above it Spark decides."""
-
-
 class LoadError(Exception):
     """A dataset cannot be read."""
 
@@ -67,35 +67,43 @@ def dataset_fingerprint(files: DataFrame) -> DataFrame:
 def with_row_position(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     """Adds the 0-based position of each row in file order, for a frame read from files.
 
-    Within a file block rows are read in order; block offsets are running sums over one
-    row per block. The source row of a position p is p + 2, counting the header as 1.
+    Within a file block rows are read in order. Blocks before it in the file, and files before that, are
+    running sums: over the blocks of one file, and over the files (see ``file_bases``). The source row of a
+    position p is p + 2, counting the header as 1.
     """
-    tagged = df.select(
-        "*", F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"))
-    blocks = tagged.groupBy("_file", "_start").agg(
-        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    in_order = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_rows").over(in_order), F.lit(0)))
-    return _placed(df, tagged, offsets, row_id, F.col("_id") - F.col("_first"), ["_file", "_start"])
+    return placed_rows([df], row_id)
+
+
+def placed_rows(frames: list[DataFrame], row_id: str) -> DataFrame:
+    """``with_row_position`` of several frames of the same columns, whose files are put in one order."""
+    columns = frames[0].columns
+    tagged = reduce(DataFrame.unionByName, [
+        df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")) for df in frames
+    ]).withColumn("_id", F.monotonically_increasing_id())
+    blocks = tagged.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    bases = file_bases(tagged.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows")))
+    return tagged.join(offsets, ["_file", "_start"]).join(bases, "_file").select(
+        *[quote(c) for c in columns], (F.col("_base") + F.col("_before") + F.col("_id") - F.col("_first")).alias(row_id))
 
 
 def with_parquet_position(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     """Like ``with_row_position``, from the row index Parquet files carry."""
     if len(df.inputFiles()) == 1:
         return df.select("*", F.col("_metadata.row_index").alias(row_id))
-    tagged = df.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_id"))
-    in_order = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tagged.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
-        "_offset", F.coalesce(F.sum("_rows").over(in_order), F.lit(0)))
-    return _placed(df, tagged, offsets, row_id, F.col("_id"), ["_file"])
-
-
-def _placed(df, tagged, offsets, row_id, within, keys) -> DataFrame:
-    offsets = offsets.drop("_rows")
-    if len(df.inputFiles()) <= BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
-    return tagged.join(offsets, keys).select(
-        *[df[c] for c in df.columns], (F.col("_offset") + within).alias(row_id))
+    tagged = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_id"))
+    bases = file_bases(tagged.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows")))
+    return tagged.join(bases, "_file").select(*[quote(c) for c in df.columns], (F.col("_base") + F.col("_id")).alias(row_id))
+
+
+def file_bases(counts: DataFrame) -> DataFrame:
+    """(_file, _base): the rows in all files before, from (_file, _rows). Two levels of running sums: within ranges of
+    files, and over the ranges, which are as many as shuffle partitions. The ranges are written, so both levels see the same."""
+    dealt = written(counts.repartitionByRange("_file").withColumn("_part", F.spark_partition_id()), "files")
+    totals = sorted(map(tuple, dealt.groupBy("_part").agg(F.sum("_rows")).collect()))
+    ends = list(accumulate(n for _, n in totals))
+    parts = local_frame(counts.sparkSession, [(p, e - n) for (p, n), e in zip(totals, ends)], "_part int, _lower bigint")
+    before = Window.partitionBy("_part").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(parts), "_part").select(  # a row for each range
+        "_file", (F.col("_lower") + F.coalesce(F.sum("_rows").over(before), F.lit(0))).alias("_base"))

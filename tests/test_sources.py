@@ -249,3 +249,28 @@ def test_folder_with_columns_in_another_order(spark, tmp_path):
     write(tmp_path / "b.csv", "b,a\n3,4\n")
     with pytest.raises(LoadError, match="header"):
         read_csv(spark, str(tmp_path))
+
+
+def test_one_file_with_open_quotes_among_others(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    expected = []
+    for i in range(7):
+        rows = [(f"k{i}-{j}", "two\nlines" if i == 3 and j == 1 else f"v{j}") for j in range(3)]
+        expected += rows
+        # The last file spells its header in another way; the one with the open quote has a quoted header.
+        head = '"a",b' if i in (3, 6) else "a,b"
+        (folder / f"part-{i}.csv").write_text(head + "\n" + "".join(f'{a},"{b}"\n' for a, b in rows))
+    got = [(r.a, r.b) for r in read_csv(spark, str(folder)).data.orderBy("_row").collect()]
+    assert got == expected
+    (folder / "part-9.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(LoadError, match="other files"):
+        read_csv(spark, str(folder))
+
+
+def test_positions_over_many_files(spark, tmp_path):
+    spark.range(1000).repartition(40, "id").write.parquet(str(tmp_path / "t.parquet"))
+    rows = read_parquet(spark, str(tmp_path / "t.parquet"))
+    assert sorted(r._row for r in rows.collect()) == list(range(1000))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
