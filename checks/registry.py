@@ -11,6 +11,7 @@ from checks import views as V
 from plumbline.functions.columns import field_of
 from plumbline.functions.lineage import shared_folder
 from plumbline.operators import duplicates, facts, frequencies, inspection, outliers, profile, sampling
+from plumbline.plans import constants as K
 from plumbline.plans import dimensions as D
 from plumbline.plans import metadata_audit, preparation, scoring
 from plumbline.plans.context import UsageContext
@@ -20,6 +21,7 @@ from plumbline.plans.recipe import Recipe, Step
 from plumbline.sources.csv import read_csv
 from plumbline.sources.files import dataset_fingerprint, fingerprints
 from plumbline.sources.load import read_parquet
+from plumbline.sources.sinks import write_prepared as write_table, write_report
 from plumbline.streaming import write_prepared
 
 QUERIES, ORACLES = {}, {}
@@ -811,6 +813,69 @@ def recipe_json_replay(spark, sf):
     return Recipe.from_json(recipe.to_json()).apply(df).withColumn("code", F.decode("code", "UTF-8"))
 
 
+STEPS = [Operation("trim", "custkey_text"), Operation("drop_missing", PRICE), Operation("trim", "o_orderpriority"), Operation("casefold", "o_orderpriority")]
+
+
+@register("recipe_noop", dirty("""
+SELECT 'drop_missing' AS action, count(*) - count(o_totalprice) AS affected_rows, CAST(0 AS BIGINT) AS changed_cells, count(*) - count(o_totalprice) AS removed_rows FROM t
+UNION ALL SELECT 'trim', n, n, 0 FROM (SELECT count(*) AS n FROM t WHERE o_totalprice IS NOT NULL AND o_orderpriority <> trim(o_orderpriority))
+UNION ALL SELECT 'casefold', n, n, 0 FROM (SELECT count(*) AS n FROM t WHERE o_totalprice IS NOT NULL AND trim(o_orderpriority) <> lower(trim(o_orderpriority)))"""))
+def recipe_noop(spark, sf):
+    """A step that changes nothing is not recorded."""
+    recipe = Recipe.fit(V.dirty_orders(spark, sf), STEPS, skip_unchanged=True)
+    return spark.createDataFrame(
+        [(r["action"], r["affected_rows"], r["changed_cells"], r["removed_rows"]) for r in recipe.records()],
+        "action string, affected_rows bigint, changed_cells bigint, removed_rows bigint")
+
+
+@register("recipe_target_change", dirty("""
+SELECT 'o_orderstatus' AS target, CAST(3 AS BIGINT) AS steps, count(o_totalprice) AS rows FROM t
+UNION ALL SELECT 'o_orderpriority', 0, count(*) FROM t"""))
+def recipe_target_change(spark, sf):
+    """Another target clears the steps: the rows are those of the source again."""
+    df = V.dirty_orders(spark, sf)
+    recipe = Recipe.fit(df, STEPS, target="o_orderstatus", skip_unchanged=True)
+    return D.union([r.apply(df).agg(F.lit(r.target).alias("target"), F.lit(len(r.steps)).cast("bigint").alias("steps"), F.count(F.lit(1)).alias("rows"))
+                    for r in (recipe, recipe.with_target("o_orderpriority"))])
+
+
+@register("preparation_guards", """
+SELECT guard, refused FROM (SELECT 'infinity' AS guard, count(*) FILTER (WHERE o_orderkey % 100 = 1) > 0 AS refused FROM orders
+UNION ALL SELECT 'no values', count(*) > 0 FROM orders UNION ALL SELECT 'constant', count(DISTINCT o_totalprice * 0) < 2 FROM orders
+UNION ALL SELECT 'every row', count(*) > 0 FROM orders UNION ALL SELECT 'varying', count(DISTINCT o_totalprice) < 2 FROM orders
+UNION ALL SELECT 'target', true UNION ALL SELECT 'text', true UNION ALL SELECT 'unknown name', true UNION ALL SELECT 'unknown action', true)""")
+def preparation_guards(spark, sf):
+    """What each guard says of the whole table; the data decide the first five."""
+    df = V.table(spark, sf, "orders").selectExpr(
+        "if(o_orderkey % 100 = 1, double('inf'), o_totalprice) as wild", "cast(null as double) as none", "o_totalprice * 0 as flat", "o_totalprice",
+        "o_orderpriority", "o_orderkey as _row")
+    rows = []
+    for guard, action, column in (
+            ("infinity", "clip_outliers", "wild"), ("no values", "fill_median", "none"), ("constant", "minmax", "flat"), ("every row", "drop_missing", "none"),
+            ("varying", "minmax", "o_totalprice"), ("target", "fill_mode", "flat"), ("text", "standardize", "o_orderpriority"),
+            ("unknown name", "trim", "o_nothing"), ("unknown action", "round", "flat")):
+        try:
+            Recipe.fit(df, [Operation(action, column)], target="flat" if guard == "target" else None)
+            rows.append((guard, False))
+        except ValueError:
+            rows.append((guard, True))
+    return spark.createDataFrame(rows, "guard string, refused boolean")
+
+
+@register("prepared_sink", dirty(RECIPE_SQL + f"""
+SELECT o_orderkey, o_orderpriority, round(CASE WHEN {PRICE} < lower THEN lower WHEN {PRICE} > upper THEN upper ELSE {PRICE} END, 6) AS {PRICE},
+  (SELECT count(*) FROM t) AS original_rows, (SELECT count(*) FROM d) AS prepared_rows, CAST(4 AS BIGINT) AS steps FROM f, q"""))
+def prepared_sink(spark, sf):
+    """The prepared table and its manifest, written and read back."""
+    df = V.dirty_orders(spark, sf)
+    recipe = Recipe.fit(df, RECIPE)
+    path, record = write_table(df, recipe, f"{shared_folder(spark)}/{uuid4().hex}.parquet", context())
+    shown = spark.read.text(record).selectExpr(
+        "cast(get_json_object(value, '$.original_rows') as bigint) as original_rows", "cast(get_json_object(value, '$.prepared_rows') as bigint) as prepared_rows",
+        "cast(json_array_length(get_json_object(value, '$.steps')) as bigint) as steps")
+    return rounded(spark.read.parquet(path), PRICE).select("o_orderkey", "o_orderpriority", PRICE).join(F.broadcast(shown))  # one row
+
+
 @register("recipe_undo", dirty(RECIPE_SQL + f"\nSELECT o_orderkey, o_orderpriority, round({PRICE}, 6) AS {PRICE} FROM f, q"))
 def recipe_undo(spark, sf):
     df = V.dirty_orders(spark, sf)
@@ -850,6 +915,43 @@ def dimension_scores(spark, sf):
         "dimension", "applicable", "score", "weight", "weight_percentage")
 
 
+def task_query(task: str, target: str | None) -> None:
+    """Weights of the other tasks; class balance does not apply to them."""
+    weights = "CASE dimension " + " ".join(f"WHEN '{d}' THEN {w}" for d, w in K.DIMENSION_WEIGHTS[task].items()) + " END"
+    total = sum(K.DIMENSION_WEIGHTS[task].values())
+    score = "score" if target else f"CASE dimension WHEN 'Documentation' THEN {r2('100.0 / 5')} ELSE score END"  # no target to define
+
+    @register(f"dimension_scores_{task}", dirty(SCORES + f"""
+SELECT dimension, dimension <> 'Class Balance' AS applicable, CASE WHEN dimension <> 'Class Balance' THEN {score} END AS score,
+  CASE WHEN dimension <> 'Class Balance' THEN {pct(f'({weights})', f'{total!r}')} END AS weight_percentage FROM scores"""))
+    def query(spark, sf):
+        usage = UsageContext("Predict the price", task, target, ["o_totalprice"])
+        usage.documentation["data_collection"] = usage.provenance["origin"] = True
+        return evaluate(V.dirty_orders(spark, sf), usage).dimensions.select("dimension", "applicable", "score", "weight_percentage")
+
+
+task_query("regression", "o_totalprice")
+task_query("other", None)
+
+
+@register("report_tables", dirty(SCORES + f"""
+SELECT 'dimension' AS kind, dimension AS name, score AS value FROM scores
+UNION ALL SELECT 'info', 'rows', CAST(count(*) AS DOUBLE) FROM t
+UNION ALL SELECT 'histogram', 'o_totalprice', CAST(count(o_totalprice) AS DOUBLE) FROM t
+UNION ALL SELECT 'context', 'classification', 1.0"""))
+def report_tables(spark, sf):
+    """A report written and read back: scores, the information record, histograms and the context."""
+    df, folder = V.dirty_orders(spark, sf), f"{shared_folder(spark)}/{uuid4().hex}"
+    info = df.agg(F.count(F.lit(1)).alias("rows"))
+    write_report(evaluate(df, context()), folder, profile.column_profile(df), info=info, context=context(), histograms=profile.histograms(df))
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    return D.union([
+        read("dimensions").selectExpr("'dimension' as kind", "dimension as name", "score as value"),
+        read("info").selectExpr("'info' as kind", "'rows' as name", "cast(rows as double) as value"),
+        read("histograms").where("column = 'o_totalprice'").groupBy("column").agg(F.sum("count").alias("n")).selectExpr("'histogram' as kind", "column as name", "cast(n as double) as value"),
+        read("context").selectExpr("'context' as kind", "get_json_object(body, '$.task_type') as name", "1D as value")])
+
+
 def overall_sql(weight: str, source: str) -> str:
     return SCORES + f"""
 SELECT score, {BAND} AS classification, '{source}' AS weight_source FROM (

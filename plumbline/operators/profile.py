@@ -130,7 +130,7 @@ def histograms(df: DataFrame, row_id: str | None = None, names: list[str] | None
         step = (high - low) / HISTOGRAM_BINS
         start, width, density = (f"double('{v!r}')" for v in (low, step, HISTOGRAM_BINS / (high - low)))
         x.append(f"v{names.index(name)} / double('{found.scale!r}') as x{k}")
-        guess.append(f"cast(least(floor((x{k} - {start}) * {density}), {last}) as int) as g{k}")
+        guess.append(f"case when x{k} is not null then cast(least(floor((x{k} - {start}) * {density}), {last}) as int) end as g{k}")
         bins.append(f"case when x{k} < {start} + g{k} * {width} then g{k} - 1 "
                     f"when g{k} < {last} and x{k} >= {start} + (g{k} + 1) * {width} then g{k} + 1 else g{k} end")
         points = [low + i * step for i in range(HISTOGRAM_BINS)] + [high]

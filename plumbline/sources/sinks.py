@@ -9,6 +9,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.columns import data_fields
+from plumbline.functions.local import local_frame
 from plumbline.plans.context import UsageContext
 from plumbline.plans.evaluate import Evaluation
 from plumbline.plans.recipe import Recipe, plain_value
@@ -72,14 +73,21 @@ def write_prepared(original: DataFrame, recipe: Recipe, path: str, context: Usag
 
 
 def write_report(evaluation: Evaluation, folder: str, profile: DataFrame | None = None,
-                 mode: str = "append") -> None:
-    """Report tables as Parquet partitioned by dataset, one folder per table."""
+                 mode: str = "append", *, info: DataFrame | None = None, context: UsageContext | None = None,
+                 histograms: DataFrame | None = None, correlations: DataFrame | None = None) -> None:
+    """Report tables as Parquet partitioned by dataset, one folder per table: the evaluation, and what else is given of
+    the dataset's profile, information record, context (as JSON), histograms and correlations."""
     tables = {
         "indicators": evaluation.indicators, "findings": evaluation.findings,
         "items": evaluation.items, "dimensions": evaluation.dimensions,
         "scorecard": evaluation.scorecard}
-    if profile is not None:
-        tables["profile"] = profile
+    spark = evaluation.scorecard.sparkSession
+    dataset_id = evaluation.scorecard.first()["dataset_id"]
+    given = {"profile": profile, "info": info, "histograms": histograms, "correlations": correlations}
+    if context is not None:
+        given["context"] = local_frame(spark, [(json.dumps(context.as_dict(), ensure_ascii=False),)], "body string")
+    tables |= {name: table if "dataset_id" in table.columns else table.withColumn("dataset_id", F.lit(dataset_id))
+               for name, table in given.items() if table is not None}
     for name, table in tables.items():
         writer = table.write.mode(mode)
         if "dataset_id" in table.columns:

@@ -380,3 +380,8 @@ def test_nested_floats_are_compared_by_value_and_kept(spark):
     assert sorted(kept) == [0, 2] and kept[0].x == "-0.0" and kept[0].k != kept[0].k and kept[2].k is None
     assert frequencies.distinct_counts(df, row_id="_row").first().distinct_count == 2
     assert duplicates.duplicate_count(df, "_row").first().distinct_rows == 2
+
+
+def test_missing_cells_are_in_no_bin(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (None,), (NAN,), (INF,), (10.0,)], "x double")
+    assert {r.bin: r["count"] for r in profile.histograms(df).where("count > 0").collect()} == {0: 1, 2: 1, 23: 1}
