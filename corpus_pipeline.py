@@ -8,6 +8,10 @@ written as Parquet and read again. All but the last return the columns of ``docu
 3. MinHash near-dedup: the smallest ``doc_id`` of each class stays;
 4. benchmark decontamination: documents that contain a benchmark item go;
 5. best-fit packing: the rest becomes pieces with places in sequences of 1024 tokens.
+
+A missing or empty text fails the quality rules. A missing id is an id of its own kind, before all others: its rows are judged one
+by one by their texts, but count as one document where stage 2 counts the documents of a line. Rows that repeat as a whole
+become one in stage 3. An empty table goes through all stages and gives no pieces; further columns stay until stage 5.
 """
 
 from __future__ import annotations
@@ -50,8 +54,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Connected components of near-duplicates and token ids are beyond SQL; tests hold the stages
-#: against brute force.
+#: Connected components of near-duplicates and token ids are beyond SQL; a test holds the rows of ``run`` against a
+#: brute-force version of all stages.
 ORACLE_SQL = None
 
 
