@@ -1,25 +1,24 @@
-"""Exact quantiles with linear interpolation, in three reads at any size.
+"""Exact quantiles with linear interpolation, in two reads at any size.
 
 1. One aggregation builds a rank sketch per column (mergeable, some tens of kilobytes), beside
    whatever else the caller wants to know of all rows.
-2. The sketch proposes a bracket around each wanted rank. A counting pass proves on which side
-   of its ends the rank lies. Often a rank falls on an end itself and is settled.
-3. The values strictly inside a bracket, a fraction of a percent of the rows, are counted by value and
-   written. Their ranks come from range partitions: the counts of whole partitions, then a window inside
-   the one partition that holds the rank.
-
-A bracket that misses its rank, which the margin makes very unlikely, is replaced by the side where the
-counts prove the rank to be. No buffer holds all values of a column and none is collected.
+2. The sketch proposes a bracket around each wanted rank. The ends of the brackets cut a column into zones; a second
+   read counts the rows of each zone and writes the values strictly inside the brackets, a fraction of a percent of
+   the rows, with their counts. The counts prove in which zone a rank lies; often it is an end itself.
+3. Inside a bracket a rank is narrowed by rounds over the written values: an aggregation counts them in slots of
+   ascending values, and the slot that holds the rank is cut again, until it holds one value.
+
+A bracket that misses its rank, which the margin makes very unlikely, is replaced by the zone where the
+counts prove the rank to be, and read once more. No buffer holds all values of a column and none is collected.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import sys
 from dataclasses import dataclass
-from itertools import accumulate
 from math import floor
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from plumbline.functions.lineage import written
 from plumbline.functions.local import local_frame
@@ -29,6 +28,19 @@ SKETCH_SIZE = 4096
 
 MARGIN = 0.0025
 
+SLOTS = 65_536
+"""That one round counts, over all ranks: a row for each comes to the driver."""
+
+LEAST_SLOTS = 16
+
+# The slot of a value between low and high, ascending with it: zero and the two signs apart, then equal steps from the
+# near to the far end, or equal steps inside each octave where the far end is more than four times the near one.
+OCTAVE = "floor(log2(abs(value)))"
+SLOT = f"""case when value = 0 then 0L else cast(signum(value) as bigint) * (2L + case
+    when far > 4 * near
+    then ({OCTAVE} - floor(log2(near))) * steps + floor((abs(value) / pow(2.0D, {OCTAVE}) - 1) * steps) + 1
+    else coalesce(floor(try_divide(abs(value) - near, far - near) * cells), 0L) end) end"""
+
 
 def quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[float],
               sketch_size: int = SKETCH_SIZE, margin: float = MARGIN) -> dict[str, list[float] | None]:
@@ -58,7 +70,7 @@ def quantiles_and(df: DataFrame, columns: dict[str, Column], probabilities: list
         sketches = local_frame(df.sparkSession, [[row[f"_sketch{i}"] for i in range(len(names))]], ", ".join(
             f"_sketch{i} binary" for i in range(len(names))))
         _bracket(sketches, row, list(searches.values()), margin)
-        _settle(df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)]), list(searches.values()))
+        _settle(df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)]), row, list(searches.values()))
 
     result = {}
     for i, name in enumerate(names):
@@ -78,13 +90,14 @@ def _interpolate(position: float, value_at) -> float:
 
 @dataclass
 class _Search:
-    """The value of one rank, counted from 0, known to lie between ``low`` and ``high``, both included."""
+    """The value of one rank, counted from 0, thought or known to lie between ``low`` and ``high``, both included.
+    Once its zone is known, ``rank`` counts from the least value between them."""
 
     column: int
     rank: int
     low: float | None = None
     high: float | None = None
-    below: int = 0  # values known to lie below the open bracket
+    zone: int | None = None
     answer: float | None = None
 
 
@@ -103,61 +116,84 @@ def _bracket(sketches: DataFrame, row: Row, searches: list[_Search], margin: flo
             setattr(s, end, value)
 
 
-def _settle(values: DataFrame, searches: list[_Search]) -> None:
-    """Proves the brackets by counting, then finds what lies strictly inside them."""
-    while open_ones := [s for s in searches if s.answer is None]:
-        brackets = sorted({(s.column, s.low, s.high) for s in open_ones})
-        counted = values.agg(*[a for c, low, high in brackets for v in [F.col(f"v{c}")] for a in (
-            F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high)), F.count_if(v == high),
-            F.max(F.when(v < low, v)), F.min(F.when(v > high, v)), F.min(v), F.max(v))]).first()
-        inside = {}
-        for k, bracket in enumerate(brackets):
-            column, low, high = bracket
-            before, at_low, between, at_high, last_before, first_after, least, largest = counted[8 * k:8 * k + 8]
-            if low == high:
-                at_high = 0
-            for s in open_ones:
-                if (s.column, s.low, s.high) != bracket:
-                    continue
-                if s.rank < before:  # a miss: the rank lies below
-                    s.low, s.high = least, last_before
-                elif s.rank < before + at_low:
-                    s.answer = low
-                elif s.rank < before + at_low + between:
-                    s.below = before + at_low
-                    inside[bracket] = between
-                elif s.rank < before + at_low + between + at_high:
-                    s.answer = high
-                else:  # a miss: the rank lies above
-                    s.low, s.high = first_after, largest
-        if inside:
-            _select(values, inside, [s for s in open_ones if s.answer is None and (s.column, s.low, s.high) in inside])
-
-
-def _select(values: DataFrame, inside: dict[tuple[int, float, float], int], searches: list[_Search]) -> None:
-    """Answers ranks strictly inside brackets from the values there."""
-    spark, brackets = values.sparkSession, list(inside)
-    kept = F.array(*[
-        F.when((F.col(f"v{c}") > low) & (F.col(f"v{c}") < high), F.struct(F.lit(k).alias("bracket"), F.col(f"v{c}").alias("value")))
-        for k, (c, low, high) in enumerate(brackets)])
-    found = values.select(F.explode(F.filter(kept, lambda x: x.isNotNull())).alias("x")).groupBy("x.bracket", "x.value").agg(
-        F.count(F.lit(1)).alias("n"))
-    dealt = written(written(found, "brackets").repartitionByRange("bracket", "value").withColumn("part", F.spark_partition_id()), "ranges")
-    # A row for each bracket and partition; ranges of one bracket follow each other.
-    sizes: dict[int, list[tuple[int, int]]] = {}
-    for r in dealt.groupBy("bracket", "part").agg(F.sum("n").alias("n")).orderBy("bracket", "part").collect():
-        sizes.setdefault(r.bracket, []).append((r.part, r.n))
-    targets = []
-    for at, s in enumerate(searches):
-        k = brackets.index((s.column, s.low, s.high))
-        ends = list(accumulate(n for _, n in sizes[k]))
-        wanted = s.rank - s.below + 1
-        which = bisect_left(ends, wanted)
-        targets.append((at, k, sizes[k][which][0], wanted - (ends[which - 1] if which else 0)))
-    asked = local_frame(spark, targets, "search int, bracket int, part int, wanted bigint")
-    upto = Window.partitionBy("bracket", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    parts = dealt.join(F.broadcast(asked.select("bracket", "part").distinct()), ["bracket", "part"], "left_semi")
-    ranked = parts.withColumn("upto", F.sum("n").over(upto))
-    answers = ranked.join(F.broadcast(asked), ["bracket", "part"]).where("upto >= wanted").groupBy("search").agg(F.min("value").alias("value"))
-    for at, value in answers.collect():  # one row for each rank
-        searches[at].answer = value
+def _settle(values: DataFrame, row: Row, searches: list[_Search]) -> None:
+    """Proves the brackets by counting zones, then finds what lies strictly inside them. Zone 2i + 1 is the end i itself,
+    zone 2i + 2 what lies between the ends i and i + 1."""
+    ends: dict[int, list[float]] = {}
+    for c in {s.column for s in searches}:
+        ends[c] = sorted({row[f"_low{c}"], row[f"_high{c}"]}.union(*[{s.low, s.high} for s in searches if s.column == c]))
+    inside = {(s.column, zone) for s in searches
+              for zone in range(2 * ends[s.column].index(s.low) + 2, 2 * ends[s.column].index(s.high) + 1, 2)}
+    while searches:
+        zones = written(_zoned(values, {s.column: ends[s.column] for s in searches}, inside), "zones")
+        bounds = [(c, zone, *ends[c][zone // 2 - 1:zone // 2 + 1]) for c, zone in sorted(inside)]
+        slots = _counted(zones, bounds, "left")
+        sizes: dict[int, dict[int, int]] = {}
+        for r in slots:
+            of_column = sizes.setdefault(r.column, {})
+            of_column[r.zone] = of_column.get(r.zone, 0) + r.n
+        for s in searches:
+            for zone, n in sorted(sizes[s.column].items()):
+                if s.rank < n:
+                    break
+                s.rank -= n
+            if zone % 2:
+                s.answer = ends[s.column][zone // 2]
+            else:
+                s.zone, (s.low, s.high) = zone, ends[s.column][zone // 2 - 1:zone // 2 + 1]
+        open_ones = [s for s in searches if s.answer is None]
+        _narrow(zones, bounds, slots, [s for s in open_ones if (s.column, s.zone) in inside])
+        searches = [s for s in open_ones if s.answer is None]  # misses: now the zone is known
+        for s in searches:
+            s.rank += sum(n for zone, n in sizes[s.column].items() if zone < s.zone)
+        inside = {(s.column, s.zone) for s in searches}
+
+
+def _zoned(values: DataFrame, ends: dict[int, list[float]], inside: set[tuple[int, int]]) -> DataFrame:
+    """(column, zone, value, n): rows by zone, in the zones of ``inside`` also by value."""
+    placed = []
+    for c, marks in ends.items():
+        zone = " + ".join(f"cast(v{c} >= double('{e!r}') as int) + cast(v{c} > double('{e!r}') as int)" for e in marks)
+        kept = " or ".join(f"v{c} > double('{marks[z // 2 - 1]!r}') and v{c} < double('{marks[z // 2]!r}')"
+                           for column, z in sorted(inside) if column == c) or "false"
+        placed.append(f"case when v{c} is not null then named_struct("
+                      f"'column', {c}, 'zone', {zone}, 'value', case when {kept} then v{c} end) end")
+    return values.select(F.explode(F.array(*[F.expr(p) for p in placed])).alias("x")).where("x is not null").groupBy(
+        "x.column", "x.zone", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _counted(zones: DataFrame, bounds: list[tuple[int, int, float, float]], how: str) -> list[Row]:
+    """Rows of (column, zone, at, slot, n, low, high), one for each slot of the bounds number ``at``; with a ``left`` join
+    also those of the other zones."""
+    cells = max(LEAST_SLOTS, SLOTS // max(len(bounds), 1))
+    least, most = 5e-324, sys.float_info.max
+    asked = [(at, c, zone, low, high, min(max(low, least), most), min(max(high, least), most), min(max(-high, least), most),
+              min(max(-low, least), most)) for at, (c, zone, low, high) in enumerate(bounds)]
+    frame = local_frame(zones.sparkSession, asked, "at int, column int, zone int, low double, high double, up_near double, "
+                        "up_far double, down_near double, down_far double")
+    within = (zones["column"] == frame["column"]) & (zones["zone"] == frame["zone"]) & zones["value"].between(frame["low"], frame["high"])
+    sides = zones.join(F.broadcast(frame), within, how).select(  # a row for each rank
+        zones["column"], zones["zone"], "at", "value", "n", F.expr("case when value > 0 then up_near else down_near end").alias("near"),
+        F.expr("case when value > 0 then up_far else down_far end").alias("far"), F.lit(float(cells)).alias("cells"))
+    stepped = sides.withColumn("steps", F.expr(f"greatest(1L, cast({cells} / (log2(far) - log2(near) + 1) as bigint))"))
+    return stepped.groupBy("column", "zone", "at", F.expr(f"case when value is not null then {SLOT} end").alias("slot")).agg(
+        F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+
+
+def _narrow(zones: DataFrame, bounds: list[tuple[int, int, float, float]], slots: list[Row], searches: list[_Search]) -> None:
+    """Answers ranks inside counted bounds."""
+    while searches:
+        of_bounds: dict[int, list[Row]] = {}
+        for r in sorted((r for r in slots if r.at is not None), key=lambda r: r.slot):
+            of_bounds.setdefault(r.at, []).append(r)
+        for s in searches:
+            for r in of_bounds[bounds.index((s.column, s.zone, s.low, s.high))]:
+                if s.rank < r.n:
+                    break
+                s.rank -= r.n
+            s.low, s.high = r.low, r.high
+            if r.low == r.high:
+                s.answer = r.low
+        searches = [s for s in searches if s.answer is None]
+        bounds = sorted({(s.column, s.zone, s.low, s.high) for s in searches})
+        slots = _counted(zones, bounds, "inner") if searches else []
