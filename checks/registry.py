@@ -992,10 +992,13 @@ def compare_before_after(spark, sf):
     return compare(df, Recipe.fit(df, RECIPE).apply(df), context())
 
 
+SCORED = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+          "conversations").split()
+
+
 @register("score_tables")
 def score_tables(spark, sf):
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "events", "labels")
-    return score_many({n: V.table(spark, sf, n) for n in names}).select(
+    return score_many({n: V.table(spark, sf, n) for n in SCORED}).select(
         "dataset_id", "score", "classification", "weight_source", "error")
 
 

@@ -6,6 +6,8 @@ then arithmetic over a frame with one row per column.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.functions.columns import (
@@ -59,10 +61,10 @@ def _scan(df: DataFrame, row_id: str | None) -> DataFrame:
     return df.agg(*aggregates)
 
 
-def _column_rows(fields: list[T.StructField], dataset_id: str) -> str:
-    """The counters of ``_scan`` as one row per column."""
+def _column_array(fields: list[T.StructField], dataset_id: str) -> str:
+    """The counters of ``_scan`` as an array with an entry per column."""
     if not fields:
-        return f"inline(cast(array() as array<{COLUMN_FACTS.simpleString()}>))"
+        return f"cast(array() as array<{COLUMN_FACTS.simpleString()}>)"
     rows = [
         f"struct({literal(dataset_id)} as dataset_id, {i} as ordinal, {literal(f.name)} as column, "
         f"{literal(f.dataType.simpleString())} as type, {literal(kind(f.dataType))} as kind, rows, "
@@ -70,7 +72,12 @@ def _column_rows(fields: list[T.StructField], dataset_id: str) -> str:
         f"{f'coalesce(mixed{i}, false)' if is_variant(f.dataType) else 'false'} as mixed, "
         f"not coalesce(varies{i}, false) as constant)"
         for i, f in enumerate(fields)]
-    return f"inline(array({', '.join(rows)}))"
+    return f"array({', '.join(rows)})"
+
+
+def _column_rows(fields: list[T.StructField], dataset_id: str) -> str:
+    """The counters of ``_scan`` as one row per column."""
+    return f"inline({_column_array(fields, dataset_id)})"
 
 
 def column_facts(df: DataFrame, dataset_id: str = "dataset", row_id: str | None = None) -> DataFrame:
@@ -107,6 +114,20 @@ def scan_facts(df: DataFrame, dataset_id: str = "dataset",
                             f"{cells} as missing_cells", "complete_rows"))
 
 
+def facts_of_many(tables: dict[str, DataFrame], row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``scan_facts`` of several tables by dataset id: one job, in which every table is scanned once."""
+    scans = []
+    for dataset_id, df in tables.items():
+        fields = data_fields(df, row_id)
+        cells = " + ".join(f"missing{i}" for i in range(len(fields))) or "0L"
+        scans.append(_scan(df, row_id).selectExpr(
+            f"{literal(dataset_id)} as dataset_id", "rows", f"{len(fields)} as columns", f"{cells} as missing_cells", "complete_rows",
+            f"{_column_array(fields, dataset_id)} as facts"))
+    scan = reduce(DataFrame.unionByName, scans)
+    counters = local_frame(scan.sparkSession, scan.collect(), scan.schema)  # a row for each table
+    return counters.selectExpr("inline(facts)"), counters.drop("facts")
+
+
 def text_variant_columns(df: DataFrame, names: list[str] | None = None,
                          row_id: str | None = None) -> DataFrame:
     """(column, variant_groups): columns where spellings differ only in case or padding.

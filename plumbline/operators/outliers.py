@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.local import local_frame
 from plumbline.functions.columns import data_fields, finite, infinite, is_measurement, number
-from plumbline.operators.quantiles import quantiles
+from plumbline.operators.quantiles import quantiles, quantiles_of_many
 
 # The reach of the fences and the rounding slack around them.
 REACH = 1.5
@@ -49,12 +49,21 @@ def fit_fences(df: DataFrame, names: list[str] | None = None, row_id: str | None
     """Fences of every measurement from its finite values. A column without finite
     values gets zero fences, under which only infinities count as outliers."""
     names = measurement_names(df, row_id) if names is None else names
-    columns = {name: finite(value) for name, value in _numbers(df, names).items()}
-    fitted = quantiles(df, columns, [0.25, 0.75], **options)
-    return {
-        name: (fences_from_quartiles(*fitted[name]) if fitted[name] else dict(NO_FENCE))
-        for name in names
-    }
+    return _fences(quantiles(df, _finite_numbers(df, names), [0.25, 0.75], **options))
+
+
+def fit_fences_of_many(tables: list[DataFrame], row_id: str | None = None) -> list[dict[str, dict[str, float]]]:
+    """``fit_fences`` of all measurements of several tables, in the jobs that one takes."""
+    columns = [(df, _finite_numbers(df, measurement_names(df, row_id))) for df in tables]
+    return [_fences(fitted) for fitted in quantiles_of_many(columns, [0.25, 0.75])]
+
+
+def _finite_numbers(df: DataFrame, names: list[str]) -> dict[str, Column]:
+    return {name: finite(value) for name, value in _numbers(df, names).items()}
+
+
+def _fences(fitted: dict[str, list[float] | None]) -> dict[str, dict[str, float]]:
+    return {name: fences_from_quartiles(*quartiles) if quartiles else dict(NO_FENCE) for name, quartiles in fitted.items()}
 
 
 def outside(value: Column, fence: dict[str, float]) -> Column:

@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import sys
 from dataclasses import dataclass
+from functools import reduce
 from math import floor
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from plumbline.functions.lineage import written
 from plumbline.functions.local import local_frame
@@ -51,34 +52,52 @@ def quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[flo
 def quantiles_and(df: DataFrame, columns: dict[str, Column], probabilities: list[float], beside: list[Column],
                   sketch_size: int = SKETCH_SIZE, margin: float = MARGIN) -> tuple[dict[str, list[float] | None], Row]:
     """``quantiles`` and one row of further aggregates over ``df``, from the first of the reads."""
-    names = list(columns)
-    values = [columns[n].cast("double") for n in names]
-    aggregates = [a for i, v in enumerate(values) for a in (
-        F.count(v).alias(f"_n{i}"), F.min(v).alias(f"_low{i}"), F.max(v).alias(f"_high{i}"),
-        F.kll_sketch_agg_double(v, F.lit(sketch_size)).alias(f"_sketch{i}"))]
-    if not aggregates and not beside:
+    values = [c.cast("double") for c in columns.values()]
+    if not values and not beside:
         return {}, Row()
-    row = df.agg(*aggregates, *[b.alias(f"_beside{j}") for j, b in enumerate(beside)]).first()
-    extra = Row(*row[len(aggregates):])
+    row = df.agg(*[_summary(v, sketch_size).alias(f"_{i}") for i, v in enumerate(values)],
+                 *[b.alias(f"_beside{j}") for j, b in enumerate(beside)]).first()
+    answers = _answers([df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)])], list(row[:len(values)]), probabilities, margin)
+    return dict(zip(columns, answers)), Row(*row[len(values):])
+
+
+def quantiles_of_many(tables: list[tuple[DataFrame, dict[str, Column]]], probabilities: list[float],
+                      sketch_size: int = SKETCH_SIZE, margin: float = MARGIN) -> list[dict[str, list[float] | None]]:
+    """``quantiles`` of several tables in the jobs that one takes: both reads are unions over the tables."""
+    summaries, parts, at = [], [], 0
+    for df, columns in tables:
+        if columns:
+            values = [c.cast("double") for c in columns.values()]
+            summaries.append(df.agg(*[_summary(v, sketch_size).alias(f"s{i}") for i, v in enumerate(values)]).select(
+                F.posexplode(F.array(*[f"s{i}" for i in range(len(values))])).alias("i", "s")).select((F.col("i") + at).alias("i"), "s.*"))
+            parts.append(df.select(*[v.alias(f"v{at + i}") for i, v in enumerate(values)]))
+            at += len(values)
+    if not parts:
+        return [{} for _ in tables]
+    rows = sorted(reduce(DataFrame.unionByName, summaries).collect())  # a row for each column
+    answers = iter(_answers(parts, [Row("n", "low", "high", "sketch")(*r[1:]) for r in rows], probabilities, margin))
+    return [{name: next(answers) for name in columns} for _, columns in tables]
+
+
+def _summary(value: Column, sketch_size: int) -> Column:
+    return F.struct(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"),
+                    F.kll_sketch_agg_double(value, F.lit(sketch_size)).alias("sketch"))
+
+
+def _answers(parts: list[DataFrame], summaries: list[Row], probabilities: list[float], margin: float) -> list[list[float] | None]:
+    """The quantiles of the columns v0, v1, ..., each of which lies in one of the parts."""
     searches: dict[tuple[int, int], _Search] = {}
-    for i in range(len(names)):
-        for p in probabilities if row[f"_n{i}"] else []:
-            position = p * (row[f"_n{i}"] - 1)
-            for rank in {floor(position), min(floor(position) + 1, row[f"_n{i}"] - 1)}:
+    for i, summary in enumerate(summaries):
+        for p in probabilities if summary.n else []:
+            position = p * (summary.n - 1)
+            for rank in {floor(position), min(floor(position) + 1, summary.n - 1)}:
                 searches.setdefault((i, rank), _Search(i, rank))
     if searches:
-        sketches = local_frame(df.sparkSession, [[row[f"_sketch{i}"] for i in range(len(names))]], ", ".join(
-            f"_sketch{i} binary" for i in range(len(names))))
-        _bracket(sketches, row, list(searches.values()), margin)
-        _settle(df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)]), row, list(searches.values()))
-
-    result = {}
-    for i, name in enumerate(names):
-        n = row[f"_n{i}"]
-        result[name] = [
-            _interpolate(p * (n - 1), lambda rank, i=i, n=n: searches[(i, min(rank, n - 1))].answer)
-            for p in probabilities] if n else None
-    return result, extra
+        _bracket(parts[0].sparkSession, summaries, list(searches.values()), margin)
+        _settle(parts, summaries, list(searches.values()))
+    return [[
+        _interpolate(p * (summary.n - 1), lambda rank, i=i, n=summary.n: searches[(i, min(rank, n - 1))].answer)
+        for p in probabilities] if summary.n else None for i, summary in enumerate(summaries)]
 
 
 def _interpolate(position: float, value_at) -> float:
@@ -101,12 +120,12 @@ class _Search:
     answer: float | None = None
 
 
-def _bracket(sketches: DataFrame, row: Row, searches: list[_Search], margin: float) -> None:
+def _bracket(spark: SparkSession, summaries: list[Row], searches: list[_Search], margin: float) -> None:
     """Proposes brackets. The sketches are one row on the driver."""
+    sketches = local_frame(spark, [[s.sketch for s in summaries]], ", ".join(f"_sketch{i} binary" for i in range(len(summaries))))
     asked, places = [], []
     for s in searches:
-        n = row[f"_n{s.column}"]
-        s.low, s.high = row[f"_low{s.column}"], row[f"_high{s.column}"]
+        n, s.low, s.high = summaries[s.column][:3]
         for end, fraction in (("low", (s.rank + 0.5) / n - margin), ("high", (s.rank + 0.5) / n + margin)):
             if 0 < fraction < 1:
                 asked.append(f"kll_sketch_get_quantile_double(_sketch{s.column}, double('{fraction!r}'))")
@@ -116,16 +135,16 @@ def _bracket(sketches: DataFrame, row: Row, searches: list[_Search], margin: flo
             setattr(s, end, value)
 
 
-def _settle(values: DataFrame, row: Row, searches: list[_Search]) -> None:
+def _settle(parts: list[DataFrame], summaries: list[Row], searches: list[_Search]) -> None:
     """Proves the brackets by counting zones, then finds what lies strictly inside them. Zone 2i + 1 is the end i itself,
     zone 2i + 2 what lies between the ends i and i + 1."""
     ends: dict[int, list[float]] = {}
     for c in {s.column for s in searches}:
-        ends[c] = sorted({row[f"_low{c}"], row[f"_high{c}"]}.union(*[{s.low, s.high} for s in searches if s.column == c]))
+        ends[c] = sorted({summaries[c].low, summaries[c].high}.union(*[{s.low, s.high} for s in searches if s.column == c]))
     inside = {(s.column, zone) for s in searches
               for zone in range(2 * ends[s.column].index(s.low) + 2, 2 * ends[s.column].index(s.high) + 1, 2)}
     while searches:
-        zones = written(_zoned(values, {s.column: ends[s.column] for s in searches}, inside), "zones")
+        zones = written(_zoned(parts, {s.column: ends[s.column] for s in searches}, inside), "zones")
         bounds = [(c, zone, *ends[c][zone // 2 - 1:zone // 2 + 1]) for c, zone in sorted(inside)]
         slots = _counted(zones, bounds, "left")
         sizes: dict[int, dict[int, int]] = {}
@@ -149,17 +168,22 @@ def _settle(values: DataFrame, row: Row, searches: list[_Search]) -> None:
         inside = {(s.column, s.zone) for s in searches}
 
 
-def _zoned(values: DataFrame, ends: dict[int, list[float]], inside: set[tuple[int, int]]) -> DataFrame:
+def _zoned(parts: list[DataFrame], ends: dict[int, list[float]], inside: set[tuple[int, int]]) -> DataFrame:
     """(column, zone, value, n): rows by zone, in the zones of ``inside`` also by value."""
-    placed = []
-    for c, marks in ends.items():
-        zone = " + ".join(f"cast(v{c} >= double('{e!r}') as int) + cast(v{c} > double('{e!r}') as int)" for e in marks)
-        kept = " or ".join(f"v{c} > double('{marks[z // 2 - 1]!r}') and v{c} < double('{marks[z // 2]!r}')"
-                           for column, z in sorted(inside) if column == c) or "false"
-        placed.append(f"case when v{c} is not null then named_struct("
-                      f"'column', {c}, 'zone', {zone}, 'value', case when {kept} then v{c} end) end")
-    return values.select(F.explode(F.array(*[F.expr(p) for p in placed])).alias("x")).where("x is not null").groupBy(
-        "x.column", "x.zone", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    exploded = []
+    for values in parts:
+        placed = []
+        for c, marks in ends.items():
+            if f"v{c}" not in values.columns:
+                continue
+            zone = " + ".join(f"cast(v{c} >= double('{e!r}') as int) + cast(v{c} > double('{e!r}') as int)" for e in marks)
+            kept = " or ".join(f"v{c} > double('{marks[z // 2 - 1]!r}') and v{c} < double('{marks[z // 2]!r}')"
+                               for column, z in sorted(inside) if column == c) or "false"
+            placed.append(f"case when v{c} is not null then named_struct("
+                          f"'column', {c}, 'zone', {zone}, 'value', case when {kept} then v{c} end) end")
+        if placed:
+            exploded.append(values.select(F.explode(F.array(*[F.expr(p) for p in placed])).alias("x")).where("x is not null"))
+    return reduce(DataFrame.unionByName, exploded).groupBy("x.column", "x.zone", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _counted(zones: DataFrame, bounds: list[tuple[int, int, float, float]], how: str) -> list[Row]:

@@ -61,8 +61,13 @@ def check_important(df: DataFrame, important: list[str]) -> list[str]:
     return important
 
 
-def completeness(columns: DataFrame, tables: DataFrame, important: list[str] = ()) -> DataFrame:
-    chosen = f"column in ({', '.join(map(literal, important))})" if important else "false"
+def completeness(columns: DataFrame, tables: DataFrame, important: list[str] | dict[str, list[str]] = ()) -> DataFrame:
+    """``important``: columns of the one dataset, or of each by its id."""
+    if isinstance(important, dict):
+        chosen = " or ".join(f"dataset_id = {literal(i)} and column in ({', '.join(map(literal, names))})"
+                             for i, names in important.items() if names) or "false"
+    else:
+        chosen = f"column in ({', '.join(map(literal, important))})" if important else "false"
     per_column = columns.groupBy("dataset_id").agg(
         F.expr("sum(rows) as cells"), F.expr("sum(rows - missing) as filled"),
         F.expr(f"count_if(try_divide(missing, rows) < {K.ACCEPTABLE_MISSING_SHARE}D) as acceptable"),

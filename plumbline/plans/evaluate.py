@@ -6,14 +6,16 @@ from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from plumbline.functions.columns import data_fields
 from plumbline.functions.local import local_frame
 from plumbline.operators.duplicates import duplicate_count
-from plumbline.operators.facts import scan_facts, text_variant_columns
-from plumbline.operators.outliers import fit_fences, outlier_counts
+from plumbline.operators.facts import facts_of_many, scan_facts, text_variant_columns
+from plumbline.operators.outliers import fit_fences, fit_fences_of_many, outlier_counts
 from plumbline.plans import dimensions as D
 from plumbline.plans.constants import DIMENSIONS
 from plumbline.plans.context import UsageContext
@@ -153,22 +155,86 @@ def score_many(datasets: Mapping[str, DataFrame | Callable[[], DataFrame]],
                metadata: DataFrame | None = None, repeat: bool = False) -> DataFrame:
     """(dataset_id, score, classification, weight_source, error), one row per dataset.
 
-    A dataset that cannot be read or scored gets an error row and the others continue.
-    With ``repeat`` each is scored twice and a difference is an error.
+    All datasets are measured by the same few jobs, each a union over the tables whose rows carry the dataset's id.
+    A dataset that cannot be read or scored gets an error row and the others continue: what fails when it is
+    opened is left out, and a job that fails is repeated with half of its datasets until the failing ones stand alone.
+    With ``repeat`` all are scored twice and a difference is an error.
     """
-    contexts = contexts or {}
-    spark, rows = SparkSession.active(), []
+    spark, given, tables, failed = SparkSession.active(), contexts or {}, {}, {}
+    contexts = {i: given.get(i, UsageContext("Evaluate dataset readiness")) for i in datasets}
     for dataset_id, source in datasets.items():
-        context = contexts.get(dataset_id, UsageContext("Evaluate dataset readiness"))
         try:
             df = source() if callable(source) else source
-            card = evaluate(df, context, metadata, dataset_id=dataset_id).scorecard.first()
-            if repeat:
-                again = evaluate(df, context, metadata, dataset_id=dataset_id).scorecard.first()
-                if again != card:
-                    raise ValueError("Two evaluations of this dataset differ")
-            rows.append((*card, None))
-        except Exception as error:  # one bad dataset must not stop the batch
-            rows.append((dataset_id, None, None, None, str(error).split("\n")[0]))
+            D.check_important(df, contexts[dataset_id].important_columns)
+            D.balance_applies(df, contexts[dataset_id])
+            tables[dataset_id] = df
+        except READ_ERRORS as error:
+            failed[dataset_id] = _first_line(error)
+    cards = _cards(spark, tables, contexts, metadata, failed)
+    if repeat:
+        again = _cards(spark, {i: tables[i] for i in cards}, contexts, metadata, failed)
+        for dataset_id in [i for i in cards if i in again and again[i] != cards[i]]:
+            failed[dataset_id] = "Two evaluations of this dataset differ"
+    rows = [(i, None, None, None, failed[i]) if i in failed else (*cards[i], None) for i in datasets]
     return local_frame(
         spark, rows, "dataset_id string, score double, classification string, weight_source string, error string")
+
+
+# What a dataset that cannot be read or scored raises; other errors are faults of the program.
+READ_ERRORS = (PySparkException, Py4JError, OSError, ValueError)
+
+
+def _first_line(error: Exception) -> str:
+    return str(error).split("\n")[0]
+
+
+def _cards(spark: SparkSession, tables: dict[str, DataFrame], contexts: dict[str, UsageContext], metadata: DataFrame | None,
+           failed: dict[str, str]) -> dict[str, Row]:
+    """The scorecards by dataset; the failing ones go to ``failed``."""
+    if not tables:
+        return {}
+    try:
+        return {r.dataset_id: r for r in _scorecards(spark, tables, contexts, metadata).collect()}
+    except (PySparkException, Py4JError) as error:
+        ids = list(tables)
+        if len(ids) == 1:
+            failed[ids[0]] = _first_line(error)
+            return {}
+        halves = ids[:len(ids) // 2], ids[len(ids) // 2:]
+        first, second = [_cards(spark, {i: tables[i] for i in half}, contexts, metadata, failed) for half in halves]
+        return first | second
+
+
+def _scorecards(spark: SparkSession, tables: dict[str, DataFrame], contexts: dict[str, UsageContext],
+                metadata: DataFrame | None) -> DataFrame:
+    def over(measure: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+        frames = [measure(i, df) for i, df in tables.items()]
+        return _local(D.union([f.withColumn("dataset_id", F.lit(i)) for i, f in zip(tables, frames)]))
+
+    def counted_outliers() -> DataFrame:
+        fences = dict(zip(tables, fit_fences_of_many(list(tables.values()))))
+        return over(lambda i, df: outlier_counts(df, fences[i]))
+
+    def items() -> DataFrame:
+        columns = local_frame(spark, [(i, f.name) for i, df in tables.items() for f in data_fields(df)], "dataset_id string, column string")
+        claims = local_frame(spark, [(i, contexts[i].target_column, {**contexts[i].documentation, **contexts[i].provenance}) for i in tables],
+                             CONTEXT_SCHEMA)
+        rows = no_metadata(spark) if metadata is None else metadata.where(F.col("dataset_id").isin(*tables))
+        return _local(audit(rows, columns, claims))
+
+    balanced = [i for i, df in tables.items() if D.balance_applies(df, contexts[i])]
+    (columns, totals), duplicates, variants, outliers, judged, classes = _together(
+        spark,
+        lambda: facts_of_many(tables),
+        lambda: over(lambda i, df: duplicate_count(df).select("rows", "duplicate_rows")),
+        lambda: over(lambda i, df: text_variant_columns(df)),
+        counted_outliers,
+        items,
+        lambda: _local(D.union([D.class_facts(tables[i], contexts[i].target_column, i) for i in balanced])) if balanced else None)
+    indicators = [
+        D.completeness(columns, totals, {i: contexts[i].important_columns for i in tables}),
+        D.consistency(columns, duplicates, variants), audit_indicators(judged), D.data_quality(columns, outliers),
+    ] + ([D.class_balance(classes)] if balanced else [])
+    scores = dimension_scores(_local(D.union(indicators)))
+    by_task = {task: [i for i in tables if contexts[i].task_type == task] for task in sorted({contexts[i].task_type for i in tables})}
+    return D.union([scorecard(scores.where(F.col("dataset_id").isin(*ids)), task_weights(spark, task)) for task, ids in by_task.items()])

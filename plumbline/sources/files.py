@@ -16,7 +16,8 @@ from plumbline.functions.local import local_frame
 # Readable formats by extension.
 FORMATS = {".csv": "csv", ".parquet": "parquet"}
 
-class LoadError(Exception):
+
+class LoadError(ValueError):
     """A dataset cannot be read."""
 
 

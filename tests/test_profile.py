@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from plumbline.operators import duplicates, facts, frequencies, inspection, outliers, profile, sampling
-from plumbline.operators.quantiles import quantiles, quantiles_and
+from plumbline.operators.quantiles import quantiles, quantiles_and, quantiles_of_many
 
 NAN, INF = float("nan"), float("inf")
 
@@ -75,6 +75,15 @@ def test_quantiles_of_several_columns_with_infinities(spark):
         assert tuple(beside) == (sum(r[1] for r in rows), "x")
 
 
+def test_quantiles_of_many_tables(spark):
+    rng = random.Random(8)
+    frames = [spark.createDataFrame([(rng.gauss(0, 10.0 ** k), None if i % 3 else i) for i in range(900 + k)], "x double, y int").repartition(3) for k in range(3)]
+    tables = [(df, {c: F.col(c) for c in names}) for df, names in zip([*frames, frames[0]], ["xy", "x", "y", ""])]
+    for options in ({}, {"sketch_size": 8, "margin": 0.0}):
+        got = quantiles_of_many(tables, [0.25, 0.5, 0.9], **options)
+        assert got == [quantiles(df, columns, [0.25, 0.5, 0.9]) for df, columns in tables]
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert quantiles(df, {"v": F.col("v")}, [0.5])["v"] is None

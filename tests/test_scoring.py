@@ -6,6 +6,7 @@ from plumbline.plans.context import UsageContext
 from plumbline.plans.evaluate import evaluate, ordered_dimensions, score_many
 from plumbline.plans.scoring import check_overrides, dimension_scores, scorecard, task_weights, weighted_dimensions
 
+INF = float("inf")
 ALL_DOCUMENTED = dict(
     documentation=dict.fromkeys(UsageContext().documentation, True),
     provenance=dict.fromkeys(UsageContext().provenance, True))
@@ -156,6 +157,30 @@ def test_batch_goes_on_after_a_failure(smoke):
     assert rows["a"].score == rows["c"].score and rows["a"].error is None
 
 
+def test_batch_scores_as_single_tables_do(spark, table, smoke):
+    """Tasks, metadata claims, important columns, empty tables and tables without numbers; one fails while it is read."""
+    tables = {
+        "numbers": table("a double, b string, c int", [(float(i % 17), ["x", " X", "y"][i % 3], i) for i in range(300)] + [(1e9, None, None)] * 2),
+        "classes": smoke, "empty": table("a double, b string", []),
+        "texts": table("b string, c string", [("1", "u"), ("2", "v"), ("2", "v")]),
+        "it's odd": table("`a b` double, d double", [(INF, 1.0), (2.0, None), (3.0, 1.0)])}
+    contexts = {
+        "numbers": UsageContext("x", "regression", "c", ["a"], **ALL_DOCUMENTED),
+        "classes": UsageContext("x", "classification", "Survived", ["Age", "Cabin"]),
+        "it's odd": UsageContext("x", important_columns=["a b"])}
+    failing = table("a int, b int", [(1, 2), (3, 4)]).selectExpr("a", "case when b > 3 then raise_error('bad row') else b end as b")
+    unknown = {"target": UsageContext("x", "classification", "nope")}
+    got = {r.dataset_id: r for r in score_many({**tables, "failing": failing, "target": smoke}, {**contexts, **unknown}).collect()}
+    assert "bad row" in got.pop("failing").error and "nope" in got.pop("target").error
+    assert set(got) == set(tables)
+    for name, df in tables.items():
+        card = evaluate(df, contexts.get(name, UsageContext("x")), dataset_id=name).scorecard.first()
+        assert tuple(got[name]) == (*card, None), name
+    with pytest.raises(AttributeError):  # faults of the program are not rows
+        score_many({"a": lambda: None.columns})
+    assert score_many({}).collect() == []
+
+
 def test_rare_classes_are_named(table):
     df = table("t string", [("common",)] * 400 + [(f"rare{i}",) for i in range(10)] + [("seldom",)] * 3)
     finding = {r.code: r.problem for r in D.class_balance_findings(D.class_facts(df, "t"), "t").collect()}["rare_class"]
