@@ -992,13 +992,52 @@ def compare_before_after(spark, sf):
     return compare(df, Recipe.fit(df, RECIPE).apply(df), context())
 
 
-SCORED = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
-          "conversations").split()
+# Table: measurements; texts; other columns.
+SCORED = {
+    "region": ("r_regionkey", "r_name", ""), "nation": ("n_nationkey n_regionkey", "n_name", ""),
+    "customer": ("c_custkey c_nationkey c_acctbal", "c_name c_mktsegment", ""),
+    "supplier": ("s_suppkey s_nationkey s_acctbal", "s_name", ""),
+    "part": ("p_partkey p_size p_retailprice", "p_name p_brand p_type", ""),
+    "orders": ("o_orderkey o_custkey o_totalprice", "o_orderstatus o_orderpriority", "o_orderdate"),
+    "lineitem": ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax", "l_returnflag l_linestatus", "l_shipdate"),
+    "events": ("event_id user_id value", "event_type props", "ts"), "documents": ("doc_id n_chars", "text lang source", ""),
+    "embeddings": ("vec_id label", "", "embedding"), "pages": ("page_id", "url html", ""), "benchmark": ("item_id", "text", ""),
+    "labels": ("doc_id quality toxic", "", ""), "conversations": ("conv_id turn", "role text", ""),
+    "dirty": ("o_orderkey o_custkey o_totalprice", "o_orderstatus o_orderpriority custkey_text", "o_orderdate"),
+}
+DIRTY_TABLE = f"(SELECT * EXCLUDE (_row) FROM ({V.DIRTY_ORDERS}))"
+
+
+def scored_sql(name: str) -> str:
+    """The overall score of one table without context or metadata."""
+    source = DIRTY_TABLE if name == "dirty" else f"(SELECT * FROM {name})"
+    measures, texts, others = [part.split() for part in SCORED[name]]
+    columns = [*measures, *texts, *others]
+    add = lambda parts: f"CAST({' + '.join(parts) or '0'} AS BIGINT)"
+    numeric = lambda c: f"CAST(count({c}) > 0 AND count(TRY_CAST(trim({c}) AS DOUBLE)) >= 0.9 * count({c}) AS INT)"
+    w = K.DIMENSION_WEIGHTS["other"]
+    fences = ", ".join(fence_cte("t", c, f"q{i}") for i, c in enumerate(measures))
+    beyond = add(f"(SELECT count(*) FROM t, q{i} WHERE {c} < lower OR {c} > upper)" for i, c in enumerate(measures))
+    varying = add(f"CAST(EXISTS(SELECT 1 FROM t GROUP BY lower(trim({c})) HAVING count(DISTINCT {c}) > 1) AS INT)" for c in texts)
+    completeness = [pct("filled", f"(n * {len(columns)})"), pct("acceptable", f"{len(columns)}"), pct("complete", "n"), "100"]
+    categorical = len(texts) + len(others)
+    consistency = [pct("different", "n"), pct(f"({len(columns)} - spelt)", f"{len(columns)}"),
+                   pct(f"({categorical} - varying)", f"{categorical}") if categorical else "100"]
+    quality = [pct("(present - beyond)", "present"), pct("varied", f"{len(columns)}")]
+    mean = lambda parts: r2(f"({' + '.join(parts)}) / {len(parts)}.0")
+    return f"""
+SELECT '{name}' AS dataset_id, score, {BAND} AS classification, 'study_defaults' AS weight_source, CAST(NULL AS VARCHAR) AS error FROM (
+WITH t AS {source}, {fences}, k AS (SELECT count(*) AS n, count(*) FILTER (WHERE {' AND '.join(f'{c} IS NOT NULL' for c in columns)}) AS complete,
+  {add(f'count({c})' for c in columns)} AS filled, {add(f'CAST(count(*) - count({c}) < 0.2 * count(*) AS INT)' for c in columns)} AS acceptable,
+  {add(map(numeric, texts))} AS spelt, {add(f'count({c})' for c in measures)} AS present, {add(f'CAST(min({c}) < max({c}) AS INT)' for c in columns)} AS varied,
+  (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS different, {varying} AS varying, {beyond} AS beyond FROM t)
+SELECT {r2(f"({w['Completeness']} * {mean(completeness)} + {w['Consistency']} * {mean(consistency)} + {w['Data Quality']} * {mean(quality)}) / {sum(w.values())!r}")} AS score FROM k)"""
 
 
-@register("score_tables")
+@register("score_tables", "\nUNION ALL ".join(map(scored_sql, SCORED)))
 def score_tables(spark, sf):
-    return score_many({n: V.table(spark, sf, n) for n in SCORED}).select(
+    """All supplied tables and one with faults, measured together."""
+    return score_many({n: V.dirty_orders(spark, sf) if n == "dirty" else V.table(spark, sf, n) for n in SCORED}).select(
         "dataset_id", "score", "classification", "weight_source", "error")
 
 

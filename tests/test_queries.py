@@ -9,7 +9,7 @@ from checks.run import compare, connect
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-SLOW = {"score_tables", "compare_before_after"}
+SLOW = {"compare_before_after"}
 
 
 @pytest.fixture(scope="module")
