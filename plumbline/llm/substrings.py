@@ -28,11 +28,13 @@ from plumbline.llm.columns import documents, keyed, shown_id
 LENGTH = 200
 GRAM = 48
 SPREAD = LENGTH - GRAM + 1  # places of a gram in a window
-PART = 1 << 20
+PART = 1 << 18  # bytes whose index arrays exist at the same time, over 100 for each byte; results do not depend on it
 #: A key with more different stretches than this is split by longer grams before it is sorted.
 MOST = 2_000
 #: Stretches that are sorted together.
 BATCH = 20_000
+#: Stretches that leave a task together with their bytes, 352 each at most.
+SENT = 8_192
 STRING, SPAN = 0, 1
 _FOUND = "kind int, key bigint, digest bigint, id bigint, tag bigint, start bigint, n int, d int, times int"
 _SPANS = "id bigint, tag bigint, start bigint, stop bigint"
@@ -138,7 +140,7 @@ def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_columns(texts: list[bytes], group: np.ndarray, d: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The repeated windows of stretches, as rows (stretch, byte where the window starts).
+    """The repeated windows of stretches, ascending, as ``stretch << 16 | byte where the window starts``.
 
     ``group`` ascends; stretches of a group are aligned ``d`` bytes after their start. Each
     round takes one column of all stretches, from right to left. ``order`` holds the
@@ -196,8 +198,10 @@ def repeated_columns(texts: list[bytes], group: np.ndarray, d: np.ndarray, lengt
             if long.any():
                 long[:-1] |= long[1:]
                 hit = order[long]
-                found.append(np.column_stack([hit, column - left[hit]]))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                found.append(hit << 16 | (column - left[hit]))
+    hits = np.concatenate(found) if found else np.zeros(0, np.int64)
+    hits.sort()
+    return hits
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,16 +212,15 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         keys = table["key"].to_numpy()
         group = np.cumsum(np.append(False, keys[1:] != keys[:-1]))
         hits = repeated_columns(table["bytes"].to_pylist(), group, table["d"].to_numpy().astype(np.int64))
-        hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
         head = np.ones(len(hits), bool)
-        head[1:] = (hits[1:, 0] != hits[:-1, 0]) | (hits[1:, 1] != hits[:-1, 1] + 1)
+        head[1:] = hits[1:] != hits[:-1] + 1
         heads = np.flatnonzero(head)
         tails = np.append(heads[1:], len(hits)) - 1 if len(heads) else heads
-        of = hits[heads, 0]
+        of, first, last = hits[heads] >> 16, hits[heads] & 0xFFFF, hits[tails] & 0xFFFF
         start = table["start"].to_numpy()[of]
         return pa.RecordBatch.from_arrays(
-            [pa.array(table["id"].to_numpy()[of]), pa.array(table["tag"].to_numpy()[of]), pa.array(start + hits[heads, 1]),
-             pa.array(start + hits[tails, 1] + LENGTH)], names=["id", "tag", "start", "stop"])
+            [pa.array(table["id"].to_numpy()[of]), pa.array(table["tag"].to_numpy()[of]), pa.array(start + first),
+             pa.array(start + last + LENGTH)], names=["id", "tag", "start", "stop"])
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -233,21 +236,28 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted stretches of every text with their bytes."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            raw = memoryview(batch.column("text")[i].as_buffer()) if batch.column("text")[i].is_valid else b""
-            wanted = batch.column("wanted")[i].as_py()
-            columns = [[w[c] for w in wanted] for c in ("key", "digest", "start", "n", "d")]
-            texts = [bytes(raw[s:s + n + LENGTH - 1]) for s, n in zip(columns[2], columns[3])]
-            size = len(wanted)
+        data, offsets = text_bytes(batch.column("text"))
+        wanted = batch.column("wanted")
+        of = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy())
+        fields = wanted.flatten()
+        fields = dict(zip(fields.type.names, fields.flatten()))
+        begin = offsets[of] + fields["start"].to_numpy()
+        end = begin + fields["n"].to_numpy() + LENGTH - 1
+        for at in range(0, len(of), SENT):
+            part = slice(at, at + SENT)
+            size = len(of[part])
+            texts = [data[x:y].tobytes() for x, y in zip(begin[part].tolist(), end[part].tolist())]
+            key, digest, start, n, d, different = (fields[c][part] for c in ("key", "digest", "start", "n", "d", "different"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([batch.column("id")[i].as_py()] * size, pa.int64()),
-                 pa.array([batch.column("tag")[i].as_py()] * size, pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()),
-                 pa.array(columns[4], pa.int32()), pa.array([0] * size, pa.int32()), pa.array([SPREAD - 1] * size, pa.int32()), pa.array(texts, pa.binary())],
-                names=["key", "digest", "id", "tag", "start", "n", "d", "low", "high", "bytes"])
+                [key, digest, batch.column("id").take(pa.array(of[part])), batch.column("tag").take(pa.array(of[part])), start, n, d,
+                 pa.array(np.zeros(size, np.int32)), pa.array(np.full(size, SPREAD - 1, np.int32)), different, pa.array(texts, pa.binary())],
+                names=[x.split()[0] for x in _CONTENT.split(", ")])
 
 
-_CONTENT = "key bigint, digest bigint, id bigint, tag bigint, start bigint, n int, d int, low int, high int, bytes binary"
+#: ``different`` counts the different stretches of the row's key.
+_CONTENT = "key bigint, digest bigint, id bigint, tag bigint, start bigint, n int, d int, low int, high int, different bigint, bytes binary"
 
 
 def _halved(rows: DataFrame) -> DataFrame:
@@ -284,22 +294,22 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     spans.append(copied.select("id", "tag", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("stop")))
 
     wanted = known.where("different > 1").groupBy("one.id", "one.tag").agg(F.collect_list(F.struct(
-        "key", "digest", F.col("one.start").alias("start"), F.col("one.n").alias("n"), F.col("one.d").alias("d"))).alias("wanted"))
-    texts = wanted.join(rows, ["id", "tag"]).select("id", "tag", F.encode("text", "UTF-8").alias("text"), "wanted")
+        "key", "digest", F.col("one.start").alias("start"), F.col("one.n").alias("n"), F.col("one.d").alias("d"), "different")).alias("wanted"))
+    texts = wanted.join(rows, ["id", "tag"]).select("id", "tag", "text", "wanted").dropDuplicates(["id", "tag"])  # of rows that repeat, one
     todo = written(texts.mapInArrow(_contents, _CONTENT), "contents")
     while True:
-        counted = todo.groupBy("key").agg(F.count(F.lit(1)).alias("different"))
-        many = counted.where(f"different > {MOST}").select("key")
-        pairs = todo.join(counted.where(f"different between 2 and {MOST}").select("key"), "key")
-        spans.append(written(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups, _SPANS), "spans"))
-        if many.isEmpty():
+        pairs = todo.where(f"different between 2 and {MOST}")
+        spans.append(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups, _SPANS))  # read once, so not written
+        crowded = todo.where(f"different > {MOST} and low < high")
+        if crowded.isEmpty():
             break
-        halves = written(_halved(todo.join(many, "key").where("low < high")), "halves")
+        halves = written(_halved(crowded), "halves")
         same = halves.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "tag", "start")).alias("one"))
         copied = halves.join(same.where("copies > 1").select("key", "digest"), ["key", "digest"])
         spans.append(copied.select("id", "tag", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("stop")))
-        todo = written(halves.join(same.select("key", "digest", F.col("one.id").alias("id"), F.col("one.tag").alias("tag"), F.col("one.start").alias("start")),
-                                   ["key", "digest", "id", "tag", "start"]).select(*todo.columns), "contents")
+        per_key = same.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
+        firsts = same.join(per_key, "key").select("key", "digest", "one.id", "one.tag", "one.start", "different")
+        todo = written(halves.join(firsts, ["key", "digest", "id", "tag", "start"]).select(*todo.columns), "contents")
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)

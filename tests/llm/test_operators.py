@@ -3,10 +3,12 @@ repeated rows and columns whose names clash with the operators' own."""
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +183,61 @@ def test_substrings_of_many_rows_without_an_id(spark):
     assert got == expected
 
 
+def test_substring_tasks_hold_little_beside_the_texts():
+    draw = np.random.default_rng(8)
+    words = ["".join(draw.choice(list("abcdefgh"), 6)) for _ in range(3000)]
+    numbers = np.arange(2000)
+    texts = pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(numbers), pa.array([" ".join(draw.choice(words, 300)) for _ in numbers])], ["id", "tag", "text"])
+    size = substrings.BATCH  # stretches that differ at both ends only, a thousand a key
+    stretch = draw.integers(97, 120, 352).astype(np.uint8).tobytes()
+    many = pa.RecordBatch.from_arrays([pa.array(x) for x in (
+        np.arange(size) // 1000, np.arange(size), np.arange(size), np.zeros(size, np.int64), np.full(size, 152),
+        [bytes([i % 20]) + stretch[1:351] + bytes([i // 20 % 20]) for i in range(size)])], ["key", "id", "tag", "start", "d", "bytes"])
+    tracemalloc.start()
+    try:
+        windows = sum(b["n"].to_numpy().sum() for b in substrings._find([texts]))
+        assert windows == sum(len(t) - 199 for t in texts["text"].to_pylist())
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+        tracemalloc.reset_peak()
+        spans = pa.Table.from_batches(substrings._sorted_groups([many]))
+        assert set(zip(spans["start"].to_pylist(), spans["stop"].to_pylist())) == {(0, 352)} and sorted(spans["id"].to_pylist()) == list(range(size))
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("most", [2_000, 2])
+def test_substrings_write_no_spans_between_steps(docs, monkeypatch, most):
+    names, write = [], substrings.written
+
+    def noted(df, name):
+        names.append(name)
+        table = write(df, name)
+        if name == "contents":  # rows that repeat as a whole send their stretches once
+            assert table.groupBy("key", "digest").count().where("count > 1").isEmpty()
+        return table
+
+    monkeypatch.setattr(substrings, "written", noted)
+    monkeypatch.setattr(substrings, "MOST", most)
+    copies = docs.unionByName(docs.where("doc_id = 9"))
+    substrings.cut_repeats(copies).count()
+    assert names[:3] == ["stretches", "equal", "contents"] and "spans" not in names
+    assert ("halves" in names) == (most == 2)
+
+
+def test_stretches_leave_a_task_in_parts_with_their_own_bytes(monkeypatch):
+    monkeypatch.setattr(substrings, "SENT", 2)
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("digest", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("d", pa.int32()), ("different", pa.int64())]))
+    texts = ["\u00e9" + sentence(1, 200), sentence(2, 200), sentence(3, 200)]
+    at = [[(1, 5, 3), (2, 40, 9), (3, 100, 1)], [], [(4, 0, 2)]]
+    wanted = [[{"key": k, "digest": -k, "start": s, "n": n, "d": k, "different": 2} for k, s, n in row] for row in at]
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 7, 8, 9]), pa.array([0, 70, 80, 90]), pa.array(["x", *texts]), pa.array([[], *wanted], kind)], ["id", "tag", "text", "wanted"])
+    parts = list(substrings._contents([rows.slice(1)]))
+    assert [p.num_rows for p in parts] == [2, 2]
+    expected = [(k, -k, 7 + i, 70 + 10 * i, s, n, k, 0, 152, 2, texts[i].encode()[s:s + n + 199]) for i, row in enumerate(at) for k, s, n in row]
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == expected
+
+
 def test_dart_minhash_estimates_weighted_similarity():
     draw = np.random.default_rng(5)
     elements, a, b = draw.integers(1, 2**62, 300).astype(np.uint64), draw.integers(1, 9, 300), draw.integers(1, 9, 300)
