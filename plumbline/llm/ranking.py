@@ -1,12 +1,14 @@
 """Ranked lexical search over posting lists that are blocked by the likeness of their documents.
 
-Documents lie in shards of a bounded size, as the scan deals them, so a term that stands in
-every document has a list of bounded length in every shard and no list is gathered. Within a
-shard each posting list is clustered by document similarity: the documents of the list choose
-the nearest of a few representatives, by the inner product of random projections. A block
-stores the largest value of each coordinate among its documents. No document of a block scores more
-than the query's product with that summary; a block is skipped only where this product is
-below the tenth score found so far, so the ranking is exact.
+Texts are read once; what is kept of a document is a row of its own. Documents lie in shards of a
+bounded size, as the scan deals them, so a term that stands in every document has a list of
+bounded length in every shard and no list is gathered. A shard's lists are built and searched
+within a task: no row is larger than what one document holds. Within a shard each posting list is
+clustered by document similarity: the documents of the list choose the nearest of a few
+representatives, by the inner product of random projections. A block stores the largest value of
+each coordinate among its documents. No document of a block scores more than the query's product
+with that summary; a block is skipped only where this product is below the tenth score found so
+far, so the ranking is exact.
 
 Scores are integers (see ``Scoring``). The vocabulary of an index is that of the queries it is
 built for; counts of documents and terms are always over the whole corpus.
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from plumbline.functions.lineage import scratch_path
+from plumbline.functions.lineage import written
 from plumbline.llm.bytetext import LETTERS, LOWER, mixed, slices, text_bytes, word_places
 from plumbline.llm.columns import NO_ID, documents
 
@@ -32,8 +34,8 @@ from plumbline.llm.columns import NO_ID, documents
 class Scoring:
     """A term's weight is floor(``scale`` * ln((2N + 2) / (2df + 1))); in a document of n terms it counts
     (10**9 * tf) div (1000 * tf + 8 * m) with m = 25 + (75 * n * N) div L. ``shard_docs`` and ``shard_bytes`` bound a
-    shard, ``block`` is the mean number of documents in a block, ``query_bytes`` the size of the
-    group of queries that is worked on at a time."""
+    shard (a term of a document and its count have 8 bytes), ``block`` is the mean number of documents in a block,
+    ``query_bytes`` the size of the group of queries that is worked on at a time."""
 
     k: int = 10
     scale: int = 1000
@@ -64,26 +66,27 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-_FORWARD = "docs bigint, all_terms bigint, ids binary, sizes binary, bounds binary, terms binary, tfs binary, df_terms binary, dfs binary"
+_FORWARD = "id bigint, size bigint, terms binary, tfs binary"
 
 
-def _forward(vocabulary, how: Scoring):
-    """Shards as scanned: ids, numbers of terms, and by document the vocabulary terms it holds with their counts."""
+def _binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Pieces of an array of 32-bit numbers as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(data.astype(np.uint32))])
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of a binary column and the n + 1 bounds of its rows."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] // 4 if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, "<u4", int(bounds[-1])) if data is not None and data.size else np.zeros(0, np.uint32)
+    return raw[bounds[0]:], bounds - bounds[0]
+
+
+def _forward(vocabulary):
+    """Of each document with terms: its id, its number of terms, and the vocabulary terms it holds with their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary.value
-        ids, sizes, counts, keys, tfs, n_docs, weight = [], [], [], [], [], 0, 0
-
-        def shard() -> pa.RecordBatch:
-            all_sizes, held = np.concatenate(sizes), np.concatenate(counts)
-            found, dfs = np.unique(np.concatenate(keys), return_counts=True)
-            with_terms = held > 0
-            row = [int((all_sizes > 0).sum()), int(all_sizes.sum()), np.concatenate(ids)[with_terms], all_sizes[with_terms],
-                   np.concatenate([[0], np.cumsum(held[with_terms])]), np.concatenate(keys).astype(np.uint32),
-                   np.concatenate(tfs).astype(np.uint32), found.astype(np.uint32), dfs.astype(np.uint32)]
-            names = _FORWARD.replace(" bigint", "").replace(" binary", "").split(", ")
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) if isinstance(x, int) else pa.array([x.tobytes()], pa.binary())
-                                               for x in row], names=names)
-
         for batch in batches:
             _, offsets = text_bytes(batch.column("text"))
             for low, high in slices(offsets):
@@ -98,29 +101,46 @@ def _forward(vocabulary, how: Scoring):
                 key, tf = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
                 key, inverse = np.unique(key, return_inverse=True)  # a long text comes in several stretches
                 tf = np.bincount(inverse, weights=tf, minlength=len(key)).astype(np.int64)
-                ids.append(part.column("id").to_numpy())
-                sizes.append(size)
-                counts.append(np.bincount(key // len(words), minlength=n))
-                keys.append(key % len(words))
-                tfs.append(tf)
-                n_docs, weight = n_docs + n, weight + int(offsets[high] - offsets[low])
-                if n_docs >= how.shard_docs or weight >= how.shard_bytes:
-                    yield shard()
-                    ids, sizes, counts, keys, tfs, n_docs, weight = [], [], [], [], [], 0, 0
-        if n_docs:
-            yield shard()
+                held, full = np.bincount(key // len(words), minlength=n), size > 0
+                bounds = np.concatenate([[0], np.cumsum(held[full])])
+                yield pa.RecordBatch.from_arrays([pa.array(part.column("id").to_numpy()[full]), pa.array(size[full]),
+                                                  _binaries(key % len(words), bounds), _binaries(tf, bounds)], names=["id", "size", "terms", "tfs"])
+
+    return run
+
+
+def _document_frequencies(n_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a task: the number of documents of each term it has seen."""
+        total = np.zeros(n_words, np.int64)
+        for batch in batches:
+            found, n = np.unique(_numbers(batch.column("terms"))[0], return_counts=True)
+            total[found] += n
+        seen = np.flatnonzero(total)
+        for low in range(0, len(seen), 1 << 16):
+            part = seen[low:low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["term", "df"])
 
     return run
 
 
-def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task: the number of documents of each term it has seen."""
-    total: dict[int, int] = {}
+def _shards(batches: Iterator[pa.RecordBatch], how: Scoring) -> Iterator[pa.RecordBatch]:
+    """The documents of a task in shards, cut wherever one is full; a longer document goes with the one it meets."""
+    parts, n_docs, weight = [], 0, 0
     for batch in batches:
-        for raw, n in zip(batch.column("df_terms"), batch.column("dfs")):
-            for term, df in zip(np.frombuffer(raw.as_buffer(), "<u4").tolist(), np.frombuffer(n.as_buffer(), "<u4").tolist()):
-                total[term] = total.get(term, 0) + df
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["term", "df"])
+        entries = 8 * _numbers(batch.column("terms"))[1]
+        at = 0
+        while at < batch.num_rows:
+            room = int(np.searchsorted(entries, entries[at] + how.shard_bytes - weight, "right")) - 1
+            end = min(batch.num_rows, at + how.shard_docs - n_docs, max(at + 1, room))
+            parts.append(batch.slice(at, end - at))
+            n_docs, weight = n_docs + end - at, weight + int(entries[end] - entries[at])
+            if n_docs >= how.shard_docs or weight >= how.shard_bytes or end < batch.num_rows:
+                yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                parts, n_docs, weight = [], 0, 0
+            at = end
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def clustered(points: np.ndarray, block: int, seed: int) -> np.ndarray:
@@ -131,11 +151,6 @@ def clustered(points: np.ndarray, block: int, seed: int) -> np.ndarray:
     return np.unique((points @ points[chosen].T).argmax(axis=1), return_inverse=True)[1]
 
 
-_INDEX = "ids binary, bounds binary, terms binary, values binary, lists binary, members binary, blocks binary, starts binary, sum_bounds binary, sum_terms binary, sum_values binary"
-_KINDS = {"ids": "<i8", "bounds": "<i8", "terms": "<u4", "values": "<u4", "lists": "<i8", "members": "<u4", "blocks": "<i8",
-          "starts": "<i8", "sum_bounds": "<i8", "sum_terms": "<u4", "sum_values": "<u4"}
-
-
 def blocked(ids: np.ndarray, bounds: np.ndarray, words: np.ndarray, values: np.ndarray, n_words: int, block: int, projections: int) -> dict[str, np.ndarray]:
     """The index of a shard from its documents' coordinates (``words`` and ``values`` between ``bounds``).
 
@@ -148,9 +163,11 @@ def blocked(ids: np.ndarray, bounds: np.ndarray, words: np.ndarray, values: np.n
     order = np.argsort(words, kind="stable")
     lists = np.searchsorted(words[order], np.arange(n_words + 1))
     members = owners[order]
-    spread = mixed(np.arange(n_words, dtype=np.uint64)[:, None] * np.uint64(projections) + np.arange(projections, dtype=np.uint64)[None, :])
-    signs = np.where(spread >> np.uint64(63), np.float32(1), np.float32(-1))
-    points = np.stack([np.bincount(owners, weights=values * signs[words, j], minlength=n) for j in range(projections)], axis=1)
+    points = np.zeros((n, projections))
+    for j in range(projections):
+        spread = mixed(np.arange(n_words, dtype=np.uint64) * np.uint64(projections) + np.uint64(j))
+        signs = np.where(spread >> np.uint64(63), np.float32(1), np.float32(-1))
+        points[:, j] = np.bincount(owners, weights=values * signs[words], minlength=n)
     points = (points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     blocks, starts, sum_sizes, sum_terms, sum_values = np.zeros(n_words + 1, np.int64), [], [], [], []
     lengths = np.diff(lists)
@@ -181,19 +198,13 @@ def blocked(ids: np.ndarray, bounds: np.ndarray, words: np.ndarray, values: np.n
             "sum_values": joined(sum_values)}
 
 
-def _blocked(n_words: int, n_docs: int, n_terms: int, how: Scoring):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, sizes, bounds = (np.frombuffer(row[c], "<i8") for c in ("ids", "sizes", "bounds"))
-                words, tfs = (np.frombuffer(row[c], "<u4") for c in ("terms", "tfs"))
-                length = np.array([25 + 75 * n * n_docs // n_terms for n in sizes.tolist()], np.int64)  # Python's integers do not overflow
-                tf = tfs.astype(np.int64)
-                values = 1_000_000_000 * tf // (1000 * tf + 8 * np.repeat(length, np.diff(bounds)))
-                index = blocked(ids, bounds, words, values.astype(np.uint32), n_words, how.block, how.projections)
-                yield pa.RecordBatch.from_arrays([pa.array([index[c].astype(kind).tobytes()], pa.binary()) for c, kind in _KINDS.items()], names=list(_KINDS))
-
-    return run
+def shard_index(shard: pa.RecordBatch, n_words: int, n_docs: int, n_terms: int, how: Scoring) -> dict[str, np.ndarray]:
+    """The index of a shard of documents with their terms and counts."""
+    (words, bounds), tfs = _numbers(shard.column("terms")), _numbers(shard.column("tfs"))[0]
+    length = np.array([25 + 75 * n * n_docs // n_terms for n in shard.column("size").to_pylist()], np.int64)  # Python's integers do not overflow
+    tf = tfs.astype(np.int64)
+    values = 1_000_000_000 * tf // (1000 * tf + 8 * np.repeat(length, np.diff(bounds)))
+    return blocked(shard.column("id").to_numpy(), bounds, words, values.astype(np.uint32), n_words, how.block, how.projections)
 
 
 class _Top:
@@ -255,11 +266,10 @@ def search_shard(index: dict[str, np.ndarray], weights: np.ndarray, queries: lis
 
 def _search(shared, how: Scoring):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, queries = shared.value
+        weights, queries, n_docs, n_terms = shared.value
         tops = [_Top(how.k) for _ in queries]
-        for batch in batches:
-            for i in range(batch.num_rows):
-                search_shard({c: np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in _KINDS.items()}, weights, queries, tops)
+        for shard in _shards(batches, how):
+            search_shard(shard_index(shard, len(weights), n_docs, n_terms, how), weights, queries, tops)
         n = [len(t.ids) for t in tops]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(len(tops)), n)), pa.array(np.concatenate([t.ids for t in tops])), pa.array(np.concatenate([t.scores for t in tops]))],
@@ -281,20 +291,17 @@ def _group(rows: DataFrame, items: pa.Table, how: Scoring) -> DataFrame:
     schema = T.StructType([T.StructField("item", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("score", T.LongType())])
     if not len(vocabulary):
         return spark.createDataFrame([], schema)
-    path = scratch_path(spark, "posting-lists")
-    rows.mapInArrow(_forward(spark.sparkContext.broadcast(vocabulary), how), _FORWARD).write.parquet(f"{path}/shards")
-    shards = spark.read.schema(_FORWARD).parquet(f"{path}/shards")
-    n_docs, n_terms = shards.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("all_terms"), F.lit(0))).first()
+    forward = written(rows.mapInArrow(_forward(spark.sparkContext.broadcast(vocabulary)), _FORWARD), "document-terms")
+    n_docs, n_terms = forward.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if not n_docs:
         return spark.createDataFrame([], schema)
-    shards.select("ids", "sizes", "bounds", "terms", "tfs").mapInArrow(_blocked(len(vocabulary), n_docs, n_terms, how), _INDEX).write.parquet(f"{path}/index")
     df = np.zeros(len(vocabulary), np.int64)
-    for term, n in shards.select("df_terms", "dfs").mapInArrow(_document_frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df")).collect():  # the group's terms
+    for term, n in forward.select("terms").mapInArrow(_document_frequencies(len(vocabulary)), "term bigint, df bigint").groupBy("term").agg(F.sum("df")).collect():  # the group's terms
         df[term] = n
     weights = np.array([math.floor(how.scale * math.log((2 * n_docs + 2) / (2 * n + 1))) for n in df.tolist()], np.int64)
     queries = [np.unique(np.searchsorted(vocabulary, x), return_counts=True) for x in found]
-    shared = spark.sparkContext.broadcast((weights, queries))
-    best = spark.read.schema(_INDEX).parquet(f"{path}/index").mapInArrow(_search(shared, how), "query bigint, id bigint, score bigint")
+    shared = spark.sparkContext.broadcast((weights, queries, n_docs, n_terms))
+    best = forward.where(F.length("terms") > 0).mapInArrow(_search(shared, how), "query bigint, id bigint, score bigint")
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= how.k)
     names = spark.createDataFrame(pa.table({"query": pa.array(np.arange(items.num_rows)), "item": items.column("item").combine_chunks()}))

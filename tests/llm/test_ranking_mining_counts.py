@@ -6,9 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import lineage
 from plumbline.llm import counts, negatives, ranking
 from plumbline.llm.packing import tokenizer_path
 
@@ -59,6 +62,35 @@ def test_ranking(spark, how):
     assert ranking.rank(docs.where("doc_id = 601"), items, how).count() == 0
 
 
+def test_no_row_between_steps_is_larger_than_a_document(spark, monkeypatch, tmp_path):
+    for module in (ranking, lineage):
+        monkeypatch.setattr(module, "scratch_path", lambda _, name: str(tmp_path / name), raising=False)
+    docs = spark.createDataFrame([(i, text(i, 20)) for i in range(2000)], "doc_id bigint, text string").coalesce(1)
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    assert ranking.rank(docs, items).count() > 100
+    parts = list(tmp_path.rglob("*.parquet"))
+    assert parts
+    for part in parts:
+        table = pq.read_table(part)
+        assert max((sum(len(v) for v in row.values() if isinstance(v, bytes)) for row in table.to_pylist()), default=0) <= 8 * 20
+
+
+def test_shards_are_cut_where_they_are_full():
+    held = [1, 0, 4, 2, 9, 1, 1, 1, 0, 3]
+    bounds = np.concatenate([[0], np.cumsum(held)])
+    numbers = ranking._binaries(np.arange(bounds[-1]), bounds)
+    whole = pa.RecordBatch.from_arrays([pa.array(range(10)), numbers], names=["id", "terms"])
+    for cuts in ([0, 10], [0, 3, 3, 4, 10]):
+        batches = [whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+        for how in (ranking.Scoring(), ranking.Scoring(shard_docs=3), ranking.Scoring(shard_bytes=40), ranking.Scoring(shard_docs=2, shard_bytes=8)):
+            shards = list(ranking._shards(iter(batches), how))
+            assert [i for s in shards for i in s.column("id").to_pylist()] == list(range(10))
+            assert np.concatenate([ranking._numbers(s.column("terms"))[0] for s in shards]).tolist() == list(range(22))
+            for s in shards:
+                sizes = np.diff(ranking._numbers(s.column("terms"))[1])
+                assert len(sizes) <= how.shard_docs and 8 * (sizes.sum() - sizes[-1]) <= how.shard_bytes
+
+
 def test_blocks_are_skipped_and_bound_their_documents():
     draw = np.random.default_rng(1)
     docs = [np.unique(draw.integers(40 * (i % 5), 40 * (i % 5) + 60, 30)) for i in range(300)]
