@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbline.functions.columns import ROW_ID, quote
+from plumbline.functions.digests import file_sha256
 from plumbline.functions.lineage import written
 from plumbline.functions.local import local_frame
 
@@ -47,10 +48,10 @@ def check_shape(df: DataFrame) -> None:
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) per file. Each file is one row here, which limits a single
-    file to about 2 GB; larger datasets come as many files."""
+    """(path, length, sha256) per file. A task reads a file as a stream, so its length is
+    limited by time alone; larger datasets go faster as many files."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return files.select("path", "length", file_sha256(spark, F.col("path")).alias("sha256"))
 
 
 def dataset_fingerprint(files: DataFrame) -> DataFrame:
